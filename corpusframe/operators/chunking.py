@@ -231,3 +231,14 @@ def replace_chunks(existing: DataFrame, new: DataFrame, doc: str = "document_id"
     """Every chunk of a re-ingested document is replaced, so none is left behind."""
     ids = new.select(doc).distinct()
     return existing.join(ids, doc, "left_anti").unionByName(new)
+
+
+def hits_from_metadata(raw: DataFrame) -> DataFrame:
+    """Stored fields to hit fields; anything missing or unreadable gets its default."""
+    document = F.coalesce("document_id", F.lit("unknown"))
+    return raw.withColumns({
+        "chunk_id": F.coalesce("chunk_id", F.concat_ws(":", document, F.col("chunk_index").cast("string"))),
+        "document_id": document,
+        "filename": F.coalesce("filename", F.lit("unknown")),
+        "page_number": F.trim(F.col("page_number").cast("string")).try_cast("int"),
+    })

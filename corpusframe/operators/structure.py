@@ -22,11 +22,13 @@ SEPARATOR = "\n\n"
 def _with_preamble(blocks: DataFrame, doc: str) -> DataFrame:
     """Body text before any heading gets a synthetic level-1 section in front."""
     order = Window.partitionBy(doc).orderBy("pos")
-    opens = F.lag("pos").over(order).isNull() & F.col("heading_level").isNull()
+    opens = F.col("_previous").isNull() & F.col("heading_level").isNull()
     kinds = F.when(opens, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     synthetic = F.col("_kind") == 0
     return (
-        blocks.withColumn("_kind", F.explode(kinds))
+        blocks.withColumn("_previous", F.lag("pos").over(order))
+        .withColumn("_kind", F.explode(kinds))
+        .drop("_previous")
         .withColumn("heading_level", F.when(synthetic, 1).otherwise(F.col("heading_level")))
         .withColumn("text", F.when(synthetic, fixed.PREAMBLE).otherwise(F.col("text")))
         .withColumn("page_number", F.when(~synthetic, F.col("page_number")))

@@ -31,6 +31,7 @@ def local_session(app: str = "corpusframe", cpus: str | int = "*") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)

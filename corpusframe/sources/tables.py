@@ -62,12 +62,10 @@ def append_runs(runs: DataFrame, path: str) -> None:
 def write_chunks(chunks: DataFrame, path: str, doc: str = "document_id", buckets: int = 256) -> None:
     """Replace the chunks of the given documents, bucket by bucket.
 
-    Only buckets that hold one of the documents are read and rewritten. The surviving
-    rows are written beside the new ones before the old files go, so the source is read
-    from a checkpoint when it is the table itself.
+    Only buckets that hold one of the documents are read (dynamic partition pruning) and
+    rewritten; dynamic overwrite stages the result and swaps the buckets on commit.
     """
     from corpusframe.operators.chunking import replace_chunks
-    from corpusframe.session import cut_lineage
 
     spark = chunks.sparkSession
     bucket = F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
@@ -80,7 +78,7 @@ def write_chunks(chunks: DataFrame, path: str, doc: str = "document_id", buckets
         new.write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
         return
     touched = stored.join(new.select("doc_bucket").distinct(), "doc_bucket", "left_semi")
-    merged = cut_lineage(replace_chunks(touched.select(*new.columns), new, doc))
+    merged = replace_chunks(touched.select(*new.columns), new, doc)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "doc_bucket"
     ).parquet(path)
