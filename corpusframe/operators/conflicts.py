@@ -23,7 +23,7 @@ def extract_claims(chunks: DataFrame, scope: list[str] | None = None) -> DataFra
     """
     pattern = F.lit("(?U)" + fixed.CLAIM)
     values = F.regexp_extract_all("content", pattern, F.lit(1))
-    words = F.regexp_extract_all("content", pattern, F.lit(3))
+    words = F.regexp_extract_all("content", pattern, F.lit(2))
     pairs = F.arrays_zip(values.alias("value"), words.alias("words"))
     usable = ~F.col("document_id").isin(NOT_DOCUMENTS)
     if "url" in chunks.columns:
