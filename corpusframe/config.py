@@ -64,7 +64,8 @@ class Config:
     similarity_threshold: float = 0.95
     cache_candidates: int = 500
 
-    # Size bounds for what may travel to every task (see operators/vector.py).
+    # Size bounds for what may travel to every task (see operators/keyword.py, vector.py).
+    resident_terms: int = 200_000
     resident_questions: int = 8192
     resident_values: int = 4_000_000
     block_questions: int = 1024

@@ -43,9 +43,8 @@ def rank_documents(
 
 def _scoped_scores(bound, members, profiles, config) -> DataFrame:
     """BM25 with statistics per question over that question's scope."""
-    sized = profiles.withColumnRenamed("chunk_id", "_c")
     postings = keyword.postings_of(profiles).select("term", "document_id", "tf", "dl")
-    lengths = sized.select("document_id", F.size(keyword.text.tokens(F.col("content"))).alias("length"))
+    lengths = profiles.select("document_id", F.size(keyword.text.tokens(F.col("content"))).alias("length"))
     stats = (
         members.join(lengths, "document_id")
         .groupBy("question_id")
@@ -77,29 +76,34 @@ def _scoped_scores(bound, members, profiles, config) -> DataFrame:
 def _fill(questions, ready, scores, limit) -> DataFrame:
     """Best documents per question; unmatched ones (score 0, id order) fill what is left.
 
-    Only questions with fewer than ``limit`` positive scores need filling. The first
-    ids that can be needed are bounded by the largest match count among those, so
-    questions and documents are never paired up wholesale.
+    A question with fewer than ``limit`` matches has all of them in its top list, so the
+    first 2 x limit ids always hold enough others. Only non-positive scores (a library
+    whose terms are nearly all in over half of the documents) can push a question's
+    matches beyond its top list; then the pool grows by the largest match count. Either
+    way questions and documents are never paired up wholesale.
     """
-    tally = scores.groupBy("question_id").agg(
+    order = [F.desc("score"), F.asc("document_id")]
+    ranked = top_k(scores, ["question_id"], order, limit).drop("rank").persist()
+    tally = ranked.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((F.col("score") > 0).cast("int")).alias("_p")
     )
     short = questions.select("question_id").join(tally, "question_id", "left").where(
         F.coalesce("_p", F.lit(0)) < limit
     )
-    most = short.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("m")).first()["m"]
-    ranked = top_k(scores, ["question_id"], [F.desc("score"), F.asc("document_id")], limit)
-    first_ids = ready.select("document_id").orderBy("document_id").limit(limit + most)
+    crowded = tally.where((F.col("_n") == limit) & (F.col("_p") < limit)).select("question_id")
+    known, reach = ranked, 2 * limit
+    if not crowded.isEmpty():
+        known = ranked.unionByName(scores.join(crowded, "question_id", "left_semi").select(*ranked.columns)).distinct()
+        most = known.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        reach = limit + most
+    first_ids = ready.select("document_id").orderBy("document_id").limit(reach)
     pool = first_ids.agg(F.array_sort(F.collect_list("document_id")).alias("ids"))
     filler = (
         short.select("question_id", F.explode(pool.scalar()).alias("document_id"))
-        .join(scores.select("question_id", "document_id"), ["question_id", "document_id"], "left_anti")
+        .join(known.select("question_id", "document_id"), ["question_id", "document_id"], "left_anti")
         .withColumn("score", F.lit(0.0))
     )
-    both = ranked.drop("rank").unionByName(filler)
-    if most:
-        both = scores.unionByName(filler)
-    return top_k(both, ["question_id"], [F.desc("score"), F.asc("document_id")], limit)
+    return top_k(known.select("question_id", "document_id", "score").unionByName(filler), ["question_id"], order, limit)
 
 
 def select_sections(

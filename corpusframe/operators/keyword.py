@@ -38,25 +38,42 @@ class KeywordIndex:
         return KeywordIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")])
 
 
-def _tokenised(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "document_id", text.tokens(F.col("content")).alias("tokens"))
-
-
 def postings_of(chunks: DataFrame) -> DataFrame:
-    # Token counts combine map-side before the shuffle by (chunk, term).
+    """Term frequencies per chunk.
+
+    Rows are placed by chunk before they are cut into tokens. From there on counting,
+    scoring and the first top-k all happen where the chunk is, so a hot term is spread
+    over every partition, and the text is the only thing that moves.
+    """
+    placed = chunks.select("chunk_id", "document_id", "content").repartition("chunk_id")
     return (
-        _tokenised(chunks)
-        .select("chunk_id", "document_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        placed.select("chunk_id", "document_id", text.tokens(F.col("content")).alias("tokens"))
+        # An outer explode: for an inner one Spark would tokenise before the shuffle as well,
+        # to drop empty chunks there.
+        .select("chunk_id", "document_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        .where("term is not null")
         .groupBy("chunk_id", "document_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("term", "chunk_id", "document_id", "tf", "dl")
     )
 
 
-def corpus_of(chunks: DataFrame) -> DataFrame:
-    return _tokenised(chunks).agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl"),
+def frequencies_of(postings: DataFrame) -> DataFrame:
+    """Document and collection frequency per term, combined map-side.
+
+    Every term occurs, so the condition drops nothing; it keeps both counts in the plan of
+    every reader, which is what lets them all share one exchange.
+    """
+    return postings.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
+    ).where("df > 0 and cf > 0")
+
+
+def corpus_of(chunks: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Chunks without a token count too, but hold no posting."""
+    n = only(chunks.agg(F.count(F.lit(1)).alias("n_chunks")), "n_chunks")
+    return frequencies.agg(F.sum("cf").alias("_tokens")).select(
+        n.alias("n_chunks"), (F.col("_tokens") / n).alias("avgdl")
     )
 
 
@@ -71,17 +88,15 @@ def terms_of(frequencies: DataFrame, corpus: DataFrame, config: Config = DEFAULT
     )
 
 
+def _index(postings: DataFrame, chunks: DataFrame, config: Config) -> KeywordIndex:
+    frequencies = frequencies_of(postings)
+    corpus = corpus_of(chunks, frequencies)
+    return KeywordIndex(postings, terms_of(frequencies, corpus, config), corpus)
+
+
 def build_index(chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
-    corpus = corpus_of(chunks)
-    # Distinct tokens are found inside the row: the shuffle carries one combined count per
-    # term and partition, and no distinct count is needed.
-    frequencies = (
-        _tokenised(chunks)
-        .select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    return KeywordIndex(postings_of(chunks), terms_of(frequencies, corpus, config), corpus)
+    """All three parts read one exchange of the text, which Spark runs once and reuses."""
+    return _index(postings_of(chunks), chunks, config)
 
 
 def refresh_index(index: KeywordIndex, chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
@@ -90,13 +105,7 @@ def refresh_index(index: KeywordIndex, chunks: DataFrame, config: Config = DEFAU
     live = chunks.select("chunk_id")
     fresh = chunks.join(known, "chunk_id", "left_anti")
     postings = index.postings.join(live, "chunk_id", "left_semi").unionByName(postings_of(fresh))
-    sizes = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    corpus = live.join(sizes, "chunk_id", "left").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        (F.sum(F.coalesce("dl", F.lit(0))) / F.count(F.lit(1))).alias("avgdl"),
-    )
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return KeywordIndex(postings, terms_of(frequencies, corpus, config), corpus)
+    return _index(postings, chunks, config)
 
 
 def index_changes(index: KeywordIndex, chunks: DataFrame) -> DataFrame:
@@ -122,19 +131,36 @@ def in_scope(scope: Column, document_id: Column) -> Column:
     return scope.isNull() | (F.size(scope) == 0) | F.array_contains(scope, document_id)
 
 
+def _small(asked: DataFrame, scopes: DataFrame | None, config: Config) -> bool:
+    """Whether the query terms (and scope lists, repeated per term) are within the bound."""
+    rows = asked.limit(config.resident_terms + 1).count()
+    if rows > config.resident_terms:
+        return False
+    if scopes is None:
+        return True
+    widest = scopes.agg(F.coalesce(F.max(F.size("scope")), F.lit(0)).alias("w")).first()["w"]
+    return rows * max(widest, 1) <= config.resident_values
+
+
 def keyword_scores(
     questions: DataFrame, index: KeywordIndex, config: Config = DEFAULT, question: str = "question"
 ) -> DataFrame:
     """(question_id, chunk_id, document_id, score) of every chunk sharing a term."""
-    weights = (
-        question_terms(questions, question)
-        .join(index.terms, "term")
-        .select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    asked = question_terms(questions, question)
+    weights = asked.join(index.terms, "term").select(
+        "question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    if "scope" in questions.columns:
+    postings = index.postings
+    scoped = "scope" in questions.columns
+    if scoped:
         weights = weights.join(questions.select("question_id", "scope"), "question_id")
-    matched = index.postings.join(weights, "term")
-    if "scope" in questions.columns:
+    if _small(asked, questions if scoped else None, config):
+        # Few enough to travel: postings of other terms are dropped before they are
+        # counted, and the rest stay where their chunk is.
+        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        weights = F.broadcast(weights)
+    matched = postings.join(weights, "term")
+    if scoped:
         matched = matched.where(in_scope(F.col("scope"), F.col("document_id")))
     k1, b = config.bm25_k1, config.bm25_b
     avgdl = only(index.corpus, "avgdl")

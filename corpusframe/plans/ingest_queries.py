@@ -43,7 +43,7 @@ SELECT doc_id, CAST(0 AS INTEGER) AS pos, text, CASE WHEN n_chars % 3 = 0 THEN C
 def decoded_blocks(spark, d):
     """A third hold stored blocks, a third an unreadable value, a third nothing."""
     stored = F.to_json(F.array(F.struct("text", F.lit(1).alias("page_number"))))
-    docs = read_table(spark, d, "documents").withColumn(
+    docs = m.texts(spark, d).withColumn(
         "blocks", F.when(F.col("n_chars") % 3 == 0, stored).when(F.col("n_chars") % 3 == 1, "{not json"))
     return ingest.decode_blocks(docs, "doc_id", "blocks", "text").select("doc_id", "pos", "text", "page_number")
 
@@ -65,7 +65,7 @@ SQUASHED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 @query(f"SELECT doc_id, sha256(text) AS sha256, sha256({SQUASHED.format('text')}) AS content_sha256 FROM documents")
 def content_hash(spark, d):
-    return ingest.content_hashes(read_table(spark, d, "documents"), "text").select("doc_id", "sha256", "content_sha256")
+    return ingest.content_hashes(m.texts(spark, d), "text").select("doc_id", "sha256", "content_sha256")
 
 
 @query(f"""
@@ -73,7 +73,7 @@ SELECT doc_id, CASE WHEN first <> doc_id THEN first END AS duplicate_of FROM (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({SQUASHED.format('text')})) AS first FROM documents)
 """)
 def dedup_report(spark, d):
-    docs = ingest.content_hashes(read_table(spark, d, "documents"), "text").select("doc_id", "content_sha256")
+    docs = ingest.content_hashes(m.texts(spark, d), "text").select("doc_id", "content_sha256")
     return ingest.dedup_exact(docs, "content_sha256", "doc_id").select("doc_id", "duplicate_of")
 
 
@@ -94,7 +94,7 @@ def dedup_anti(spark, d):
     known = ingest.duplicates_report(new, lib, "item_id").select(
         F.lit("duplicate").alias("kind"), "conv_id", "turn", "stored_as")
     # Per hash the sources in order give every document the first id of an earlier source.
-    docs = ingest.content_hashes(read_table(spark, d, "documents"), "text").select("doc_id", "source", "content_sha256")
+    docs = ingest.content_hashes(m.texts(spark, d), "text").select("doc_id", "source", "content_sha256")
     firsts = docs.groupBy("content_sha256", "source").agg(F.min("doc_id").alias("first"))
     earlier = firsts.select("content_sha256", F.col("source").alias("other"), "first")
     across = docs.join(earlier, "content_sha256").where("other < source").groupBy("doc_id").agg(
@@ -109,7 +109,7 @@ SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(stri
 FROM documents
 """)
 def clean_text(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return m.texts(spark, d).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 LINES = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, trim(unnest(l)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -133,7 +133,7 @@ UNION ALL SELECT -o, CAST(0 AS INTEGER), line, CAST({LEVEL} AS INTEGER) FROM (
 """)
 def heading_levels(spark, d):
     """Every line of every document, and order notes that take the numbered and labelled shapes."""
-    docs = read_table(spark, d, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("pos", "line"))
+    docs = m.texts(spark, d).select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("pos", "line"))
     c, o = F.col("o_custkey"), F.col("o_orderkey")
     note = (
         F.when(c % 4 == 0, F.col("o_orderpriority"))
@@ -155,7 +155,7 @@ groups AS (SELECT doc_id, cut, level IS NOT NULL AS head, max(level) AS level, s
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS pos, text, CAST(level AS INTEGER) AS heading_level FROM groups
 """)
 def text_blocks(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = m.texts(spark, d)
     return ingest.blocks_from_text(docs, "doc_id", "text").select("doc_id", "pos", "text", "heading_level")
 
 
@@ -165,13 +165,13 @@ SELECT page_id, CAST(0 AS INTEGER) AS pos, CAST(1 AS INTEGER) AS heading_level,
 FROM pages
 """)
 def html_headings(spark, d):
-    return ingest.html_headings(read_table(spark, d, "pages"))
+    return ingest.html_headings(m.texts(spark, d, "pages"))
 
 
 @query()
 def html_blocks(spark, d):
     """Whole pages walked element by element (tested against hand-made pages)."""
-    return ingest.blocks_from_html(read_table(spark, d, "pages")).select("page_id", "pos", "heading_level", "text")
+    return ingest.blocks_from_html(m.texts(spark, d, "pages")).select("page_id", "pos", "heading_level", "text")
 
 
 FAILURES = [
@@ -273,7 +273,7 @@ def needs_calc(spark, d):
 @query(f"SELECT doc_id, len({TOK.format('text')}) AS tokens, len(list_distinct({TOK.format('text')})) AS distinct_tokens FROM documents")
 def token_counts(spark, d):
     toks = text.tokens(F.col("text"))
-    return read_table(spark, d, "documents").select(
+    return m.texts(spark, d).select(
         "doc_id", F.size(toks).cast("bigint").alias("tokens"), F.size(F.array_distinct(toks)).cast("bigint").alias("distinct_tokens"))
 
 
@@ -292,7 +292,7 @@ FROM (SELECT doc_id, s, regexp_extract(substr(s, 1, 420), '(?s)^(.*[.?!]) ', 1)
 """)
 def excerpts(spark, d):
     c = F.col("text")
-    return read_table(spark, d, "documents").select(
+    return m.texts(spark, d).select(
         "doc_id", text.clip_title(c).alias("title"), text.clip(c, 140).alias("summary"), text.excerpt(c, 420).alias("excerpt"))
 
 
@@ -301,7 +301,7 @@ SELECT page_id, CASE WHEN starts_with(h, 'www.') THEN substr(h, 5) WHEN h = '' T
 FROM (SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1) AS h FROM pages)
 """)
 def page_domains(spark, d):
-    return read_table(spark, d, "pages").select("page_id", text.domain_of(F.col("url")).alias("domain"))
+    return m.texts(spark, d, "pages").select("page_id", text.domain_of(F.col("url")).alias("domain"))
 
 
 @query("""
@@ -389,13 +389,13 @@ FROM documents, unnest(range(CAST(greatest(ceil((length(text) - 200) / 800.0), 1
 WHERE trim(substr(text, CAST(i * 800 + 1 AS BIGINT), 1000)) <> ''
 """)
 def chunk_windows(spark, d):
-    return chunking.chunk_windows(read_table(spark, d, "documents"), "doc_id", "text")
+    return chunking.chunk_windows(m.texts(spark, d), "doc_id", "text")
 
 
 @query()
 def chunk_sections(spark, d):
     """Documents to blocks, sections and recursive chunks with their pages (tested by brute force)."""
-    docs = read_table(spark, d, "documents")
+    docs = m.texts(spark, d)
     blocks = ingest.blocks_from_text(docs, "doc_id", "text").withColumn("page_number", (F.floor(F.col("pos") / 5) + 1).cast("int"))
     chunks = chunking.chunk_sections(structure.section_text(blocks, "doc_id"), "doc_id")
     spans = chunking.block_spans(structure.section_blocks(blocks, "doc_id"), "doc_id")
@@ -418,7 +418,7 @@ FROM held h JOIN fallback f USING (doc_id) LEFT JOIN spans x ON x.doc_id = h.doc
 """)
 def chunk_pages(spark, d):
     """Windows of the joined lines, each on the page of the line it starts in."""
-    docs = read_table(spark, d, "documents")
+    docs = m.texts(spark, d)
     lines = docs.select("doc_id", F.lit(1).alias("section_no"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     pos = F.col("pos") + 1
     blocks = lines.withColumn("page_number", F.when(pos % 4 > 0, F.floor(F.col("pos") / 5) + 1).cast("int"))
@@ -432,7 +432,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS part, CAST(i * step AS INTEGER) AS start, s
     CAST(least(greatest(ceil(length(text) / 12000.0), 1), 6) AS BIGINT) AS n FROM documents), unnest(range(n)) AS t(i)
 """)
 def summary_windows(spark, d):
-    return chunking.summary_windows(read_table(spark, d, "documents"), "doc_id", "text")
+    return chunking.summary_windows(m.texts(spark, d), "doc_id", "text")
 
 
 @query("""

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.sources.tables import read_table
+from corpusframe.sources.tables import read_table, spread
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """documents or pages, spread over the cores where the file is too small to be."""
+    return spread(read_table(spark, folder, name), "doc_id" if name == "documents" else "page_id")
+
 
 EPOCH_2026 = 1767225600  # 2026-01-01 00:00:00 UTC
 
 
 def library(spark: SparkSession, folder: str) -> DataFrame:
     """documents as uploaded files; labels give status and decide who has a summary."""
-    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    docs, labels = texts(spark, folder), read_table(spark, folder, "labels")
     extension = (
         F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "fr", ".md")
         .when(F.col("lang") == "de", ".docx").otherwise(".pdf")

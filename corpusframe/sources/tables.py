@@ -34,6 +34,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute rows by key when the scan has fewer splits than there are cores.
+
+    Text work is CPU-bound, and one large row group would leave the other cores idle. A
+    table with splits enough (any large one) is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def describe_files(raw: DataFrame) -> DataFrame:
     """Binary files with name, declared type, first bytes and (for text types) the text."""
     extension = F.lower(F.substring_index("path", ".", -1))
