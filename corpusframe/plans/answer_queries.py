@@ -27,10 +27,22 @@ IGNORED = sql_list(fixed.STOPWORDS + fixed.SCAFFOLDING)
 define("asked_terms", f"""
 SELECT question_id, list_distinct(list_filter({TOK.format('question')}, lambda t: len(t) > 2 AND NOT list_contains({IGNORED}, t))) AS terms FROM questions
 """, ("questions",))
-define("overlap_rows", f"""
+
+
+def overlap_sql(source: str) -> str:
+    seen = TOK.format("content || ' ' || coalesce(section_path, '') || ' ' || filename")
+    return f"""
 SELECT a.question_id, coalesce(h.n, 0) AS hits, CASE WHEN len(a.terms) = 0 THEN 1.0 ELSE len(list_intersect(a.terms, coalesce(h.seen, []))) / len(a.terms) END AS overlap
-FROM asked_terms a LEFT JOIN (SELECT question_id, count(*) AS n, flatten(list({TOK.format("content || ' ' || coalesce(section_path, '') || ' ' || filename")})) AS seen FROM hits GROUP BY 1) h USING (question_id)
-""", ("asked_terms", "hits"))
+FROM asked_terms a LEFT JOIN (SELECT question_id, count(*) AS n, flatten(list({seen})) AS seen FROM {source} GROUP BY 1) h USING (question_id)
+"""
+
+
+define("overlap_rows", overlap_sql("hits"), ("asked_terms", "hits"))
+define("near_hits", """
+SELECT k.question_id, c.filename, c.content, c.section_path FROM knn k JOIN chunks c USING (chunk_id)
+WHERE k.rank <= 5 AND k.score <= 1.1 AND k.document_id <> CAST(k.question_id // 20 AS VARCHAR)
+""", ("knn", "chunks"))
+define("near_overlap", overlap_sql("near_hits"), ("asked_terms", "near_hits"))
 
 
 @query("SELECT question_id, hits, round(overlap, 6) AS overlap FROM overlap_rows", ("overlap_rows",))
@@ -42,12 +54,12 @@ def keyword_overlap(spark, d):
 SELECT question_id, hits, round(overlap, 6) AS overlap,
   CASE WHEN hits = 0 THEN 'empty' WHEN overlap < 0.2 THEN 'lexical' WHEN overlap >= 0.75 THEN 'lexical-strong' ELSE 'needs_model' END AS method,
   CASE WHEN hits = 0 OR overlap < 0.2 THEN false WHEN overlap >= 0.75 THEN true END AS sufficient
-FROM (SELECT question_id, CASE WHEN question_id % 10 = 9 THEN 0 ELSE hits END AS hits, CASE WHEN question_id % 10 = 9 AND n > 0 THEN 0.0 ELSE overlap END AS overlap
-  FROM overlap_rows JOIN (SELECT question_id, len(terms) AS n FROM asked_terms) USING (question_id))
-""", ("overlap_rows", "asked_terms"))
+FROM near_overlap
+""", ("near_overlap",))
 def evidence_bands(spark, d):
-    """One question in ten has lost its hits."""
-    hits = _hits(spark, d).where(F.col("question_id") % 10 != 9)
+    """Near hits outside the question's own book; some questions have none."""
+    own = F.floor(F.col("question_id") / 20).cast("string")
+    hits = vector.within_distance(_hits(spark, d), 1.1).where(F.col("document_id") != own)
     bands = evidence.evidence_band(evidence.keyword_overlap(m.questions(spark, d), hits))
     return bands.withColumn("overlap", F.round("overlap", 6))
 

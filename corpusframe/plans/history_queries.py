@@ -248,7 +248,6 @@ def prompt_attribution(spark, d):
     return history.prompt_attribution(m.runs(spark, d), versions)
 
 
-# Answers to events of users with an even number are cached; every event asks again a little later.
 DIGEST = "sha256(mode || chr(31) || CAST(chat_id % 4 AS VARCHAR) || chr(31) || CASE WHEN chat_id % 3 = 0 THEN '*' ELSE 'a' || (chat_id % 5) || ',b' || (chat_id % 7) END)"
 define("digests", f"""
 SELECT *, sha256(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) || chr(31) || scope) AS entry FROM (SELECT *, {DIGEST} AS scope FROM runs)
@@ -269,13 +268,13 @@ def cache_digests(spark, d):
 
 @query(f"""
 SELECT q.run_id AS question_id, {_sql_at('max(c.created_at)')} AS stored_at, arg_max(c.question, c.created_at) AS cached_question
-FROM digests q JOIN digests c ON c.entry = q.entry AND c.chat_id % 2 = 0 AND c.answered AND c.run_id <> q.run_id
+FROM digests q JOIN digests c ON c.entry = q.entry AND c.answered AND c.run_id <> q.run_id
   AND c.created_at <= q.created_at AND q.created_at < c.created_at + to_seconds(86400 * (1 + c.item % 5)) GROUP BY 1
 """, ("digests",))
 def cache_exact(spark, d):
-    """Earlier answered runs of even chats are the cache; each run asks at its own time."""
+    """Earlier answered runs are the cache; each run asks just before its own time."""
     runs = _digested(spark, d)
-    cache = runs.where("chat_id % 2 = 0 and answered").select(
+    cache = runs.where("answered").select(
         "entry", "question", F.col("created_at").alias("stored_at"), (F.lit(86400) * (1 + F.col("item") % 5)).alias("ttl_seconds"))
     asked = runs.select(F.col("run_id").alias("question_id"), "entry", (F.col("created_at") - F.expr("interval 1 microsecond")).alias("asked_at"))
     return reuse.reuse_exact(asked, cache).select("question_id", _at("stored_at").alias("stored_at"), "cached_question")
@@ -288,18 +287,18 @@ COSINE = "round(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE
 SELECT question_id, scope, entry, cached_question, round(sim, 4) AS similarity FROM (
   SELECT q.vec_id AS question_id, CAST(q.label AS VARCHAR) AS scope, CAST(c.vec_id AS VARCHAR) AS entry, 'question ' || c.vec_id AS cached_question, {COSINE.format('q.embedding', 'c.embedding')} AS sim,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE.format('q.embedding', 'c.embedding')} DESC, c.recency) AS place
-  FROM embeddings q JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS recency FROM embeddings WHERE label % 2 = 0 OR vec_id IN (SELECT item_id FROM benchmark)) c
+  FROM embeddings q JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS recency FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)) c
     ON c.label = q.label AND c.recency <= 500 WHERE q.vec_id NOT IN (SELECT item_id FROM benchmark)) WHERE place = 1 AND sim >= 0.3
 """)
 def cache_similar(spark, d):
-    """Vectors ask within their label; benchmark items are exact hits already, and all they left in odd labels."""
+    """Vectors ask within their label; those of labelled documents are cached, benchmark items are exact hits."""
     from corpusframe.config import Config
 
     vecs = read_table(spark, d, "embeddings")
     items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"))
     asked = vecs.select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("scope"), "embedding")
-    held = vecs.join(items.withColumnRenamed("question_id", "vec_id").withColumn("exact", F.lit(True)), "vec_id", "left")
-    cache = held.where("label % 2 = 0 or exact").select(
+    labelled = read_table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
+    cache = vecs.join(labelled, "vec_id", "left_semi").select(
         F.col("label").cast("string").alias("scope"), F.col("vec_id").cast("string").alias("entry"),
         F.concat(F.lit("question "), "vec_id").alias("question"), "embedding",
         F.timestamp_seconds(F.col("vec_id") * 60 + m.EPOCH_2026).alias("stored_at"))
