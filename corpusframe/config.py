@@ -68,7 +68,7 @@ class Config:
     resident_terms: int = 200_000
     resident_questions: int = 8192
     resident_values: int = 4_000_000
-    block_questions: int = 1024
+    block_questions: int = 8192
     block_vectors: int = 50_000
 
 

@@ -202,9 +202,13 @@ def composition_metrics(runs: DataFrame) -> DataFrame:
     per_run = runs.groupBy("question_id", "composition").agg(
         F.max("answered").alias("answered"), F.sum("citation_count").alias("citations"),
         F.sum("chunk_count").alias("chunks"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("cited_files")))).alias("documents_cited"),
         F.min("latency_ms").alias("latency_ms"),
     )
+    keys = ["question_id", "composition"]
+    files = runs.select(*keys, F.explode("cited_files").alias("file")).distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("documents_cited")
+    )
+    per_run = per_run.join(files, keys, "left").withColumn("documents_cited", F.coalesce("documents_cited", F.lit(0)))
     fastest = per_run.where("answered").groupBy("question_id").agg(
         F.min_by("composition", F.struct("latency_ms", "composition")).alias("fastest")
     )

@@ -9,6 +9,7 @@ from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import fixed
 from corpusframe.operators import chunking, keyword, vector
 from corpusframe.operators.scale import top_k
+from corpusframe.session import settle
 
 
 def rank_documents(
@@ -83,7 +84,8 @@ def _fill(questions, ready, scores, limit) -> DataFrame:
     way questions and documents are never paired up wholesale.
     """
     order = [F.desc("score"), F.asc("document_id")]
-    ranked = top_k(scores, ["question_id"], order, limit).drop("rank").persist()
+    ranked = top_k(scores, ["question_id"], order, limit).drop("rank")
+    ranked = settle(ranked)
     tally = ranked.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((F.col("score") > 0).cast("int")).alias("_p")
     )

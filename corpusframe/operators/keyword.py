@@ -26,10 +26,9 @@ class KeywordIndex:
     corpus: DataFrame    # n_chunks, avgdl (one row)
 
     def write(self, path: str) -> None:
-        """Persist; postings are laid out by term so a question reads few files."""
-        self.postings.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions(
-            "term"
-        ).write.mode("overwrite").parquet(f"{path}/postings")
+        """Persist. Postings stay with their chunk, so a later scoring combines map-side;
+        sorted by term inside a file they compress well and row groups can be skipped."""
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import text
 from corpusframe.operators import vector
-from corpusframe.operators.scale import top_k
+from corpusframe.operators.scale import carried_forward, top_k
 
 UNIT = "\u001f"
 
@@ -31,18 +31,25 @@ def alive(stored_at: Column, ttl_seconds: Column, now: Column) -> Column:
 
 
 def reuse_exact(questions: DataFrame, cache: DataFrame) -> DataFrame:
-    """questions(question_id, entry, asked_at) ⋈ cache on the entry, still alive, newest kept."""
-    stored = cache.select(
-        "entry", F.col("question").alias("cached_question"), "stored_at", "ttl_seconds"
-    )
-    hits = questions.join(stored, "entry").where(
-        (F.col("stored_at") <= F.col("asked_at"))
-        & alive(F.col("stored_at"), F.col("ttl_seconds"), F.col("asked_at"))
-    )
-    # Storing again overwrites, so the newest stored answer stands; a max, not a gather.
-    return hits.groupBy("question_id", "entry").agg(
-        F.max("stored_at").alias("stored_at"), F.max_by("cached_question", "stored_at").alias("cached_question")
+    """The newest answer stored under the entry when the question was asked, if still alive.
+
+    questions(question_id, entry, asked_at). Storing again overwrites, so each question sees
+    one answer: an as-of pass per entry, never the pairs of questions and stored versions.
+    """
+    stored = F.struct("stored_at", "ttl_seconds", F.col("question").alias("cached_question"))
+    moments = cache.select(
+        "entry", F.col("stored_at").alias("at"), F.lit(0).alias("side"), stored.alias("stored"),
+        F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"),
+    ).unionByName(questions.select(
+        "entry", F.col("asked_at").alias("at"), F.lit(1).alias("side"),
+        F.lit(None).cast(cache.select(stored.alias("s")).schema["s"].dataType).alias("stored"), "question_id",
+    ))
+    seen = carried_forward(
+        moments, ["entry"], ["at", "side"], F.date_trunc("hour", "at"), F.col("stored"), "answer"
     )
+    return seen.where("side = 1 and answer is not null").where(
+        alive(F.col("answer.stored_at"), F.col("answer.ttl_seconds"), F.col("at"))
+    ).select("question_id", "entry", "answer.stored_at", "answer.cached_question")
 
 
 def recent_candidates(cache: DataFrame, config: Config = DEFAULT) -> DataFrame:

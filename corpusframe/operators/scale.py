@@ -57,6 +57,30 @@ def with_halo(df: DataFrame, number: str, width: int, block: int) -> DataFrame:
     )
 
 
+def carried_forward(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str
+) -> DataFrame:
+    """Last non-null value at or before each row, for keys of any size (an as-of join).
+
+    Inside (key, bucket) a window carries the value; across buckets each bucket's last
+    value, combined map-side, is carried instead. ``bucket`` must be monotone in the order.
+    """
+    df = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    present = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = df.groupBy(*keys, "_bucket").agg(F.max_by("_value", present).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_brought"))
+    inside = (
+        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        df.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+        .join(brought, [*keys, "_bucket"])
+        .withColumn(name, F.coalesce("_inside", "_brought"))
+        .drop("_bucket", "_value", "_inside", "_brought")
+    )
+
+
 def only(df: DataFrame, column: str) -> Column:
     """A one-row aggregate as a scalar subquery, in place of a join with one row."""
     return df.select(column).scalar()

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators.scale import top_k
+from corpusframe.session import settle
 
 # Rank after rounding, so equal vectors tie exactly and fall back to the chunk id.
 DISTANCE_DIGITS = 9
@@ -220,8 +221,9 @@ def nearest(
     ])
     schema = _arrow_schema(out)
     if _fits(asked, config):
-        rows = [tuple(r) for r in asked.collect()]
+        table = asked.toArrow()
         asked.unpersist()
+        rows = list(zip(*[column.to_pylist() for column in table.columns]))
         resident = chunks.sparkSession.sparkContext.broadcast(_Questions(rows, metric))
 
         def scan(batches):
@@ -233,7 +235,7 @@ def nearest(
 
         found = candidates.mapInArrow(scan, out)
     else:
-        found = _blocks(asked, candidates, metric, out, schema, config)
+        found = _blocks(settle(asked), candidates, metric, out, schema, config)
     window = Window.partitionBy("question_id").orderBy(F.asc("score"), F.asc("chunk_id"))
     if "k" in questions.columns:
         ranked = found.withColumn("rank", F.row_number().over(window)).where("rank <= k")
@@ -243,7 +245,13 @@ def nearest(
 
 
 def _blocks(asked, candidates, metric, out, schema, config) -> DataFrame:
-    """Every block of questions meets every share of the vectors, each of bounded size."""
+    """Every block of questions meets every share of the vectors, each of bounded size.
+
+    Where all questions are scoped, vectors of other documents are left out first.
+    """
+    if asked.where("scope is null or size(scope) = 0").isEmpty():
+        wanted = asked.select(F.explode("scope").alias("document_id")).distinct()
+        candidates = candidates.join(wanted, "document_id", "left_semi").select(*candidates.columns)
     blocks = max(1, -(-asked.count() // config.block_questions))
     shares = max(1, -(-candidates.count() // config.block_vectors))
     left = asked.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks))).withColumn(

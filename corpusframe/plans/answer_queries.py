@@ -162,28 +162,27 @@ def cited_numbers(spark, d):
         "question_id", F.posexplode(text.cited_numbers(F.col("answer"))).alias("position", "number"))
 
 
-# Each answer was given the other rows of its conversation as sources, numbered from one.
+# Each answer was given the five rows before it as sources, nearest first.
 define("sources", """
-SELECT a.conv_id * 100 + a.turn AS question_id, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn) AS number,
-  b.conv_id || ':' || b.turn AS chunk_id, CASE WHEN b.turn % 4 = 3 THEN 'calculation' ELSE 'd' || (b.turn % 2) END AS document_id, b.text AS content
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn
+SELECT a.conv_id * 100 + a.turn AS question_id, CAST(k AS BIGINT) AS number, b.conv_id || ':' || b.turn AS chunk_id,
+  CASE WHEN b.turn % 4 = 3 THEN 'calculation' ELSE 'd' || (b.turn % 2) END AS document_id, b.text AS content
+FROM conversations a CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(k) JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - k
 WHERE a.role <> 'system'
 """)
 
 
 def _sources(spark, d):
-    """Other rows of the same conversation (a handful), numbered from one."""
-    from pyspark.sql import Window
-
+    """The five rows before an answer; an equi-join on (conversation, turn), whatever its length."""
     rows = read_table(spark, d, "conversations")
-    asked = rows.where("role <> 'system'").select("conv_id", F.col("turn").alias("asked_turn"))
-    order = Window.partitionBy("question_id").orderBy("turn")
-    return rows.join(asked, "conv_id").where("turn <> asked_turn").select(
-        (F.col("conv_id") * 100 + F.col("asked_turn")).alias("question_id"), "turn",
+    asked = rows.where("role <> 'system'").select(
+        "conv_id", F.col("turn").alias("asked_turn"), F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("k")
+    ).withColumn("turn", F.col("asked_turn") - F.col("k"))
+    return rows.join(asked, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 100 + F.col("asked_turn")).alias("question_id"), F.col("k").cast("bigint").alias("number"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"),
         F.when(F.col("turn") % 4 == 3, "calculation").otherwise(F.concat(F.lit("d"), F.col("turn") % 2)).alias("document_id"),
         F.col("text").alias("content"),
-    ).withColumn("number", F.row_number().over(order).cast("bigint"))
+    )
 
 
 @query("""

@@ -267,9 +267,10 @@ def cache_digests(spark, d):
 
 
 @query(f"""
-SELECT q.run_id AS question_id, {_sql_at('max(c.created_at)')} AS stored_at, arg_max(c.question, c.created_at) AS cached_question
-FROM digests q JOIN digests c ON c.entry = q.entry AND c.answered AND c.run_id <> q.run_id
-  AND c.created_at <= q.created_at AND q.created_at < c.created_at + to_seconds(86400 * (1 + c.item % 5)) GROUP BY 1
+SELECT run_id AS question_id, {_sql_at('stored.created_at')} AS stored_at, stored.question AS cached_question
+FROM (SELECT run_id, created_at, last_value(CASE WHEN answered THEN {{'created_at': created_at, 'question': question, 'item': item}} END IGNORE NULLS) OVER (
+  PARTITION BY entry ORDER BY created_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM digests)
+WHERE created_at - INTERVAL 1 MICROSECOND < stored.created_at + to_seconds(86400 * (1 + stored.item % 5))
 """, ("digests",))
 def cache_exact(spark, d):
     """Earlier answered runs are the cache; each run asks just before its own time."""

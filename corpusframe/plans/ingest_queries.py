@@ -1,5 +1,6 @@
 """Queries over sources, gates, scalar projections, structure and chunks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import fixed, text
@@ -93,12 +94,12 @@ def dedup_anti(spark, d):
         F.lit("new").alias("kind"), "conv_id", "turn", F.lit(None).cast("bigint").alias("stored_as"))
     known = ingest.duplicates_report(new, lib, "item_id").select(
         F.lit("duplicate").alias("kind"), "conv_id", "turn", "stored_as")
-    # Per hash the sources in order give every document the first id of an earlier source.
+    # Per hash, the sources in order give every document the first id of an earlier source.
     docs = ingest.content_hashes(m.texts(spark, d), "text").select("doc_id", "source", "content_sha256")
     firsts = docs.groupBy("content_sha256", "source").agg(F.min("doc_id").alias("first"))
-    earlier = firsts.select("content_sha256", F.col("source").alias("other"), "first")
-    across = docs.join(earlier, "content_sha256").where("other < source").groupBy("doc_id").agg(
-        F.min("first").alias("stored_as"))
+    before = Window.partitionBy("content_sha256").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = firsts.withColumn("stored_as", F.min("first").over(before)).where("stored_as is not null")
+    across = docs.join(earlier.drop("first"), ["content_sha256", "source"])
     return kept.unionByName(known).unionByName(across.select(
         F.lit("duplicate").alias("kind"), (-F.col("doc_id")).alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"), "stored_as"))
 

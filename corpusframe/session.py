@@ -40,18 +40,23 @@ def local_session(app: str = "corpusframe", cpus: str | int = "*") -> SparkSessi
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, or one the caller set on the context."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder:
+            context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
-    Survives executor loss, unlike a cached or local copy. Without
-    ``spark.checkpoint.dir`` (or a folder set by the caller) the plan is
-    returned as it is and simply recomputed where it is used.
-    """
 
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once what several later steps read.
+
+    With a shared checkpoint folder this is a reliable checkpoint, which survives executor
+    loss and cuts the lineage. Without one (a laptop) it is a plain cache over the full
+    lineage, so lost parts are recomputed.
+    """
+    if checkpoint_folder(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df.persist()

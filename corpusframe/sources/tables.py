@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 MIME = {
     "pdf": "application/pdf",
@@ -71,26 +72,45 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, doc: str = "document_id", buckets: int = 256) -> None:
-    """Replace the chunks of the given documents, bucket by bucket.
+def write_chunks(chunks: DataFrame, path: str, doc: str = "document_id", buckets: int = 4096) -> None:
+    """Add chunks; those of documents ingested before are replaced.
 
-    Only buckets that hold one of the documents are read (dynamic partition pruning) and
-    rewritten; dynamic overwrite stages the result and swaps the buckets on commit.
+    Documents the table does not hold are appended. Only buckets that hold a re-ingested
+    document are read (dynamic partition pruning) and rewritten; dynamic overwrite stages
+    the result and swaps the buckets on commit. A repeated call finds its documents
+    stored and replaces them with the same rows.
     """
     from corpusframe.operators.chunking import replace_chunks
 
     spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
-    new = chunks.withColumn("doc_bucket", bucket)
+    new = chunks.withColumn("doc_bucket", F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")).persist()
     try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # first write
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        new.write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
-        return
-    touched = stored.join(new.select("doc_bucket").distinct(), "doc_bucket", "left_semi")
-    merged = replace_chunks(touched.select(*new.columns), new, doc)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "doc_bucket"
-    ).parquet(path)
+        stored = _stored(spark, path)
+        if stored is None:
+            _by_bucket(new, "append", path)
+            return
+        ids = new.select("doc_bucket", doc).distinct()
+        known = ids.join(stored.select("doc_bucket", doc), ["doc_bucket", doc], "left_semi").persist()
+        if not known.isEmpty():
+            touched = stored.join(known.select("doc_bucket").distinct(), "doc_bucket", "left_semi")
+            again = new.join(known.select(doc), doc, "left_semi")
+            _by_bucket(replace_chunks(touched.select(*again.columns), again, doc), "overwrite", path)
+        _by_bucket(new.join(known.select(doc), doc, "left_anti"), "append", path)
+        known.unpersist()
+    finally:
+        new.unpersist()
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _by_bucket(df: DataFrame, mode: str, path: str) -> None:
+    # One writer per bucket, or a task would open a file in each of them.
+    placed = df.repartition("doc_bucket")
+    placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
