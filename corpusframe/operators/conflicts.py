@@ -49,25 +49,21 @@ def find_conflicts(claims: DataFrame, scope: list[str] | None = None) -> DataFra
     and the newest document are all map-side combined aggregates, and no key is gathered.
     """
     keys = [*(scope or []), "key"]
-    place = F.struct("place", "position")
+    # One struct per document, so that both readers below share one exchange of the claims.
     first = claims.groupBy(*keys, "document_id").agg(
-        F.min_by("value", place).alias("value"), F.min_by("filename", place).alias("filename"),
-        F.min_by("uploaded_at", place).alias("uploaded_at"), F.min(place).alias("place"),
+        F.min(F.struct("place", "position", "value", "filename", "uploaded_at")).alias("first")
     )
-    # Newest first, undated last; equally dated documents keep chunk order. max_by takes
-    # the largest, so chunk order enters as a separate minimum among the newest.
-    newest = first.groupBy(*keys).agg(
+    # Newest first, undated last; equally dated documents keep claim order.
+    age = F.coalesce(-F.unix_micros("first.uploaded_at"), F.lit(2**63 - 1))
+    conflicting = first.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("documents"),
-        F.min("value").alias("_low"), F.max("value").alias("_high"),
-        F.max("uploaded_at").alias("_latest"),
+        F.min("first.value").alias("_low"), F.max("first.value").alias("_high"),
+        F.min(F.struct(age.alias("age"), "first.place", "first.position", "document_id")).alias("_newest"),
     ).where("documents > 1 and _low <> _high")
-    joined = first.join(newest.drop("_low", "_high"), keys)
-    leads = F.col("uploaded_at").eqNullSafe(F.col("_latest"))
-    winner = joined.where(leads).groupBy(*keys).agg(F.min("place").alias("_winner"))
-    return (
-        joined.join(winner, keys)
-        .withColumn("current", leads & (F.col("place") == F.col("_winner")))
-        .drop("_latest", "_winner")
+    return first.join(conflicting, keys).select(
+        *keys, "document_id", "documents", "first.value", "first.filename", "first.uploaded_at",
+        F.struct("first.place", "first.position").alias("place"),
+        (F.col("document_id") == F.col("_newest.document_id")).alias("current"),
     )
 
 

@@ -11,6 +11,22 @@ from corpusframe.operators import coverage, fusion
 from corpusframe.operators.scale import top_k
 
 
+def attach_chunks(
+    hits: DataFrame, chunks: DataFrame, columns: list[str], questions: DataFrame, top: int,
+    config: Config = DEFAULT,
+) -> DataFrame:
+    """Hits with what is needed to show them, read from the chunk table.
+
+    There are at most ``top`` hits per question. While that product is within the bound the
+    hits travel and the chunk text stays where it is; beyond it both sides shuffle.
+    """
+    shown = chunks.select("chunk_id", *columns)
+    most = config.resident_hits // top
+    if questions.limit(most + 1).count() <= most:
+        return shown.join(F.broadcast(hits), "chunk_id")
+    return hits.join(shown, "chunk_id")
+
+
 def rendered(columns: list[str]) -> Column:
     """One numbered source: provenance header, then content."""
     def has(name: str) -> Column:

@@ -54,11 +54,11 @@ def section_tree(blocks: DataFrame, doc: str = "document_id") -> DataFrame:
     headings = placed.where("_heading").select(
         doc, "section_no", F.col("text").alias("title"), F.col("heading_level").alias("level")
     )
-    for k in range(1, MAX_LEVEL + 1):
-        headings = headings.withColumn(
-            f"_l{k}",
-            F.last(F.when(F.col("level") == k, F.struct("section_no", "title")), ignorenulls=True).over(before),
-        )
+    # All levels in one projection, so one window pass carries them all.
+    headings = headings.withColumns({
+        f"_l{k}": F.last(F.when(F.col("level") == k, F.struct("section_no", "title")), ignorenulls=True).over(before)
+        for k in range(1, MAX_LEVEL + 1)
+    })
 
     def number(k: int) -> Column:
         return F.coalesce(F.col(f"_l{k}.section_no"), F.lit(0))

@@ -14,9 +14,9 @@ from corpusframe.sources.tables import read_table
 def _hits(spark, d, top=5):
     """Nearest chunks with everything needed to show and cite them."""
     chunks = m.chunks(spark, d)
-    found = vector.semantic_search(m.questions(spark, d), chunks, top).withColumnRenamed("rank", "number")
-    shown = chunks.select("chunk_id", "filename", "content", "section_path", "page_number")
-    return found.join(shown, "chunk_id")
+    asked = m.questions(spark, d)
+    found = vector.semantic_search(asked, chunks, top).withColumnRenamed("rank", "number")
+    return packing.attach_chunks(found, chunks, ["filename", "content", "section_path", "page_number"], asked, top)
 
 
 define("hits", """

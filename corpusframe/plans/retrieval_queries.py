@@ -325,8 +325,9 @@ SELECT question_id, count(*) AS documents, count(*) || ' document(s) are listed
 """.replace("WITH lines", ", lines", 1), ("grouped9", "chunks"))
 def grouped_context(spark, d):
     chunks = m.chunks(spark, d)
-    hits = coverage.group_by_document(vector.semantic_search(m.questions(spark, d), chunks, 64), 9)
-    return coverage.grouped_context(hits.join(chunks.select("chunk_id", "filename", "content"), "chunk_id"))
+    asked = m.questions(spark, d)
+    hits = coverage.group_by_document(vector.semantic_search(asked, chunks, 64), 9)
+    return coverage.grouped_context(packing.attach_chunks(hits, chunks, ["filename", "content"], asked, 9))
 
 
 define("carried", "SELECT question_id + 1 AS question_id, chunk_id, document_id, score, rank AS number FROM reranked WHERE rank <= 3", ("reranked",))
