@@ -176,11 +176,11 @@ def is_degenerate(answer: Column) -> Column:
 
 
 def cited_numbers(answer: Column) -> Column:
-    """Numbers of the [n] markers in order of first use."""
+    """Numbers of the [n] markers in order of first use (null for one beyond 64 bits)."""
     groups = F.regexp_extract_all(answer, F.lit("(?U)" + fixed.CITATION), F.lit(1))
     parts = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), strip)))
     return F.array_distinct(
-        F.transform(F.filter(parts, lambda p: p.rlike("^[0-9]+$")), lambda p: p.cast("bigint"))
+        F.transform(F.filter(parts, lambda p: p.rlike("^[0-9]+$")), lambda p: p.try_cast("bigint"))
     )
 
 

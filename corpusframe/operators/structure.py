@@ -105,6 +105,11 @@ def section_text(blocks: DataFrame, doc: str = "document_id") -> DataFrame:
     ).withColumn("text", F.expr(r"regexp_replace(raw_text, '(?U)^\\s+|\\s+$', '')"))
 
 
+def content_sections(tree: DataFrame, blocks: DataFrame, doc: str = "document_id") -> DataFrame:
+    """Sections that hold text of their own, the ones worth chunking."""
+    return tree.join(section_blocks(blocks, doc).select(doc, "section_no"), [doc, "section_no"], "left_semi")
+
+
 def section_outline(tree: DataFrame, doc: str = "document_id", limit: int | None = None) -> DataFrame:
     """Indented ``- [id] title`` lines per document."""
     shown = tree if limit is None else tree.where(F.col("section_no") <= limit)

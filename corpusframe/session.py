@@ -20,6 +20,9 @@ RUNTIME = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    # In one JVM the stock 200 shuffle partitions only add scheduling; a cluster keeps its own.
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, spark.sparkContext.defaultParallelism)))
     return spark
 
 

@@ -25,6 +25,7 @@ def test_preamble_is_a_parent_and_headings_without_text_stay(frame):
     source = blocks(frame, [("intro", None, 2), ("Deep", 2, None), ("body", None, 5), ("Empty", 1, None)])
     tree = structure.section_tree(source).orderBy("section_no").collect()
     assert [(r.title, r.level, r.parent_section_id) for r in tree] == [("Preamble", 1, None), ("Deep", 2, "s1"), ("Empty", 1, None)]
+    assert [r.section_id for r in structure.content_sections(structure.section_tree(source), source).orderBy("section_no").collect()] == ["s1", "s2"]
     texts = {r.section_no: (r.text, r.page_start, r.page_end) for r in structure.section_text(source).collect()}
     assert texts == {1: ("intro", 2, 2), 2: ("body", 5, 5)}
     assert structure.section_outline(structure.section_tree(source)).first().outline == "- [s1] Preamble\n  - [s2] Deep\n- [s3] Empty"

@@ -99,8 +99,8 @@ def test_needs_calculation(column):
 
 
 def test_citations(column):
-    assert column(text.cited_numbers, "A [3]. B [1][3]. C [2]", "[1, 2]", "[appendix]", "none", "[ 4 ,x, 4]") == [
-        [3, 1, 2], [1, 2], [], [], []]
+    assert column(text.cited_numbers, "A [3]. B [1][3]. C [2]", "[1, 2]", "[appendix]", "none", "[ 4 ,x, 4]", "[99999999999999999999]") == [
+        [3, 1, 2], [1, 2], [], [], [], [None]]
     assert column(text.is_degenerate, "[2]", "A proper answer in words [2].", "Fourteen lettr", "") == [True, False, True, True]
 
 
