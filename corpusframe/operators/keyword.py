@@ -40,20 +40,25 @@ class KeywordIndex:
 def postings_of(chunks: DataFrame) -> DataFrame:
     """Term frequencies per chunk.
 
-    Rows are placed by chunk before they are cut into tokens. From there on counting,
-    scoring and the first top-k all happen where the chunk is, so a hot term is spread
-    over every partition, and the text is the only thing that moves.
+    Rows are placed by chunk before they are cut into tokens, and frequencies are run
+    lengths of the sorted tokens inside the row. From there on scoring and the first
+    top-k happen where the chunk is, so a hot term is spread over every partition, and
+    the text is the only thing that moves.
     """
     placed = chunks.select("chunk_id", "document_id", "content").repartition("chunk_id")
+    tokens = F.sort_array(text.tokens(F.col("content")))
+    sized = placed.select("chunk_id", "document_id", tokens.alias("tokens")).select("*", F.size("tokens").alias("dl"))
+    # No sequence for an empty chunk; a filter on the size would run before the shuffle too.
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = F.transform("starts", lambda i, at: F.struct(
+        F.get("tokens", i).alias("term"), (F.coalesce(F.get("starts", at + 1), F.col("dl")) - i).alias("tf")
+    ))
     return (
-        placed.select("chunk_id", "document_id", text.tokens(F.col("content")).alias("tokens"))
-        # An outer explode: for an inner one Spark would tokenise before the shuffle as well,
-        # to drop empty chunks there.
-        .select("chunk_id", "document_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        sized.select("*", starts.alias("starts"))
+        .select("chunk_id", "document_id", "dl", F.explode_outer(runs).alias("run"))
+        .select(F.col("run.term").alias("term"), "chunk_id", "document_id", F.col("run.tf").alias("tf"), "dl")
         .where("term is not null")
-        .groupBy("chunk_id", "document_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "chunk_id", "document_id", "tf", "dl")
     )
 
 
@@ -149,16 +154,13 @@ def keyword_scores(
     weights = asked.join(index.terms, "term").select(
         "question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    postings = index.postings
     scoped = "scope" in questions.columns
     if scoped:
         weights = weights.join(questions.select("question_id", "scope"), "question_id")
     if _small(asked, questions if scoped else None, config):
-        # Few enough to travel: postings of other terms are dropped before they are
-        # counted, and the rest stay where their chunk is.
-        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        # Few enough to travel: postings stay where their chunk is.
         weights = F.broadcast(weights)
-    matched = postings.join(weights, "term")
+    matched = index.postings.join(weights, "term")
     if scoped:
         matched = matched.where(in_scope(F.col("scope"), F.col("document_id")))
     k1, b = config.bm25_k1, config.bm25_b

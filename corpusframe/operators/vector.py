@@ -188,10 +188,19 @@ def _prepared(questions: DataFrame, top: int) -> DataFrame:
     )
 
 
-def _fits(questions: DataFrame, config: Config) -> bool:
-    weight = F.size("embedding") + F.greatest(F.size("scope"), F.lit(0)) + F.greatest(F.size("section_scope"), F.lit(0))
-    sizes = questions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("w")).first()
-    return sizes["n"] <= config.resident_questions and sizes["w"] <= config.resident_values
+def _resident(asked: DataFrame, scoped: bool, config: Config) -> list[tuple] | None:
+    """The questions themselves when they are within the bound, else None."""
+    if scoped:
+        # Allow-lists can be of any length, so the size is known before a row is fetched.
+        weight = F.size("embedding") + F.greatest(F.size("scope"), F.lit(0)) + F.greatest(F.size("section_scope"), F.lit(0))
+        size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("w")).first()
+        if size["n"] > config.resident_questions or size["w"] > config.resident_values:
+            return None
+    table = asked.limit(config.resident_questions + 1).toArrow()
+    if table.num_rows > config.resident_questions:
+        return None
+    rows = list(zip(*[column.to_pylist() for column in table.columns]))
+    return rows if sum(len(r[1]) for r in rows) <= config.resident_values else None
 
 
 def nearest(
@@ -206,7 +215,10 @@ def nearest(
     never match. Ties fall back to the chunk id.
     """
     limit = top or config.top_k
-    asked = _prepared(questions, limit).persist()
+    scoped = bool({"scope", "section_scope"} & set(questions.columns))
+    asked = _prepared(questions, limit)
+    if scoped:
+        asked = asked.persist()
     section = F.col("section_id") if "section_id" in chunks.columns else F.lit(None)
     candidates = chunks.where(F.size("embedding") > 0).select(
         F.col("chunk_id").cast("string").alias("chunk_id"),
@@ -220,10 +232,9 @@ def nearest(
         T.StructField("score", T.DoubleType()), T.StructField("k", T.LongType()),
     ])
     schema = _arrow_schema(out)
-    if _fits(asked, config):
-        table = asked.toArrow()
+    rows = _resident(asked, scoped, config)
+    if rows is not None:
         asked.unpersist()
-        rows = list(zip(*[column.to_pylist() for column in table.columns]))
         resident = chunks.sparkSession.sparkContext.broadcast(_Questions(rows, metric))
 
         def scan(batches):
