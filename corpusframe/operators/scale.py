@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+# Above this many shuffle partitions, a top-k is merged in two steps of this width.
+WIDE_PARTITIONS = 1000
+MERGE_WIDTH = 256
+
+
+def top_k(
+    df: DataFrame, keys: list[str], order: list[Column], k: int | Column, rank: str = "rank"
+) -> DataFrame:
     """First k rows per key.
 
-    The literal bound lets Spark prune each partition to k rows per key before the
-    shuffle (WindowGroupLimit), so a hot key never gathers in one task.
+    A literal bound lets Spark prune each partition to k rows per key before the shuffle
+    (WindowGroupLimit), so a hot key never gathers in one task. On a wide cluster even
+    k rows from every partition are many, so groups of partitions are merged first.
     """
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > WIDE_PARTITIONS:
+        df = df.withColumn("_part", F.spark_partition_id() % MERGE_WIDTH)
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_part", "_n")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

@@ -13,7 +13,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,12 +247,8 @@ def nearest(
         found = candidates.mapInArrow(scan, out)
     else:
         found = _blocks(settle(asked), candidates, metric, out, schema, config)
-    window = Window.partitionBy("question_id").orderBy(F.asc("score"), F.asc("chunk_id"))
-    if "k" in questions.columns:
-        ranked = found.withColumn("rank", F.row_number().over(window)).where("rank <= k")
-    else:
-        ranked = top_k(found, ["question_id"], [F.asc("score"), F.asc("chunk_id")], limit)
-    return ranked.drop("k")
+    bound = F.col("k") if "k" in questions.columns else limit
+    return top_k(found, ["question_id"], [F.asc("score"), F.asc("chunk_id")], bound).drop("k")
 
 
 def _blocks(asked, candidates, metric, out, schema, config) -> DataFrame:

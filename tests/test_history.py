@@ -122,6 +122,17 @@ def test_status_fold(frame):
     assert got == {"a": ("READY", 2, None), "b": ("FAILED", 1, "parse"), "c": ("UPLOADED", 0, None)}
 
 
+def test_top_k_in_two_steps(frame, monkeypatch):
+    df = frame("k int, v int", [(i % 3 if i % 2 else 0, i) for i in range(500)]).repartition(7)
+    want = sorted(map(tuple, scale.top_k(df, ["k"], [F.desc("v")], 4).collect()))
+    monkeypatch.setattr(scale, "WIDE_PARTITIONS", 0)
+    monkeypatch.setattr(scale, "MERGE_WIDTH", 3)
+    plan = scale.top_k(df, ["k"], [F.desc("v")], 4)
+    assert sorted(map(tuple, plan.collect())) == want
+    bounded = scale.top_k(df.withColumn("n", F.col("k") + 1), ["k"], [F.desc("v")], F.col("n"))
+    assert sorted(r.k for r in bounded.collect()) == [0, 1, 1, 2, 2, 2]
+
+
 def test_numbering_and_halo_helpers(frame):
     rows = [(i % 2, i) for i in range(100)]
     df = frame("k int, v int", rows)
