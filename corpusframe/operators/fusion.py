@@ -107,7 +107,7 @@ def combine(semantic: DataFrame | None, hierarchical: DataFrame | None, sparse:
         .withColumn("_n_dense", F.sum(is_dense.cast("int")).over(mine))
         .withColumn("_n_sparse", F.sum((~is_dense).cast("int")).over(mine))
         # Hierarchical rows continue the dense list after the semantic ones.
-        .withColumn("_position", F.col("rank") + F.when(F.col("_list") == 1, F.col("_n_semantic")).otherwise(0))
+        .withColumn("_position", (F.col("rank") + F.when(F.col("_list") == 1, F.col("_n_semantic")).otherwise(0)).cast("int"))
     )
     own_rank = F.when(is_dense, F.col("rank"))
     single = lists.where("_n_dense = 0 or _n_sparse = 0").select(

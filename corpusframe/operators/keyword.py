@@ -25,13 +25,6 @@ class KeywordIndex:
     terms: DataFrame     # term, df, idf
     corpus: DataFrame    # n_chunks, avgdl (one row)
 
-    def write(self, path: str) -> None:
-        """Persist. Postings stay with their chunk, so a later scoring combines map-side;
-        sorted by term inside a file they compress well and row groups can be skipped."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
     @staticmethod
     def read(spark, path: str) -> "KeywordIndex":
         return KeywordIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")])
@@ -103,6 +96,20 @@ def build_index(chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
     return _index(postings_of(chunks), chunks, config)
 
 
+def write_index(chunks: DataFrame, path: str, config: Config = DEFAULT) -> KeywordIndex:
+    """Persist an index and return it as stored; the statistics are read off the stored postings.
+
+    Postings stay with their chunk, so a later scoring combines map-side; sorted by term
+    inside a file they compress well.
+    """
+    spark = chunks.sparkSession
+    postings_of(chunks).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index = _index(spark.read.parquet(f"{path}/postings"), chunks, config)
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    return KeywordIndex.read(spark, path)
+
+
 def refresh_index(index: KeywordIndex, chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
     """Tokenise only chunks the index does not hold; drop those that vanished."""
     known = index.postings.select("chunk_id").distinct()
@@ -130,6 +137,11 @@ def question_terms(questions: DataFrame, question: str = "question") -> DataFram
     )
 
 
+def scope_filter(df: DataFrame, document_ids: list[str] | None) -> DataFrame:
+    """Rows of the given documents; null or empty is the whole library."""
+    return df.where(F.col("document_id").isin(sorted(set(document_ids)))) if document_ids else df
+
+
 def in_scope(scope: Column, document_id: Column) -> Column:
     """A null or empty scope is the whole library."""
     return scope.isNull() | (F.size(scope) == 0) | F.array_contains(scope, document_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusframe import schemas
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators import chunking, history, ingest, library, reuse, structure
 from corpusframe.sources import tables
@@ -39,7 +40,7 @@ def stream_ingest(
     late: str = "1 hour",
 ):
     """Watch a folder; a file's bytes are ingested once, re-ingestion replaces its chunks."""
-    raw = spark.readStream.format("binaryFile").schema(tables.FILES).option(
+    raw = spark.readStream.format("binaryFile").schema(schemas.FILES).option(
         "recursiveFileLookup", "true"
     ).load(source)
     files = tables.describe_files(raw).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["sha256"])

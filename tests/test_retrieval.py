@@ -60,9 +60,11 @@ def test_keyword_scope_fills_top_k_after_scoping(frame):
 
 def test_refresh_equals_rebuild(frame, tmp_path, spark):
     old = chunk_frame(frame, {k: v for k, v in TEXTS.items() if k != "b:0"} | {"z:0": "gone now"})
-    index = keyword.build_index(old)
-    index.write(str(tmp_path / "index"))
-    stored = keyword.KeywordIndex.read(spark, str(tmp_path / "index"))
+    stored = keyword.write_index(old, str(tmp_path / "index"))
+    one = frame("question_id int, question string", [(1, "leave days gone")])
+    hits = lambda index: sorted(map(tuple, keyword.keyword_search(one, index).collect()))
+    assert hits(stored) == hits(keyword.build_index(old)) != []
+    assert keyword.scope_filter(old, ["a", "a"]).count() == 2 and keyword.scope_filter(old, []).count() == old.count()
     live = chunk_frame(frame)
     changes = {(r.chunk_id, r.change) for r in keyword.index_changes(stored, live).collect()}
     assert changes == {("b:0", "added"), ("b:1", "added"), ("z:0", "removed")}
