@@ -66,6 +66,7 @@ class Config:
 
     # Size bounds for what may travel to every task (see operators/keyword.py, vector.py).
     resident_terms: int = 200_000
+    hot_rows: int = 1_000_000
     resident_hits: int = 500_000
     resident_questions: int = 8192
     resident_values: int = 4_000_000

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import text
-from corpusframe.operators.scale import only, top_k
+from corpusframe.operators.scale import join_hot_keys, only, top_k
 
 SCORE_DIGITS = 6
 
@@ -171,8 +171,12 @@ def keyword_scores(
         weights = weights.join(questions.select("question_id", "scope"), "question_id")
     if _small(asked, questions if scoped else None, config):
         # Few enough to travel: postings stay where their chunk is.
-        weights = F.broadcast(weights)
-    matched = index.postings.join(weights, "term")
+        matched = index.postings.join(F.broadcast(weights), "term")
+    else:
+        # Both sides move by term; a term found in a large part of the chunks is split.
+        matched = join_hot_keys(
+            index.postings, weights, "term", index.terms, "df", "chunk_id", config.hot_rows
+        )
     if scoped:
         matched = matched.where(in_scope(F.col("scope"), F.col("document_id")))
     k1, b = config.bm25_k1, config.bm25_b

@@ -93,6 +93,31 @@ def carried_forward(
     )
 
 
+# A key above this share of the rows is split; at most that many keys can be.
+HOT_SHARE = 4096
+
+
+def join_hot_keys(
+    left: DataFrame, right: DataFrame, key: str, counts: DataFrame, n: str, spread_by: str, least: int
+) -> DataFrame:
+    """Inner join where one key may hold a large part of the left rows.
+
+    counts(key, n) gives the left rows per key. Keys above 1/4096 of all rows (and above
+    ``least`` rows) are split by the hash of ``spread_by``, their right rows repeated per
+    split. No more than 4096 keys can be that large, so their list is safe to broadcast.
+    """
+    total = counts.agg(F.sum(n).alias("total")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col(n) > F.greatest(F.lit(least), total / HOT_SHARE))
+        .select(key, F.ceil(F.col(n) * HOT_SHARE / total).cast("int").alias("_splits"))
+    )
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_splits")).cast("int"), F.lit(0))
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
+    split = left.join(hot, key, "left").withColumn("_salt", salt).drop("_splits")
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_splits")
+    return split.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def only(df: DataFrame, column: str) -> Column:
     """A one-row aggregate as a scalar subquery, in place of a join with one row."""
     return df.select(column).scalar()

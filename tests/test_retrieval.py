@@ -35,7 +35,7 @@ def chunk_frame(frame, texts=TEXTS):
     return frame("chunk_id string, document_id string, content string", [(k, k.split(":")[0], v) for k, v in texts.items()])
 
 
-@pytest.mark.parametrize("config", [Config(), Config(resident_terms=0)])
+@pytest.mark.parametrize("config", [Config(), Config(resident_terms=0), Config(resident_terms=0, hot_rows=1)])
 def test_bm25_equals_the_formula(frame, config):
     questions = frame("question_id int, question string", [(1, "Annual leave days days?"), (2, "probation"), (3, "nothing here"), (4, "!!")])
     index = keyword.build_index(chunk_frame(frame), config)
