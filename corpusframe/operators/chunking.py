@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators import structure
+from corpusframe.session import ship
 
 # Tried in order; the last one cuts between characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -94,6 +95,7 @@ def chunk_sections(
     sections(doc, section_no, text). Cutting runs in Arrow batches where the section
     lies; only the numbering shuffles, by document.
     """
+    ship(sections.sparkSession)
     key_type = sections.schema[doc].dataType.simpleString()
     pieces = sections.select(doc, "section_no", "text").mapInPandas(
         _splitter(config.chunk_size, config.chunk_overlap),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import fixed, text
+from corpusframe.session import ship
 
 BLOCK = "array<struct<text:string,page_number:int,heading_level:int>>"
 
@@ -197,6 +198,7 @@ def _walk_html(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def blocks_from_html(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """h1-h6, p, li, pre, table and blockquote in order; nested ones belong to their owner."""
+    ship(pages.sparkSession)
     key_type = pages.schema[page_id].dataType.simpleString()
     walked = pages.select(page_id, html).mapInPandas(
         _walk_html, f"doc {key_type}, pos int, raw string, heading_level int"

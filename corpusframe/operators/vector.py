@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators.scale import top_k
-from corpusframe.session import settle
+from corpusframe.session import settle, ship
 
 # Rank after rounding, so equal vectors tie exactly and fall back to the chunk id.
 DISTANCE_DIGITS = 9
@@ -215,6 +215,7 @@ def nearest(
     never match. Ties fall back to the chunk id.
     """
     limit = top or config.top_k
+    ship(chunks.sparkSession)
     scoped = bool({"scope", "section_scope"} & set(questions.columns))
     asked = _prepared(questions, limit)
     if scoped:

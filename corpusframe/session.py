@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,26 @@ def local_session(app: str = "corpusframe", cpus: str | int = "*") -> SparkSessi
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Tasks run wherever an executor is, so they cannot rely on the driver's import path.
+    Nothing is added when the package itself came in an archive (``--py-files``).
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="corpusframe-")) / "corpusframe.zip"
+    with ZipFile(archive, "w") as files:
+        for source in sorted(package.rglob("*.py")):
+            files.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names, or one the caller set on the context."""
     context = spark.sparkContext

@@ -93,3 +93,23 @@ def test_metrics_stream_equals_batch(spark, frame, tmp_path):
     sessions = jobs.stream_chat_sessions(stream).writeStream.outputMode("complete").format("memory").queryName("sessions").start()
     drain(sessions)
     assert spark.table("sessions").agg(F.sum("runs")).first()[0] == 100
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A driver started elsewhere still runs Python tasks."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    script = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from corpusframe.operators import vector\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "rows = spark.createDataFrame([('a', 'd', [1.0])], 'chunk_id string, document_id string, embedding array<double>')\n"
+        "asked = spark.createDataFrame([(1, [1.0])], 'question_id int, embedding array<double>')\n"
+        "print('found', vector.nearest(asked, rows).count())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert "found 1" in done.stdout, done.stderr[-2000:]
