@@ -141,9 +141,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
     limits = _shared(settle(thresholds(settle(sized(docs)), weights, cap)))
-    sized_docs = docs.withColumn("size", word_count(F.col("text")))
-    out = with_copies(sized_docs, limits).where(F.col("copies") > 0)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    out = with_copies(rows, limits).where(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same rows in DuckDB.

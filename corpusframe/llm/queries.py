@@ -27,6 +27,14 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_quality(read) -> DataFrame:
+    """Quality rules of every document."""
+    from corpusframe.llm import op1_quality as quality
+
+    return quality.judge(read("documents"), read("labels"))
+
+
 @query
 def op4_bpe(read) -> DataFrame:
     """Byte-level BPE of every document, and back."""
