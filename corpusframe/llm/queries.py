@@ -56,6 +56,14 @@ def op9_langid(read) -> DataFrame:
     return langid.identify(read("documents"))
 
 
+@query
+def op7_toxicity(read) -> DataFrame:
+    """Toxicity of every document."""
+    from corpusframe.llm import op7_toxicity as toxicity
+
+    return toxicity.rate(read("documents"), read("labels"))
+
+
 @query
 def op8_mixing(read) -> DataFrame:
     """All documents mixed to the weights of their sources."""
