@@ -45,8 +45,9 @@ def test_held_out_quality(spark):
 
 
 def test_strange_rows(spark):
-    rows = [(i, f"clean text number {i} here", 0) for i in range(40)] + [(100 + i, f"you idiot number {i}", 1) for i in range(40)]
-    odd = [(201, None), (202, ""), (None, "you idiot"), (203, "clean. " * 50_000 + "idiot"), (100, "you idiot number 0")]
+    own = lambda i: " ".join(chr(97 + i // 26) + chr(97 + i % 26) + end for end in ("ra", "lo", "mi", "tu"))
+    rows = [(i, own(i), 0) for i in range(90)] + [(100 + i, f"{own(100 + i)} idiot {own(200 + i)}", 1) for i in range(90)]
+    odd = [(201, None), (202, ""), (None, "you idiot"), (203, "clean. " * 50_000 + "idiot"), (100, "you idiot")]
     df = spark.createDataFrame([r[:2] for r in rows] + odd, "doc_id long, text string").withColumn("toxic", F.lit("x")).withColumn("marks", F.lit(1))
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (201, 0), (5, None)], "doc_id long, toxic int").withColumn("text", F.lit(""))
     got = toxicity.rate(df, labels).collect()
