@@ -72,6 +72,14 @@ def op8_mixing(read) -> DataFrame:
     return mixing.mix(read("documents"))
 
 
+@query
+def op10_html(read) -> DataFrame:
+    """Main text of every page."""
+    from corpusframe.llm import op10_html as pages
+
+    return pages.extract(read("pages"))
+
+
 def _sql() -> None:
     from corpusframe.llm import op8_mixing
 
