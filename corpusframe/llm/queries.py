@@ -35,6 +35,14 @@ def op1_quality(read) -> DataFrame:
     return quality.judge(read("documents"), read("labels"))
 
 
+@query
+def op3_simhash(read) -> DataFrame:
+    """Near duplicates among all documents."""
+    from corpusframe.llm import op3_simhash as simhash
+
+    return simhash.components(read("documents"))
+
+
 @query
 def op4_bpe(read) -> DataFrame:
     """Byte-level BPE of every document, and back."""
@@ -48,6 +56,15 @@ def op4_bpe(read) -> DataFrame:
     )
 
 
+@query
+def op6_ann(read) -> DataFrame:
+    """Nearest vectors of every twentieth vector."""
+    from corpusframe.llm import op6_ann as ann
+
+    vectors = read("embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query
 def op9_langid(read) -> DataFrame:
     """Language of every document."""
