@@ -149,7 +149,7 @@ def _contracted(links: DataFrame) -> DataFrame:
     """(a, b): every linked value with the smallest of its component, by alternating large and small stars."""
     edges, before = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
-        both = settle(edges.union(edges.select("b", "a")).toDF("u", "v"))
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")))
         large = join_hot_keys(both.where("v > u"), least.select("u", "m"), "u", least, "n", "v", SPLIT_ROWS).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = settle(large)

@@ -35,6 +35,14 @@ def op1_quality(read) -> DataFrame:
     return quality.judge(read("documents"), read("labels"))
 
 
+@query
+def op2_suffix(read) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    from corpusframe.llm import op2_suffix as suffix
+
+    return suffix.report(read("documents"))
+
+
 @query
 def op3_simhash(read) -> DataFrame:
     """Near duplicates among all documents."""
