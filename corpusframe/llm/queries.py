@@ -64,6 +64,14 @@ def op4_bpe(read) -> DataFrame:
     )
 
 
+@query
+def op5_pst(read) -> DataFrame:
+    """Language-model scores of every document."""
+    from corpusframe.llm import op5_pst as pst
+
+    return pst.score(read("documents"))
+
+
 @query
 def op6_ann(read) -> DataFrame:
     """Nearest vectors of every twentieth vector."""
