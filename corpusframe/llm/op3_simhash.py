@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.llm.common import bounded, ids_and_text, settle
-from corpusframe.operators.scale import join_hot_keys
 
 RADIUS = 2
 SHINGLE = 3
@@ -26,8 +25,6 @@ SEED = 42
 SHARD = 512
 #: Expected fingerprints of a shard from which on more pieces are compared.
 CROWDED = 64
-#: Keys with fewer rows are never split in a join.
-SPLIT_ROWS = 1_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -117,8 +114,9 @@ def _links(prints: DataFrame) -> DataFrame:
     masks = _masks(prints.count())
     keyed = prints.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
     keyed = keyed.select("print", "mask", F.xxhash64("mask", F.col("print").bitwiseAND(F.col("mask"))).alias("shard"))
-    counts = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = settle(join_hot_keys(keyed, counts, "shard", counts, "n", "print", SPLIT_ROWS))
+    # Joins here meet two settled tables, one of them with single keys, so a hot key is split at run time.
+    counts = settle(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    keyed = settle(keyed.join(counts, "shard"))
 
     def trees(batches):
         held_shard, held, out = None, [], []
@@ -150,12 +148,11 @@ def _contracted(links: DataFrame) -> DataFrame:
     edges, before = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")))
-        large = join_hot_keys(both.where("v > u"), least.select("u", "m"), "u", least, "n", "v", SPLIT_ROWS).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = settle(large)
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         # Every smaller neighbour, and the node itself, goes to the smallest.
-        smallest = settle(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = join_hot_keys(large, smallest.select("a", "m"), "a", smallest, "n", "b", SPLIT_ROWS)
+        smallest = settle(large.groupBy("a").agg(F.min("b").alias("m")))
+        moved = large.join(smallest, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
         edges = settle(small.where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -183,10 +180,9 @@ def components(docs: DataFrame) -> DataFrame:
     Other columns are not looked at; an empty table gives an empty one.
     """
     marked = settle(fingerprints(docs))
-    prints = settle(marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    prints = settle(marked.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = _contracted(_links(prints.select("print")))
     rooted = settle(prints.join(roots.toDF("print", "root"), "print", "left").withColumn("root", F.coalesce("root", "print")))
-    named = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    by_print = settle(join_hot_keys(rooted.drop("n"), named.select("root", "component_id"), "root", named, "n", "print", SPLIT_ROWS).select("print", "component_id"))
-    out = join_hot_keys(marked, by_print, "print", prints.select("print", "n"), "n", "doc_id", SPLIT_ROWS)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_print = settle(rooted.join(named, "root").select("print", "component_id"))
+    return marked.join(by_print, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
