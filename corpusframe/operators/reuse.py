@@ -78,14 +78,25 @@ def best_match(questions: DataFrame, cache: DataFrame, config: Config = DEFAULT)
 def reuse_similar(
     questions: DataFrame, cache: DataFrame, exact: DataFrame, config: Config = DEFAULT
 ) -> DataFrame:
-    """Close enough answers for questions without an exact hit; a threshold of 1 turns it off."""
+    """Close enough answers for questions without an exact hit; a threshold of 1 turns it off.
+
+    Of an entry stored again only the newest version counts. Where questions have asked_at and the cache
+    ttl_seconds, a best entry that has expired by then is a miss.
+    """
+    cache = top_k(cache, ["scope", "entry"], [F.desc("stored_at"), F.asc("question")], 1, "_version").drop("_version")
     misses = questions.join(exact.select("question_id"), "question_id", "left_anti")
     best = best_match(misses, cache, config)
     if config.similarity_threshold >= 1.0:
         best = best.limit(0)
     close = best.where(F.col("similarity") >= config.similarity_threshold)
-    named = cache.select("scope", "entry", F.col("question").alias("cached_question"))
-    return close.join(named, ["scope", "entry"]).withColumn("similarity", F.round("similarity", 4))
+    timed = "asked_at" in questions.columns and "ttl_seconds" in cache.columns
+    times = ["stored_at", "ttl_seconds"] if timed else []
+    named = cache.select("scope", "entry", F.col("question").alias("cached_question"), *times)
+    found = close.join(named, ["scope", "entry"])
+    if timed:
+        found = found.join(questions.select("question_id", "asked_at"), "question_id")
+        found = found.where(alive(F.col("stored_at"), F.col("ttl_seconds"), F.col("asked_at"))).drop(*times, "asked_at")
+    return found.withColumn("similarity", F.round("similarity", 4))
 
 
 def ttl_of(tools_used: Column, config: Config = DEFAULT) -> Column:

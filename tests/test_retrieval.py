@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -324,3 +325,14 @@ def test_digests_ignore_order_and_spacing(frame):
     scope = reuse.scope_digest(F.lit("semantic"), F.lit(5), F.col("ids"))
     rows = df.select(scope.alias("s"), reuse.entry_digest(F.col("q"), scope).alias("e")).collect()
     assert rows[0] == rows[1] and rows[0].s != rows[2].s
+
+
+def test_similar_reuse_keeps_the_newest_living_version(frame):
+    cache = frame(
+        "scope string, entry string, question string, embedding array<double>, stored_at timestamp, ttl_seconds int",
+        [("s", "e", "old", [1.0, 0.0], datetime(2026, 1, 1), 60), ("s", "e", "new", [1.0, 0.0], datetime(2026, 1, 2), 60)])
+    asked = frame(
+        "question_id int, scope string, embedding array<double>, asked_at timestamp",
+        [(1, "s", [1.0, 0.0], datetime(2026, 1, 2, 0, 0, 30)), (2, "s", [1.0, 0.0], datetime(2026, 2, 1))])
+    none = frame("question_id int", [])
+    assert [(r.question_id, r.cached_question) for r in reuse.reuse_similar(asked, cache, none).collect()] == [(1, "new")]
