@@ -90,7 +90,7 @@ def _blocks(rows: DataFrame, size: int, columns: str):
             ids, parts = held.pop(width)
             vectors = np.ascontiguousarray(np.stack(parts))
             code = encode(vectors) if "codes" in columns else None
-            out = {"width": [width], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [vectors.tobytes()]}
+            out = {"width": pa.array([width], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "vectors": [vectors.tobytes()]}
             if code:
                 out |= {"codes": [code[0].tobytes()], "lengths": [code[1].tobytes()], "cosines": [code[2].tobytes()]}
             return pa.RecordBatch.from_pydict(out)
