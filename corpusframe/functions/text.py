@@ -13,6 +13,8 @@ from corpusframe.functions import fixed
 SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 ELLIPSIS = "…"
+# A numbered line; the number is its first group.
+NUMBERED_HEADING = r"(?i)^(?:section\s+)?(\d+(?:\.\d+)*)\.?\s+\S"
 
 
 def words_in(values) -> Column:
@@ -58,7 +60,7 @@ def file_sha256(content: Column) -> Column:
 def heading_level(line: Column) -> Column:
     """Level of a heading guessed from the shape of a line, else null."""
     s = strip(line)
-    number = F.regexp_extract(s, "(?U)" + fixed.NUMBERED_HEADING, 1)
+    number = F.regexp_extract(s, "(?U)" + NUMBERED_HEADING, 1)
     numbered = number != ""
     words = F.size(F.split(squash(s), " "))
     upper = s.rlike(r"(?U)\p{Upper}") & ~s.rlike(r"(?U)\p{Lower}|\p{Lt}") & s.rlike(r"\p{L}")
@@ -107,10 +109,8 @@ def smalltalk_kind(question: Column) -> Column:
     form = smalltalk_form(question)
     short = (F.length(question) <= fixed.SMALLTALK_MAX_CHARACTERS) & (form != "")
     chain = None
-    for kind, block in fixed.SMALLTALK.items():
-        phrases = [p.strip().replace("'", " ") for line in block.strip().splitlines()
-                   for p in line.split("|")]
-        hit = short & form.isin(phrases)
+    for kind, phrases in fixed.SMALLTALK.items():
+        hit = short & form.isin([p.replace("'", " ") for p in phrases])
         chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
     return chain
 

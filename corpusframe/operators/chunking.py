@@ -78,11 +78,11 @@ def _splitter(size: int, overlap: int):
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc, section, start, piece)
+                (doc, section, number, start, piece)
                 for doc, section, body in batch.itertuples(index=False)
-                for start, piece in split_text(body or "", size, overlap)
+                for number, (start, piece) in enumerate(split_text(body or "", size, overlap))
             ]
-            yield pd.DataFrame(rows, columns=["doc", "section_no", "start", "content"])
+            yield pd.DataFrame(rows, columns=["doc", "section_no", "piece_no", "start", "content"])
 
     return split
 
@@ -92,16 +92,17 @@ def chunk_sections(
 ) -> DataFrame:
     """Chunks of each section's text, numbered over the whole document.
 
-    sections(doc, section_no, text). Cutting runs in Arrow batches where the section
+    sections(doc, section_no, text). Chunks count in the order they are cut, as two can start
+    at one place. Cutting runs in Arrow batches where the section
     lies; only the numbering shuffles, by document.
     """
     ship(sections.sparkSession)
     key_type = sections.schema[doc].dataType.simpleString()
     pieces = sections.select(doc, "section_no", "text").mapInPandas(
         _splitter(config.chunk_size, config.chunk_overlap),
-        f"doc {key_type}, section_no long, start int, content string",
+        f"doc {key_type}, section_no long, piece_no int, start int, content string",
     )
-    order = Window.partitionBy("doc").orderBy("section_no", "start")
+    order = Window.partitionBy("doc").orderBy("section_no", "piece_no")
     return pieces.withColumn("chunk_index", F.row_number().over(order) - 1).select(
         F.col("doc").alias(doc), "section_no", "chunk_index",
         F.concat_ws(":", F.col("doc").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),

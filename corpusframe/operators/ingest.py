@@ -41,6 +41,25 @@ def gate_files(files: DataFrame, config: Config = DEFAULT, batch: str | None = N
     return files.withColumn("reject_reason", reason).drop("_files")
 
 
+def ingest_outcomes(files: DataFrame, config: Config = DEFAULT, path: str = "path") -> DataFrame:
+    """path, document_id, status and reason of every file.
+
+    accepted; duplicate (reason: the first path with the same content); rejected (reason: the gate); failed (no text).
+    """
+    gated = gate_files(files, config).select(
+        path, "reject_reason", F.coalesce(text.squash(F.col("content")), F.lit("")).alias("_text"))
+    usable = F.col("reject_reason").isNull() & (F.col("_text") != "")
+    marked = gated.select(path, "reject_reason", F.when(usable, F.sha2("_text", 256)).alias("document_id"))
+    first = marked.where("document_id is not null").groupBy("document_id").agg(F.min(path).alias("_first"))
+    known, again = F.col("document_id").isNotNull(), F.col(path) != F.col("_first")
+    return marked.join(first, "document_id", "left").select(
+        path, "document_id",
+        F.when(F.col("reject_reason").isNotNull(), "rejected").when(~known, "failed")
+        .when(again, "duplicate").otherwise("accepted").alias("status"),
+        F.coalesce("reject_reason", F.when(~known, "no_text").when(again, F.col("_first").cast("string"))).alias("reason"),
+    )
+
+
 def content_hashes(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.withColumn("sha256", text.file_sha256(F.col(content).cast("binary"))).withColumn(
         "content_sha256", text.content_sha256(F.col(content))

@@ -162,6 +162,11 @@ def keyword_scores(
     questions: DataFrame, index: KeywordIndex, config: Config = DEFAULT, question: str = "question"
 ) -> DataFrame:
     """(question_id, chunk_id, document_id, score) of every chunk sharing a term."""
+    return _sums(questions, index, config, question).withColumn("score", F.round("score", SCORE_DIGITS))
+
+
+def _sums(questions: DataFrame, index: KeywordIndex, config: Config, question: str) -> DataFrame:
+    """The scores before they are rounded."""
     asked = question_terms(questions, question)
     weights = asked.join(index.terms, "term").select(
         "question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
@@ -183,7 +188,7 @@ def keyword_scores(
     avgdl = only(index.corpus, "avgdl")
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return matched.groupBy("question_id", "chunk_id", "document_id").agg(
-        F.round(F.sum(F.col("weight") * gain), SCORE_DIGITS).alias("score")
+        F.sum(F.col("weight") * gain).alias("score")
     )
 
 
@@ -192,5 +197,7 @@ def keyword_search(
     question: str = "question",
 ) -> DataFrame:
     """Best chunks per question: (question_id, chunk_id, document_id, score, rank)."""
-    scores = keyword_scores(questions, index, config, question).where("score > 0")
+    # A true match may be smaller than the last digit kept.
+    matched = _sums(questions, index, config, question).where("score > 0")
+    scores = matched.withColumn("score", F.round("score", SCORE_DIGITS))
     return top_k(scores, ["question_id"], [F.desc("score"), F.asc("chunk_id")], top or config.top_k)

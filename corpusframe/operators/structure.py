@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions import fixed
 
+#: Deepest heading level; a deeper one is refused with an error.
 MAX_LEVEL = 9
 SEPARATOR = "\n\n"
 
@@ -45,6 +46,11 @@ def _placed(blocks: DataFrame, doc: str) -> DataFrame:
     )
 
 
+def _checked(level: Column) -> Column:
+    message = F.concat(F.lit("heading level "), level.cast("string"), F.lit(f" is deeper than {MAX_LEVEL}"))
+    return F.when(level <= MAX_LEVEL, level).otherwise(F.raise_error(message).cast("int"))
+
+
 def section_tree(blocks: DataFrame, doc: str = "document_id") -> DataFrame:
     """One row per section: id, title, level, parent id and the path of titles."""
     placed = _placed(blocks, doc)
@@ -52,7 +58,7 @@ def section_tree(blocks: DataFrame, doc: str = "document_id") -> DataFrame:
         Window.partitionBy(doc).orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     )
     headings = placed.where("_heading").select(
-        doc, "section_no", F.col("text").alias("title"), F.col("heading_level").alias("level")
+        doc, "section_no", F.col("text").alias("title"), _checked(F.col("heading_level")).alias("level")
     )
     # All levels in one projection, so one window pass carries them all.
     headings = headings.withColumns({

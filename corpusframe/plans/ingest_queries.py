@@ -61,9 +61,25 @@ def gate_documents(spark, d):
     return ingest.gate_files(files).select("doc_id", "reject_reason")
 
 
+GATES = """CASE WHEN size_bytes > 5242880 THEN 'too_large' WHEN mime = 'application/pdf' AND NOT starts_with(content, '%PDF') THEN 'type_mismatch'
+  WHEN mime LIKE '%wordprocessingml%' AND NOT starts_with(content, 'PK') THEN 'type_mismatch' END"""
 SQUASHED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
+@query(f"""
+SELECT doc_id, CASE WHEN gate IS NULL AND body <> '' THEN sha256(body) END AS document_id,
+  CASE WHEN gate IS NOT NULL THEN 'rejected' WHEN body = '' THEN 'failed' WHEN doc_id <> first THEN 'duplicate' ELSE 'accepted' END AS status,
+  CASE WHEN gate IS NOT NULL THEN gate WHEN body = '' THEN 'no_text' WHEN doc_id <> first THEN CAST(first AS VARCHAR) END AS reason
+FROM (SELECT *, min(CASE WHEN gate IS NULL THEN doc_id END) OVER (PARTITION BY body) AS first
+  FROM (SELECT doc_id, {GATES} AS gate, {SQUASHED.format('content')} AS body FROM library))
+""", ("library",))
+def ingest_outcomes(spark, d):
+    """What becomes of every file: accepted, duplicate, rejected or without text."""
+    files = m.library(spark, d).select(
+        "doc_id", "mime", F.col("size_bytes").alias("size"), F.col("content").cast("binary").alias("head"), "content")
+    return ingest.ingest_outcomes(files, path="doc_id")
+
+
 @query(f"SELECT doc_id, sha256(text) AS sha256, sha256({SQUASHED.format('text')}) AS content_sha256 FROM documents")
 def content_hash(spark, d):
     return ingest.content_hashes(m.texts(spark, d), "text").select("doc_id", "sha256", "content_sha256")
@@ -204,7 +220,7 @@ def classify_failures(spark, d):
 
 
 def _phrases(kind):
-    return [p.strip().replace("'", " ") for line in fixed.SMALLTALK[kind].strip().splitlines() for p in line.split("|")]
+    return [p.replace("'", " ") for p in fixed.SMALLTALK[kind]]
 
 
 FORM = r"trim(regexp_replace(regexp_replace(lower(question), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -227,16 +243,15 @@ WIDE = "(" + " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in fixed.L
 MATCHED = "coalesce(" + ", ".join(f"nullif(regexp_extract(question, '(?i){p}', 0), '')" for p in fixed.LIBRARY_WIDE) + ")"
 DEPENDENT = "(" + " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in fixed.DEPENDENT) + ")"
 ALONE = f"CASE WHEN {WIDE} THEN true WHEN len(regexp_extract_all(question, '[A-Za-z0-9'']+')) <= 4 THEN false ELSE NOT {DEPENDENT} END"
-PROSE = "SELECT 'p' || question_id AS question_id, question FROM prompts UNION ALL SELECT question_id, question FROM question_texts WHERE false"
 
 
 @query(f"""
 SELECT question_id, kind AS smalltalk, matched, CASE WHEN kind IS NOT NULL THEN 'smalltalk' WHEN later AND NOT alone THEN 'follow_up'
   WHEN wide THEN 'library_wide' ELSE 'ranked' END AS route
-FROM (SELECT question_id, {SMALLTALK_SQL} AS kind, {MATCHED} AS matched, {WIDE} AS wide, {ALONE} AS alone, length(question) % 2 = 0 AS later FROM prompts)
-""", ("prompts",))
+FROM (SELECT question_id, {SMALLTALK_SQL} AS kind, {MATCHED} AS matched, {WIDE} AS wide, {ALONE} AS alone, length(question) % 2 = 0 AS later FROM ({ASKED}))
+""", ("prompts", "question_texts"))
 def route_questions(spark, d):
-    asked = m.prompts(spark, d).withColumn("later", F.length("question") % 2 == 0)
+    asked = _asked(spark, d).withColumn("later", F.length("question") % 2 == 0)
     return routing.question_router(asked, has_history="later").select("question_id", "smalltalk", "matched", "route")
 
 
@@ -257,9 +272,9 @@ def as_question(spark, d):
     return _asked(spark, d).select("question_id", text.as_question(F.col("question")).alias("asked"))
 
 
-@query(f"SELECT question_id, {ALONE} AS self_contained FROM prompts", ("prompts",))
+@query(f"SELECT question_id, {ALONE} AS self_contained FROM ({ASKED})", ("prompts", "question_texts"))
 def turn_dependency(spark, d):
-    return m.prompts(spark, d).select("question_id", text.looks_self_contained(F.col("question")).alias("self_contained"))
+    return _asked(spark, d).select("question_id", text.looks_self_contained(F.col("question")).alias("self_contained"))
 
 
 @query(rf"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +39,26 @@ def ingest_batch(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def stream_ingest(
     spark: SparkSession, source: str, target: str, checkpoint: str, config: Config = DEFAULT,
-    late: str = "1 hour",
+    outcomes: str | None = None, trigger: dict | None = None,
 ):
-    """Watch a folder; a file's bytes are ingested once, re-ingestion replaces its chunks."""
+    """Watch a folder; every new file is ingested, whatever its age, and re-ingestion replaces its chunks.
+
+    What became of each file is written to ``outcomes`` (beside the target by default), one folder per batch.
+    ``trigger``: when to run, e.g. ``{"processingTime": "1 minute"}``; by default once over all there is.
+    """
     raw = spark.readStream.format("binaryFile").schema(schemas.FILES).option(
         "recursiveFileLookup", "true"
     ).load(source)
-    files = tables.describe_files(raw).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["sha256"])
+    log = f"{outcomes or target + '_outcomes'}/run={zlib.crc32(checkpoint.encode())}"
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         # Idempotent: chunks replace those of the same document, so a retried batch changes nothing.
         tables.write_chunks(ingest_batch(batch, config), target)
+        ingest.ingest_outcomes(batch, config).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return (
-        files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        tables.describe_files(raw).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -42,6 +42,22 @@ def test_ingest_stream_equals_batch_and_is_idempotent(spark, tmp_path):
         assert got == want
 
 
+def test_files_older_than_the_last_run_are_ingested_and_every_file_has_an_outcome(spark, tmp_path):
+    import os
+
+    source, target = tmp_path / "in", str(tmp_path / "chunks")
+    for number, (name, body, age) in enumerate([("a.txt", "Alpha text.", 0), ("old.txt", "Older text.", 4 * 3600), ("c.txt", "Alpha  text.", 0)]):
+        write_files(source, {name: body} | ({"x.pdf": b"not a pdf", "y.pdf": b"%PDF-1.7", "z.txt": " "} if number == 0 else {}))
+        at = os.stat(source / name).st_mtime - age
+        os.utime(source / name, (at, at))
+        jobs.stream_ingest(spark, str(source), target, str(tmp_path / "state")).awaitTermination()
+    assert {r.content for r in spark.read.parquet(target).collect()} == {"Alpha text.", "Older text."} or {
+        r.content for r in spark.read.parquet(target).collect()} == {"Alpha  text.", "Older text."}
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.reason) for r in spark.read.option("recursiveFileLookup", "true").parquet(target + "_outcomes").collect()}
+    assert got == {"a.txt": ("accepted", None), "old.txt": ("accepted", None), "c.txt": ("accepted", None),
+                   "x.pdf": ("rejected", "type_mismatch"), "y.pdf": ("failed", "no_text"), "z.txt": ("failed", "no_text")}
+
+
 def test_chunk_table_replaces_only_its_documents(spark, frame, tmp_path):
     path = str(tmp_path / "t")
     shape = "document_id string, chunk_id string, content string"
