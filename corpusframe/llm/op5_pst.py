@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, packed, settle
+from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, packed, stored
 from corpusframe.operators.scale import join_hot_keys
 
 #: Longest context, in words.
@@ -126,7 +126,7 @@ def _answered(packs: DataFrame, levels: list[DataFrame]) -> DataFrame:
 def _answers(asks: DataFrame, grams: DataFrame) -> DataFrame:
     """gid and the (key, chance, seen) of what each pack asked for."""
     found = asks.select("gid", "key").join(grams.select("key", "chance", "seen"), "key")
-    return settle(found.groupBy("gid").agg(F.collect_list(F.struct("key", "chance", "seen")).alias("answers")))
+    return stored(found.groupBy("gid").agg(F.collect_list(F.struct("key", "chance", "seen")).alias("answers")))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -138,20 +138,20 @@ def score(docs: DataFrame) -> DataFrame:
     """
     packs = packed(ids_and_text(docs))
     schema = "gid long, context long, key long, seen long, before double"
-    asks = settle(packs.mapInArrow(_ask(None), schema))
-    words = settle(asks.groupBy("key").agg(F.sum("seen").alias("seen")).where("seen > 0"))
+    asks = stored(packs.mapInArrow(_ask(None), schema))
+    words = stored(asks.groupBy("key").agg(F.sum("seen").alias("seen")).where("seen > 0"))
     total = words.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     unknown = 1.0 / (total.n + total.v + 1)
     levels = [_answers(asks, words.withColumn("chance", (F.col("seen") + 1) * F.lit(unknown)))]
     for _ in range(DEPTH):
-        asks = settle(_answered(packs, levels).mapInArrow(_ask(unknown), schema))
-        grams = settle(asks.groupBy("context", "key").agg(F.sum("seen").alias("seen"), F.max("before").alias("before")))
+        asks = stored(_answered(packs, levels).mapInArrow(_ask(unknown), schema))
+        grams = stored(asks.groupBy("context", "key").agg(F.sum("seen").alias("seen"), F.max("before").alias("before")))
         states = grams.groupBy("context").agg(F.sum("seen").alias("total"), F.sum((F.col("seen") > 0).cast("long")).alias("kinds"), F.count(F.lit(1)).alias("n"))
-        states = settle(states.where("total > 0"))
+        states = stored(states.where("total > 0"))
         smoothed = (F.col("seen") + F.col("kinds") * F.col("before")) / (F.col("total") + F.col("kinds"))
-        grams = settle(join_hot_keys(grams, states.select("context", "total", "kinds"), "context", states, "n", "key", SPLIT_ROWS).withColumn("chance", smoothed))
+        grams = stored(join_hot_keys(grams, states.select("context", "total", "kinds"), "context", states, "n", "key", SPLIT_ROWS).withColumn("chance", smoothed))
         gains = grams.groupBy("context").agg(F.sum(F.col("seen") * F.log(F.col("chance") / F.col("before"))).alias("gain"), F.max("kinds").alias("kinds"), F.count(F.lit(1)).alias("n"))
-        gains = settle(gains.withColumn("retained", F.col("gain") > LEAST_GAIN * F.col("kinds")))
+        gains = stored(gains.withColumn("retained", F.col("gain") > LEAST_GAIN * F.col("kinds")))
         grams = join_hot_keys(grams, gains.select("context", "retained"), "context", gains, "n", "key", SPLIT_ROWS)
         grams = grams.where(F.col("retained") | (F.col("seen") >= LEAST_SEEN)).withColumn("chance", F.when(F.col("retained"), F.col("chance")))
         levels.append(_answers(asks, grams))
