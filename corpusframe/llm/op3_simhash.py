@@ -13,10 +13,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import bounded, ids_and_text, settle
+from corpusframe.llm.common import bounded, settle
 
 RADIUS = 2
 SHINGLE = 3
@@ -161,15 +161,26 @@ def _contracted(links: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the fingerprint as a long) of every row."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and print (the fingerprint as a long) of every row, and what ``more`` makes of it (longs)."""
 
     def work(batches):
         for batch in bounded(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t or b"") for t in texts], pa.int64())], ["doc_id", "print"])
+            prints = pa.array([fingerprint(t or b"") for t in texts], pa.int64())
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), prints], [*kept, "print"])
 
-    return ids_and_text(docs).mapInArrow(work, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(work, ", ".join(f"`{name}` long" for name in [*(c for c in rows.columns if c != "text"), "print"]))
+
+
+def _joined(marked: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """(print, root) of every fingerprint and (root, least) of every component, ``least`` the smallest of its rows."""
+    prints = settle(marked.groupBy("print").agg(F.min(least).alias("least")))
+    roots = _contracted(_links(prints.select("print")))
+    rooted = settle(prints.join(roots.toDF("print", "root"), "print", "left").withColumn("root", F.coalesce("root", "print")))
+    return rooted.select("print", "root"), settle(rooted.groupBy("root").agg(F.min("least").alias("least")))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -180,9 +191,22 @@ def components(docs: DataFrame) -> DataFrame:
     Other columns are not looked at; an empty table gives an empty one.
     """
     marked = settle(fingerprints(docs))
-    prints = settle(marked.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = _contracted(_links(prints.select("print")))
-    rooted = settle(prints.join(roots.toDF("print", "root"), "print", "left").withColumn("root", F.coalesce("root", "print")))
-    named = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_print = settle(rooted.join(named, "root").select("print", "component_id"))
+    rooted, named = _joined(marked, F.col("doc_id"))
+    by_print = settle(rooted.join(named, "root").select("print", F.col("least").alias("component_id")))
     return marked.join(by_print, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row, with all its columns, of every component: the one with the smallest doc_id, a null id after all others.
+
+    Rows are told apart by themselves and not by their ids: of rows with one id the one with the smallest hash of the
+    text stays, and of repeated rows one. An empty table gives an empty one.
+    """
+    number = "_row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    # The numbers are written down with the rows, so every later reading finds them at the same rows.
+    rows = settle(docs.withColumn(number, F.monotonically_increasing_id()))
+    marked = settle(fingerprints(rows, F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col(number).alias("row")))
+    _, least = _joined(marked, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "row"))
+    return rows.join(least.select(F.col("least.row").alias(number)), number, "left_semi").select(*docs.columns)
