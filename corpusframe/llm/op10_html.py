@@ -32,11 +32,20 @@ TREES, DEPTH = 16, 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page, or no markup.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template textarea title".split())
+#: Nodes of their own that stand inside a run of text and do not end it.
+EMBEDDED = frozenset("svg object canvas iframe select datalist".split())
+#: Entries to choose from; what stands directly in them is no text of the page, what is opened in them may be.
+CHOICES = frozenset("option optgroup".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()) | frozenset(
+    # Formulas.
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtext munder munderover none semantics annotation annotation-xml".split()
+)
+#: Line breaks, rows and cells of formulas.
+SPACED = frozenset("br mtr mlabeledtr mtd".split())
 #: A new one of these ends an open one that stands directly above.
 CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
 #: Blocks that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -98,15 +107,24 @@ def parse(page: str) -> list[Node]:
     links = 0
     order = 0
     at = 0
+    # Around an embedded node: the run, its characters inside links, its order number and whether a link is open.
+    around: dict[int, tuple] = {}
+    begun = None  # order number of a run that an embedded node has interrupted
 
     def flush():
-        nonlocal order
+        nonlocal order, begun
         text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
-        if text:
-            nodes[stack[-1]].blocks.append((order, text, linked[0]))
-            order += 1
+        if text and nodes[stack[-1]].tag not in CHOICES:
+            nodes[stack[-1]].blocks.append((order if begun is None else begun, text, linked[0]))
+            order += begun is None
         run.clear()
-        linked[0] = 0
+        linked[0], begun = 0, None
+
+    def leave():
+        nonlocal links, begun
+        flush()
+        if (outer := around.pop(stack.pop(), None)) is not None:
+            run[:], linked[0], begun, links = outer
 
     def add(text):
         if text:
@@ -127,7 +145,7 @@ def parse(page: str) -> list[Node]:
             if "a" in (end, tag):
                 links = 1 if tag else 0
             continue
-        if tag == "br" or end == "br":
+        if tag in SPACED or end in SPACED:
             add(" ")
             continue
         if tag in RAW:
@@ -136,11 +154,27 @@ def parse(page: str) -> list[Node]:
             if not found.group(0).endswith("/>"):
                 at = close.end() if close else len(page)
             continue
-        flush()
+        if tag in EMBEDDED:
+            if begun is None and "".join(run).strip():
+                begun, order = order, order + 1
+            outer = (run[:], linked[0], begun, links)
+            run.clear()
+            linked[0] = links = 0
+            begun = None
+            tokens, hidden = _attributes(found.group(3) or "")
+            nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, tokens, hidden))
+            stack.append(len(nodes) - 1)
+            around[stack[-1]] = outer
+            if found.group(0).endswith("/>"):
+                leave()
+            continue
+        if end not in EMBEDDED:
+            flush()
         if end:
             for back in range(len(stack) - 1, 0, -1):
                 if nodes[stack[back]].tag == end:
-                    del stack[back:]
+                    while len(stack) > back:
+                        leave()
                     break
                 if nodes[stack[back]].tag in SCOPE and end not in SCOPE:
                     break
@@ -150,14 +184,16 @@ def parse(page: str) -> list[Node]:
             continue
         top = nodes[stack[-1]].tag
         if (top == "p" and tag in ENDS_P) or top in CLOSES.get(tag, ()):
-            stack.pop()
-            if tag == "tr" and nodes[stack[-1]].tag == "tr":
-                stack.pop()
+            leave()
+            if tag in ("tr", "optgroup") and nodes[stack[-1]].tag == tag:
+                leave()
         tokens, hidden = _attributes(found.group(3) or "")
         parent = stack[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, hidden))
         if not found.group(0).endswith("/>"):
             stack.append(len(nodes) - 1)
+    while len(stack) > 1:
+        leave()
     flush()
     return nodes
 

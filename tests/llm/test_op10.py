@@ -40,6 +40,29 @@ def test_reading(page, blocks):
     assert [t for _, t, _ in sorted(b for n in nodes for b in n.blocks)] == blocks
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ("<datalist><option value=a><option value=b></datalist><article><p>text", ["text"]),
+    ("<p>pick <select><optgroup label=x><option>a<option>b<optgroup><option>c</select> now<p>text", ["pick now", "text"]),
+    ("<form><select><option>a<option>b<option>c</form><p>text", ["text"]), ("<select><option>a<article><p>text", ["text"]),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then<p>y", ["if x=2 then", "y"]), ("<p>a <math><mi>x<p>b", ["a x", "b"]),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>", ["1 2"]),
+    ("<p>an <svg><title>no</title><path d=''/></svg> icon", ["an icon"]), ("<p>a <svg><text>label</text></svg> b<svg/>c<p>d", ["a bc", "label", "d"]),
+    ("<div>a <svg><path d=''><p>b</div>c", ["a", "b", "c"]), ("<p>a<iframe src=x><p>b", ["a", "b"]), ("<canvas><p>a", ["a"]),
+    ("<object data=x><param name=y><p>a</object>b", ["a", "b"]),
+])
+def test_reading_embedded(page, blocks):
+    nodes = pages.parse(page)
+    assert [t for _, t, _ in sorted(b for n in nodes for b in n.blocks)] == blocks
+    assert all(n.parent < i for i, n in enumerate(nodes))
+
+
+def test_search_box_above_the_article(model):
+    body = "".join(f"<p>{'This is a sentence of the story that goes on. ' * 4}<math><mi>E{i}</mi></math></p>" for i in range(4))
+    page = f"<body><form><input list=q><datalist><option value=a><option value=b></datalist></form><main><h1>A title</h1>{body}</main>"
+    text = pages.main_text(page, model)
+    assert text.startswith("A title\nThis is") and text.endswith("E3")
+
+
 def test_decoding_is_hierarchical(model):
     nodes = pages.parse("<div><p>" + "a b c. " * 30 + "<div><p>" + "d e f. " * 30)
     odds = [-6.0] * len(nodes)
