@@ -297,12 +297,15 @@ def cache_similar(spark, d):
 
     vecs = read_table(spark, d, "embeddings")
     items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"))
-    asked = vecs.select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("scope"), "embedding")
+    # All ask a minute after the last possible storing, a minute before anything expires.
+    newest = vecs.agg(F.max("vec_id").alias("newest")).scalar()
+    asked = vecs.select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("scope"), "embedding",
+                        F.timestamp_seconds((newest + 1) * 60 + m.EPOCH_2026).alias("asked_at"))
     labelled = read_table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
     cache = vecs.join(labelled, "vec_id", "left_semi").select(
         F.col("label").cast("string").alias("scope"), F.col("vec_id").cast("string").alias("entry"),
         F.concat(F.lit("question "), "vec_id").alias("question"), "embedding",
-        F.timestamp_seconds(F.col("vec_id") * 60 + m.EPOCH_2026).alias("stored_at"))
+        F.timestamp_seconds(F.col("vec_id") * 60 + m.EPOCH_2026).alias("stored_at"), (F.lit(60) * (F.lit(2) + newest - F.col("vec_id"))).alias("ttl_seconds"))
     return reuse.reuse_similar(asked, cache, items, Config(similarity_threshold=0.3))
 
 

@@ -336,3 +336,40 @@ def test_similar_reuse_keeps_the_newest_living_version(frame):
         [(1, "s", [1.0, 0.0], datetime(2026, 1, 2, 0, 0, 30)), (2, "s", [1.0, 0.0], datetime(2026, 2, 1))])
     none = frame("question_id int", [])
     assert [(r.question_id, r.cached_question) for r in reuse.reuse_similar(asked, cache, none).collect()] == [(1, "new")]
+
+
+@pytest.mark.parametrize("kept", [1, 3, 500])
+def test_similar_reuse_sees_the_cache_as_of_asking(frame, kept):
+    import random
+    from datetime import timedelta
+
+    rng, start = random.Random(kept), datetime(2026, 1, 1)
+    at = lambda: start + timedelta(seconds=rng.randrange(400), microseconds=rng.choice([0, 0, 1]))
+    angle = lambda: [rng.uniform(-1, 1), rng.uniform(-1, 1)]
+    cache = [(rng.choice("st"), f"e{rng.randrange(9)}", f"q{i}", angle(), at(), rng.choice([0, 30, 60, 5000])) for i in range(80)]
+    asked = [(i, rng.choice("stu"), angle(), at()) for i in range(60)] + [(98, "s", [1.0, 0.0], start - timedelta(1)), (99, "s", [1.0, 0.0], start + timedelta(1)), (100, "s", [1.0, 0.0], cache[0][4])]
+
+    def by_hand(scope, vector, now):
+        newest = {}
+        for row in sorted((r for r in cache if r[0] == scope and r[4] <= now), key=lambda r: (r[4], [-ord(c) for c in r[2]])):
+            newest[row[1]] = row
+        living = sorted((r for r in newest.values() if now < r[4] + timedelta(seconds=r[5])), key=lambda r: (-r[4].timestamp(), r[1]))[:kept]
+        cos = lambda r: sum(a * b for a, b in zip(vector, r[3])) / (sum(a * a for a in vector) * sum(b * b for b in r[3])) ** .5
+        best = max(living, key=cos, default=None)
+        return None if best is None or cos(best) < .2 else (best[1], best[2])
+
+    want = {i: hit for i, scope, vector, now in asked if (hit := by_hand(scope, vector, now))}
+    got = reuse.reuse_similar(
+        frame("question_id int, scope string, embedding array<double>, asked_at timestamp", asked),
+        frame("scope string, entry string, question string, embedding array<double>, stored_at timestamp, ttl_seconds int", cache),
+        frame("question_id int", []), Config(similarity_threshold=.2, cache_candidates=kept)).collect()
+    assert {r.question_id: (r.entry, r.cached_question) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_similar_reuse_needs_lifetimes(frame):
+    cache = frame("scope string, entry string, question string, embedding array<double>, stored_at timestamp", [])
+    asked = frame("question_id int, scope string, embedding array<double>, asked_at timestamp", [])
+    with pytest.raises(ValueError):
+        reuse.reuse_similar(asked, cache, frame("question_id int", []))
+    with pytest.warns(UserWarning):
+        reuse.reuse_similar(asked.drop("asked_at"), cache, frame("question_id int", []))
