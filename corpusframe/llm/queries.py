@@ -113,10 +113,19 @@ def op10_html(read) -> DataFrame:
     return pages.extract(read("pages"))
 
 
+@query
+def op11_merkle(read) -> DataFrame:
+    """Proof and verdict of every document against the manifest's root."""
+    from corpusframe.llm import op11_merkle as merkle
+
+    return merkle.verify(read("documents"))
+
+
 def _sql() -> None:
-    from corpusframe.llm import op8_mixing
+    from corpusframe.llm import op8_mixing, op11_merkle
 
     ORACLES["op8_mixing"] = op8_mixing.SQL
+    ORACLES["op11_merkle"] = op11_merkle.SQL
 
 
 _sql()
