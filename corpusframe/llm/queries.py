@@ -121,6 +121,14 @@ def op11_merkle(read) -> DataFrame:
     return merkle.verify(read("documents"))
 
 
+@query
+def op12_license(read) -> DataFrame:
+    """License phrases and notices of every document."""
+    from corpusframe.llm import op12_license as license
+
+    return license.scan(read("documents")).drop("spans")
+
+
 def _sql() -> None:
     from corpusframe.llm import op8_mixing, op11_merkle
 
