@@ -129,11 +129,20 @@ def op12_license(read) -> DataFrame:
     return license.scan(read("documents")).drop("spans")
 
 
+@query
+def op13_negatives(read) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    from corpusframe.llm import op13_negatives as mining
+
+    return mining.mine(read("embeddings"))
+
+
 def _sql() -> None:
-    from corpusframe.llm import op8_mixing, op11_merkle
+    from corpusframe.llm import op8_mixing, op11_merkle, op13_negatives
 
     ORACLES["op8_mixing"] = op8_mixing.SQL
     ORACLES["op11_merkle"] = op11_merkle.SQL
+    ORACLES["op13_negatives"] = op13_negatives.SQL
 
 
 _sql()
