@@ -72,6 +72,13 @@ class Config:
     resident_values: int = 4_000_000
     block_questions: int = 8192
     block_vectors: int = 50_000
+    block_values: int = 8_000_000
+
+    # Vector lists (operators/lists.py): their number, and the bounded samples they are fitted and measured on.
+    max_lists: int = 4096
+    list_sample: int = 50_000
+    list_questions: int = 256
+    list_recall: float = 0.95
 
 
 DEFAULT = Config()

@@ -24,6 +24,7 @@ from corpusframe.session import settle, ship
 # Rank after rounding, so equal vectors tie exactly and fall back to the chunk id.
 DISTANCE_DIGITS = 9
 _SLICE = 256
+_PAIRS = 1 << 14
 
 
 class _Questions:
@@ -49,14 +50,23 @@ class _Questions:
             matrix = np.array([np.asarray(rows[i][1], dtype=np.float64) for i in members])
             self.by_width[width] = (np.array(members), matrix.reshape(len(members), width))
 
-    def distances(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def distances(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """Distances by one product, and how far rounding can have moved each of them."""
         dot = left @ right.T
         if self.metric == "cosine":
             norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
             norms[norms == 0] = 1.0
-            return np.round(-dot / norms, DISTANCE_DIGITS) + 0.0
+            return -dot / norms, 1e-12 * left.shape[1]
         square = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :]
-        return np.round(np.maximum(square - 2 * dot, 0.0), DISTANCE_DIGITS) + 0.0
+        return np.maximum(square - 2 * dot, 0.0), 1e-15 * left.shape[1] * square
+
+    def settled(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Distances of pairs, row by row, without the cancellation of long vectors."""
+        if self.metric == "cosine":
+            norms = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
+            norms[norms == 0] = 1.0
+            return np.round(-(left * right).sum(1) / norms, DISTANCE_DIGITS) + 0.0
+        return np.round(((left - right) ** 2).sum(1), DISTANCE_DIGITS) + 0.0
 
 
 class _Best:
@@ -71,17 +81,24 @@ class _Best:
         self.pending: list[pd.DataFrame] = []
         self.waiting = 0
 
-    def offer(self, members: np.ndarray, d: np.ndarray, chunk, document, section) -> None:
-        """members: question numbers of the rows of d; inf marks a pair out of scope."""
+    def offer(self, members: np.ndarray, left: np.ndarray, right: np.ndarray, allowed, ids: list[pa.Array]) -> None:
+        """members: question numbers of the rows of left; allowed: which pairs are in scope, or None for all of them."""
+        d, slack = self.questions.distances(left, right)
+        if allowed is not None:
+            d = np.where(allowed, d, np.inf)
         k = min(int(self.questions.k[members].max()), d.shape[1])
-        nearest = np.partition(d, k - 1, axis=1)[:, k - 1]
-        limit = np.minimum(nearest, self.bound[members])
-        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        high = d + slack
+        nearest = np.partition(high, k - 1, axis=1)[:, k - 1]
+        limit = np.minimum(nearest, self.bound[members]) + 10.0**-DISTANCE_DIGITS
+        row, col = np.nonzero((d - slack <= limit[:, None]) & np.isfinite(d))
         if not len(row):
             return
+        # Only rows that may be among the best are worked out exactly and have their ids fetched.
+        exact = np.concatenate([
+            self.questions.settled(left[row[at:at + _PAIRS]], right[col[at:at + _PAIRS]]) for at in range(0, len(row), _PAIRS)])
+        chunk, document, section = (column.take(pa.array(col)).to_numpy(zero_copy_only=False) for column in ids)
         self.pending.append(pd.DataFrame({
-            "q": members[row], "distance": d[row, col], "chunk_id": chunk[col],
-            "document_id": document[col], "section_id": section[col],
+            "q": members[row], "distance": exact, "chunk_id": chunk, "document_id": document, "section_id": section,
         }))
         self.waiting += len(row)
         if self.waiting > 200_000:
@@ -117,44 +134,51 @@ def _vectors(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, flat[starts[rows][:, None] + np.arange(width)].astype(np.float64)
 
 
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def _scan(questions: _Questions, batch, best: _Best) -> None:
-    chunk = np.array(batch.column(0).to_pylist(), dtype=object)
-    document = np.array(batch.column(1).to_pylist(), dtype=object)
-    section = np.array(batch.column(2).to_pylist(), dtype=object)
+    names = [_whole(batch.column(i)) for i in range(3)]
+    document, section = names[1].dictionary_encode(), names[2].dictionary_encode()
+    document_codes = document.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    section_codes = section.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    scoped = [(code, questions.scoped[name]) for code, name in enumerate(document.dictionary.to_pylist())
+              if name in questions.scoped]
+    sections = section.dictionary.to_pylist()
     for rows, right in _vectors(batch.column(3)):
         members, left = questions.by_width.get(right.shape[1], (None, None))
         if members is None:
             continue
-        free = questions.free[members]
-        everyone, matrix = members[free], left[free]
-        for at in range(0, len(everyone), _SLICE):
-            part = slice(at, at + _SLICE)
-            d = questions.distances(matrix[part], right)
-            best.offer(everyone[part], _masked(questions, everyone[part], d, section[rows]),
-                       chunk[rows], document[rows], section[rows])
-        if not questions.scoped:
-            continue
-        position = {number: i for i, number in enumerate(members)}
-        places: dict[str, list[int]] = {}
-        for i, name in enumerate(document[rows]):
-            if name in questions.scoped:
-                places.setdefault(name, []).append(i)
-        for name, inside in places.items():
-            asking = np.array([m for m in questions.scoped[name] if m in position], dtype=np.int64)
-            here = rows[inside]
-            for at in range(0, len(asking), _SLICE):
-                some = asking[at:at + _SLICE]
-                d = questions.distances(left[[position[m] for m in some]], right[inside])
-                best.offer(some, _masked(questions, some, d, section[here]),
-                           chunk[here], document[here], section[here])
-
-
-def _masked(questions: _Questions, members: np.ndarray, d: np.ndarray, section: np.ndarray) -> np.ndarray:
-    for i, number in enumerate(members):
-        allowed = questions.sections[number]
-        if allowed is not None:
-            d[i, [s not in allowed for s in section]] = np.inf
-    return d
+        here = [column.take(pa.array(rows)) for column in names]
+
+        def offer(numbers: np.ndarray, places: np.ndarray, inside=None) -> None:
+            """Questions against the rows (a subset of them where ``inside`` is given)."""
+            ids = here if inside is None else [column.take(pa.array(inside)) for column in here]
+            vectors = right if inside is None else right[inside]
+            codes = section_codes[rows] if inside is None else section_codes[rows[inside]]
+            for at in range(0, len(numbers), _SLICE):
+                some = numbers[at:at + _SLICE]
+                best.offer(some, left[places[at:at + _SLICE]], vectors, _allowed(questions, some, sections, codes), ids)
+
+        free = np.flatnonzero(questions.free[members])
+        offer(members[free], free)
+        position = {int(number): i for i, number in enumerate(members)}
+        codes = document_codes[rows]
+        for code, asking in scoped:
+            places = np.array([position[m] for m in asking if m in position], dtype=np.int64)
+            inside = np.flatnonzero(codes == code)
+            if len(places) and len(inside):
+                offer(members[places], places, inside)
+
+
+def _allowed(questions: _Questions, members: np.ndarray, sections: list, codes: np.ndarray) -> np.ndarray | None:
+    """Pairs whose section is on the question's list: one decision per section, spread over the rows by code."""
+    lists = [questions.sections[number] for number in members]
+    if all(allowed is None for allowed in lists):
+        return None
+    table = np.array([[allowed is None or name in allowed for name in [*sections, None]] for allowed in lists])
+    return table[:, codes]
 
 
 def _emit(questions: _Questions, best: _Best, schema: pa.Schema) -> pa.RecordBatch:
@@ -260,8 +284,11 @@ def _blocks(asked, candidates, metric, out, schema, config) -> DataFrame:
     if asked.where("scope is null or size(scope) = 0").isEmpty():
         wanted = asked.select(F.explode("scope").alias("document_id")).distinct()
         candidates = candidates.join(wanted, "document_id", "left_semi").select(*candidates.columns)
-    blocks = max(1, -(-asked.count() // config.block_questions))
-    shares = max(1, -(-candidates.count() // config.block_vectors))
+    def groups(rows: DataFrame, most: int) -> int:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("values")).first()
+        return max(1, -(-size["n"] // most), -(-size["values"] // config.block_values))
+
+    blocks, shares = groups(asked, config.block_questions), groups(candidates, config.block_vectors)
     left = asked.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks))).withColumn(
         "_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))
     )

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpusframe.functions import fixed
-from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, reuse, routing, vector
+from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, lists, reuse, routing, vector
 from corpusframe.operators import context as packing
 from corpusframe.plans import model_tables as m
 from corpusframe.plans.model_sql import DISTANCE, bm25, define, rrf, sql_list
 from corpusframe.plans.registry import query
+from corpusframe.session import scratch_folder
 from corpusframe.sources.tables import read_table
 
 HIT = ["question_id", "chunk_id", "document_id", "rank"]
@@ -77,12 +78,15 @@ def scoped_search(spark, d):
     return words.unionByName(near)
 
 
-@query(f"""
+KNN_ALL = f"""
 SELECT question_id, chunk_id, label, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
   SELECT a.vec_id AS question_id, CAST(b.vec_id AS VARCHAR) AS chunk_id, b.label, {DISTANCE.format('a.embedding', 'b.embedding')} AS score,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY {DISTANCE.format('a.embedding', 'b.embedding')}, CAST(b.vec_id AS VARCHAR)) AS rank
   FROM embeddings a, embeddings b) WHERE rank <= 5
-""")
+"""
+
+
+@query(KNN_ALL)
 def knn_topk(spark, d):
     """Every vector against every vector."""
     vecs = read_table(spark, d, "embeddings")
@@ -92,6 +96,27 @@ def knn_topk(spark, d):
         "question_id", "chunk_id", F.col("document_id").cast("int").alias("label"), "rank", _score())
 
 
+def _listed(spark, d):
+    vecs = read_table(spark, d, "embeddings")
+    chunks = vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), "embedding")
+    return vecs.select(F.col("vec_id").alias("question_id"), "embedding"), lists.write_lists(chunks, scratch_folder(spark))
+
+
+@query()
+def knn_indexed(spark, d):
+    """Every vector against the lists it reads of an inverted file over all vectors."""
+    asked, index = _listed(spark, d)
+    return lists.search(asked, index).select("question_id", "chunk_id", F.col("document_id").cast("int").alias("label"), "rank", _score())
+
+
+@query(KNN_ALL)
+def knn_certified(spark, d):
+    """The same index, read on until nothing nearer can be left."""
+    asked, index = _listed(spark, d)
+    return lists.search(asked, index, certified=True).select(
+        "question_id", "chunk_id", F.col("document_id").cast("int").alias("label"), "rank", _score())
+
+
 @query("""
 SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM knn WHERE rank <= 5 AND score <= 1.6
 """, ("knn",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from zipfile import ZipFile
 
@@ -86,3 +87,16 @@ def settle(df: DataFrame) -> DataFrame:
     if checkpoint_folder(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for tables written on the way.
+
+    It lies in the checkpoint folder; where none is named, in the warehouse, or in one local JVM in a temporary folder.
+    """
+    base = checkpoint_folder(spark)
+    if base is None:
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            return tempfile.mkdtemp(prefix="corpusframe-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tables-{uuid.uuid4().hex}"
