@@ -9,67 +9,89 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import text
 from corpusframe.operators.scale import join_hot_keys, only, top_k
+from corpusframe.session import ship
 
 SCORE_DIGITS = 6
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    postings: DataFrame  # term, chunk_id, document_id, tf, dl
-    terms: DataFrame     # term, df, idf
-    corpus: DataFrame    # n_chunks, avgdl (one row)
+    tokens: DataFrame  # chunk_id, document_id, tokens array<string>, or terms array<struct<term, tf>> with dl
+    terms: DataFrame   # term, df, idf
+    corpus: DataFrame  # n_chunks, avgdl (one row)
 
-    @staticmethod
-    def read(spark, path: str) -> "KeywordIndex":
-        return KeywordIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")])
+    @property
+    def counts(self) -> DataFrame:
+        return self.tokens if "terms" in self.tokens.columns else runs_of(self.tokens)
 
+    @property
+    def postings(self) -> DataFrame:
+        return exploded(self.counts)
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """Term frequencies per chunk.
 
-    Rows are placed by chunk before they are cut into tokens, and frequencies are run
-    lengths of the sorted tokens inside the row. From there on scoring and the first
-    top-k happen where the chunk is, so a hot term is spread over every partition, and
-    the text is the only thing that moves.
-    """
-    placed = chunks.select("chunk_id", "document_id", "content").repartition("chunk_id")
-    tokens = F.sort_array(text.tokens(F.col("content")))
-    sized = placed.select("chunk_id", "document_id", tokens.alias("tokens")).select("*", F.size("tokens").alias("dl"))
-    # No sequence for an empty chunk; a filter on the size would run before the shuffle too.
-    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1))
+def cut(chunks: DataFrame) -> DataFrame:
+    """The tokens of every chunk, where it lies; a chunk without any has an empty list."""
+    return chunks.select("chunk_id", "document_id", text.tokens(F.col("content")).alias("tokens"))
+
+
+def runs_of(tokens: DataFrame) -> DataFrame:
+    """Term frequencies of every chunk, as run lengths of its sorted tokens inside the row. Nothing moves."""
+    ordered = tokens.select("chunk_id", "document_id", F.sort_array("tokens").alias("tokens"))
+    sized = ordered.select("*", F.size("tokens").alias("dl"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
     runs = F.transform("starts", lambda i, at: F.struct(
         F.get("tokens", i).alias("term"), (F.coalesce(F.get("starts", at + 1), F.col("dl")) - i).alias("tf")
     ))
-    return (
-        sized.select("*", starts.alias("starts"))
-        .select("chunk_id", "document_id", "dl", F.explode_outer(runs).alias("run"))
-        .select(F.col("run.term").alias("term"), "chunk_id", "document_id", F.col("run.tf").alias("tf"), "dl")
-        .where("term is not null")
-    )
+    return sized.select("*", starts.alias("starts")).select("chunk_id", "document_id", "dl", runs.alias("terms"))
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    return runs_of(cut(chunks))
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """term, chunk_id, document_id, tf, dl: one row per distinct term of a chunk."""
+    # Not a plain explode: Spark would first filter by the size of the array, working the whole expression out below.
+    return counts.select("chunk_id", "document_id", "dl", F.explode_outer("terms").alias("run")).select(
+        F.col("run.term").alias("term"), "chunk_id", "document_id", F.col("run.tf").alias("tf"), "dl").where("term is not null")
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    return exploded(counted(chunks))
 
 
-def frequencies_of(postings: DataFrame) -> DataFrame:
-    """Document and collection frequency per term, combined map-side.
+def frequencies_of(tokens: DataFrame) -> DataFrame:
+    """term, df and length, combined map-side; the lengths of all terms add up to that of the corpus.
 
-    Every term occurs, so the condition drops nothing; it keeps both counts in the plan of
-    every reader, which is what lets them all share one exchange.
+    A chunk's own length is added to the first of its terms. Every term occurs, so the condition drops nothing; it
+    keeps both counts in the plan of every reader, which is what lets them all share one exchange.
     """
-    return postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
-    ).where("df > 0 and cf > 0")
+    if "terms" in tokens.columns:
+        kinds, dl = F.col("terms.term"), F.col("dl")
+    else:
+        kinds, dl = F.array_distinct("tokens"), F.size("tokens")
+    rows = tokens.select(kinds.alias("kinds"), dl.alias("dl")).select("dl", F.posexplode_outer("kinds").alias("at", "term"))
+    return rows.where("term is not null").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl")).otherwise(0)).alias("length")
+    ).where("df > 0 and length >= 0")
 
 
 def corpus_of(chunks: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Chunks without a token count too, but hold no posting."""
     n = only(chunks.agg(F.count(F.lit(1)).alias("n_chunks")), "n_chunks")
-    return frequencies.agg(F.sum("cf").alias("_tokens")).select(
+    return frequencies.agg(F.sum("length").alias("_tokens")).select(
         n.alias("n_chunks"), (F.col("_tokens") / n).alias("avgdl")
     )
 
@@ -85,44 +107,28 @@ def terms_of(frequencies: DataFrame, corpus: DataFrame, config: Config = DEFAULT
     )
 
 
-def _index(postings: DataFrame, chunks: DataFrame, config: Config) -> KeywordIndex:
-    frequencies = frequencies_of(postings)
+def _index(tokens: DataFrame, chunks: DataFrame, config: Config) -> KeywordIndex:
+    frequencies = frequencies_of(tokens)
     corpus = corpus_of(chunks, frequencies)
-    return KeywordIndex(postings, terms_of(frequencies, corpus, config), corpus)
+    return KeywordIndex(tokens, terms_of(frequencies, corpus, config), corpus)
 
 
 def build_index(chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
-    """All three parts read one exchange of the text, which Spark runs once and reuses."""
-    return _index(postings_of(chunks), chunks, config)
-
-
-def write_index(chunks: DataFrame, path: str, config: Config = DEFAULT) -> KeywordIndex:
-    """Persist an index and return it as stored; the statistics are read off the stored postings.
-
-    Postings stay with their chunk, so a later scoring combines map-side; sorted by term
-    inside a file they compress well.
-    """
-    spark = chunks.sparkSession
-    postings_of(chunks).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index = _index(spark.read.parquet(f"{path}/postings"), chunks, config)
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    return KeywordIndex.read(spark, path)
+    """An index for this session: the text is cut where it lies, and only term counts move. See segments.py for a stored one."""
+    return _index(cut(chunks), chunks, config)
 
 
 def refresh_index(index: KeywordIndex, chunks: DataFrame, config: Config = DEFAULT) -> KeywordIndex:
     """Tokenise only chunks the index does not hold; drop those that vanished."""
-    known = index.postings.select("chunk_id").distinct()
-    live = chunks.select("chunk_id")
+    known, live = index.tokens.select("chunk_id"), chunks.select("chunk_id")
     fresh = chunks.join(known, "chunk_id", "left_anti")
-    postings = index.postings.join(live, "chunk_id", "left_semi").unionByName(postings_of(fresh))
-    return _index(postings, chunks, config)
+    counts = index.counts.join(live, "chunk_id", "left_semi").unionByName(counted(fresh))
+    return _index(counts, chunks, config)
 
 
 def index_changes(index: KeywordIndex, chunks: DataFrame) -> DataFrame:
-    """chunk_id, change: what a refresh would add and remove."""
-    known = index.postings.select("chunk_id").distinct()
-    live = chunks.select("chunk_id")
+    """chunk_id, change: what a refresh would add and remove. A chunk without a token is known like any other."""
+    known, live = index.tokens.select("chunk_id"), chunks.select("chunk_id")
     return live.join(known, "chunk_id", "left_anti").withColumn("change", F.lit("added")).unionByName(
         known.join(live, "chunk_id", "left_anti").withColumn("change", F.lit("removed"))
     )
@@ -175,7 +181,7 @@ def _sums(questions: DataFrame, index: KeywordIndex, config: Config, question: s
     if scoped:
         weights = weights.join(questions.select("question_id", "scope"), "question_id")
     if _small(asked, questions if scoped else None, config):
-        # Few enough to travel: postings stay where their chunk is.
+        # Few enough to travel: postings stay where their chunk is, and a chunk's sums are complete there.
         matched = index.postings.join(F.broadcast(weights), "term")
     else:
         # Both sides move by term; a term found in a large part of the chunks is split.
@@ -197,7 +203,142 @@ def keyword_search(
     question: str = "question",
 ) -> DataFrame:
     """Best chunks per question: (question_id, chunk_id, document_id, score, rank)."""
-    # A true match may be smaller than the last digit kept.
-    matched = _sums(questions, index, config, question).where("score > 0")
-    scores = matched.withColumn("score", F.round("score", SCORE_DIGITS))
-    return top_k(scores, ["question_id"], [F.desc("score"), F.asc("chunk_id")], top or config.top_k)
+    limit = top or config.top_k
+    resident = _resident(questions, index, config, question)
+    if resident is not None:
+        scores = _scored_in_place(index, resident, questions.schema["question_id"].dataType, limit, config)
+    else:
+        # A true match may be smaller than the last digit kept.
+        matched = _sums(questions, index, config, question).where("score > 0")
+        scores = matched.withColumn("score", F.round("score", SCORE_DIGITS))
+    return top_k(scores, ["question_id"], [F.desc("score"), F.asc("chunk_id")], limit)
+
+
+class _Asked:
+    """The weights of a bounded set of questions by term, and the documents that each may see."""
+
+    def __init__(self, weights: list[tuple], scopes: list[tuple], avgdl: float) -> None:
+        self.avgdl = avgdl
+        self.ids = sorted({row[0] for row in weights})
+        place = {q: i for i, q in enumerate(self.ids)}
+        self.terms = pa.array(sorted({row[1] for row in weights}), pa.string())
+        number = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        codes = np.array([number[row[1]] for row in weights], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.question = np.array([place[row[0]] for row in weights], np.int64)[order]
+        self.weight = np.array([row[2] for row in weights], np.float64)[order]
+        self.first = np.searchsorted(codes[order], np.arange(len(self.terms) + 1))
+        self.free = np.ones(len(self.ids), bool)
+        self.seen: dict[str, list[int]] = {}
+        for q, documents in scopes:
+            if documents and q in place:
+                self.free[place[q]] = False
+                for document in documents:
+                    self.seen.setdefault(document, []).append(place[q])
+
+    def allowed(self, documents: pa.Array) -> np.ndarray | None:
+        if self.free.all():
+            return None
+        names = documents.dictionary_encode()
+        table = np.repeat(self.free[None, :], len(names.dictionary) + 1, 0)
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            table[i, self.seen.get(name, [])] = True
+        return table[names.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+
+
+def _resident(questions: DataFrame, index: KeywordIndex, config: Config, question: str) -> _Asked | None:
+    """Weights of the questions where they are within the bounds, which are checked before a row is fetched."""
+    asked = question_terms(questions, question)
+    scoped = "scope" in questions.columns
+    if not _small(asked, questions if scoped else None, config):
+        return None
+    weights = asked.join(index.terms, "term").select(
+        "question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), only(index.corpus, "avgdl").alias("avgdl"))
+    rows = list(zip(*[column.to_pylist() for column in weights.toArrow().columns])) or []
+    scopes = [tuple(r) for r in questions.select("question_id", "scope").collect()] if scoped else []
+    kept = [row for row in rows if row[0] is not None]
+    return _Asked([row[:3] for row in kept], scopes, float(kept[0][3] or 0.0) if kept else 0.0)
+
+
+#: Scores that one step of a task holds, and rows kept back before they are cut to the best ones.
+_CELLS, _WAITING = 1 << 21, 1 << 18
+
+
+def _matched(batch: pa.RecordBatch, asked: _Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of every query term in the rows of a batch, and the rows' lengths."""
+    lists = batch.column(2)
+    sizes = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(lists)), sizes)
+    flat = lists.flatten()
+    counted_ = pa.types.is_struct(flat.type)
+    codes = pc.index_in(flat.field("term") if counted_ else flat, asked.terms)
+    known = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+    term = codes.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    if counted_:
+        return row[known], term, flat.field("tf").to_numpy(zero_copy_only=False)[known], batch.column(3).to_numpy()
+    # Equal terms of a row next to each other: their number is the term frequency.
+    both, tf = np.unique(row[known] * len(asked.terms) + term, return_counts=True)
+    return both // max(len(asked.terms), 1), both % max(len(asked.terms), 1), tf, sizes
+
+
+def _scored_in_place(index: KeywordIndex, asked: _Asked, kind: T.DataType, limit: int, config: Config) -> DataFrame:
+    """Scores of the best rows of every task, worked out where the chunk lies; k rows per question move.
+
+    A batch of chunks makes a matrix of scores (chunks by questions) of bounded size at a time.
+    """
+    spark = index.tokens.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(asked)
+    columns = ["chunk_id", "document_id", "terms", "dl"] if "terms" in index.tokens.columns else ["chunk_id", "document_id", "tokens"]
+    k1, b = config.bm25_k1, config.bm25_b
+    source = index.tokens.select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), *columns[2:])
+    out = T.StructType([
+        T.StructField("question_id", kind), T.StructField("chunk_id", T.StringType()),
+        T.StructField("document_id", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True])
+        return rows[rows.groupby("q", sort=False).cumcount().to_numpy() < limit]
+
+    def score(batches):
+        asked = shared.value
+        width = len(asked.ids)
+        bound, parts, waiting = np.full(width, -np.inf), [], 0
+        for batch in batches if width else ():
+            row, term, tf, length = _matched(batch, asked)
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / asked.avgdl))
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            step = max(1, _CELLS // width)
+            for low in range(0, batch.num_rows, step):
+                high = min(low + step, batch.num_rows)
+                part = slice(starts[low], starts[high])
+                fan = asked.first[term[part] + 1] - asked.first[term[part]]
+                at = np.repeat(asked.first[term[part]] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) + np.arange(fan.sum())
+                cell = np.repeat(row[part] - low, fan) * width + asked.question[at]
+                sums = np.bincount(cell, asked.weight[at] * np.repeat(gain[part], fan), (high - low) * width).reshape(-1, width)
+                allowed = asked.allowed(batch.column(1).slice(low, high - low))
+                rounded = np.round(sums, SCORE_DIGITS) + 0.0
+                found = (sums > 0) & (rounded >= bound[None, :])
+                chunk, q = np.nonzero(found if allowed is None else found & allowed)
+                if not len(chunk):
+                    continue
+                take = pa.array(low + chunk)
+                parts.append(pd.DataFrame({
+                    "q": q, "score": rounded[chunk, q], "chunk_id": batch.column(0).take(take).to_numpy(zero_copy_only=False),
+                    "document_id": batch.column(1).take(take).to_numpy(zero_copy_only=False)}))
+                waiting += len(chunk)
+                if waiting > _WAITING:
+                    parts, waiting = [best(parts)], 0
+                    full = parts[0].groupby("q")["score"].agg(["size", "min"])
+                    full = full[full["size"] == limit]
+                    bound[full.index.to_numpy()] = full["min"].to_numpy()
+        if parts:
+            rows = best(parts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([asked.ids[i] for i in rows["q"]]).cast(types[0]), pa.array(rows["chunk_id"], pa.string()),
+                pa.array(rows["document_id"], pa.string()), pa.array(rows["score"], pa.float64())], names=out.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = to_arrow_schema(out).types
+    return source.mapInArrow(score, out)

@@ -44,7 +44,7 @@ def library(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str, vectors: bool = True) -> DataFrame:
     """documents as chunks of books of twenty; the paired embedding gives vector and section."""
-    docs = read_table(spark, folder, "documents")
+    docs = texts(spark, folder)
     book, index = F.floor(F.col("doc_id") / 20), F.col("doc_id") % 20
     base = docs.select(
         "doc_id", F.concat_ws(":", book.cast("string"), index.cast("string")).alias("chunk_id"),

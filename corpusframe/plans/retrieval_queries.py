@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusframe.functions import fixed
-from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, lists, reuse, routing, vector
+from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, lists, reuse, routing, segments, vector
 from corpusframe.operators import context as packing
 from corpusframe.plans import model_tables as m
 from corpusframe.plans.model_sql import DISTANCE, bm25, define, rrf, sql_list
@@ -29,21 +29,34 @@ bm25("refreshed", "live_chunks", "questions")
 define("live_chunks", "SELECT c.* FROM chunks c JOIN documents d USING (doc_id) WHERE d.lang <> 'de'", ("chunks",))
 
 
+def _grown(spark, d):
+    """A stored index before and after a refresh, and the chunks it then holds."""
+    chunks = m.chunks(spark, d, vectors=False).join(
+        read_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return segments.write_index(chunks.where("lang <> 'fr'"), scratch_folder(spark)), chunks.where("lang <> 'de'")
+
+
 @query("""
 SELECT 'term' AS kind, term AS name, df AS n, round(idf, 6) AS idf FROM refreshed_idf
 UNION ALL SELECT CASE lang WHEN 'fr' THEN 'added' ELSE 'removed' END, chunk_id, 0, 0.0 FROM chunks c JOIN documents d USING (doc_id)
-  WHERE lang IN ('fr', 'de') AND len(regexp_extract_all(lower(content), '[a-z0-9]+')) > 0
+  WHERE lang IN ('fr', 'de')
 """, ("refreshed_idf",))
 def index_delta(spark, d):
-    chunks = m.chunks(spark, d, vectors=False).join(
-        read_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    index = keyword.build_index(chunks.where("lang <> 'fr'"))
-    live = chunks.where("lang <> 'de'")
-    terms = keyword.refresh_index(index, live).terms.select(
-        F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"), F.round("idf", 6).alias("idf"))
-    changes = keyword.index_changes(index, live).select(
+    """What a refresh changes, and the statistics after a second one, which finds nothing to do."""
+    index, live = _grown(spark, d)
+    changes = segments.changes(index, live).select(
         F.col("change").alias("kind"), F.col("chunk_id").alias("name"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("idf"))
-    return terms.unionByName(changes)
+    again = segments.refresh(segments.refresh(index, live), live)
+    terms = again.statistics().terms.select(
+        F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"), F.round("idf", 6).alias("idf"))
+    return terms.unionByName(changes.unionByName(segments.changes(again, live).selectExpr("'left over' AS kind", "chunk_id AS name", "0L AS n", "0.0D AS idf")))
+
+
+@query("SELECT question_id, chunk_id, document_id, CAST(rank AS INTEGER) AS rank, score FROM refreshed WHERE rank <= 5", ("refreshed",))
+def stored_topk(spark, d):
+    """Questions against a stored index of two segments, reading the blocks that each of them needs."""
+    index, live = _grown(spark, d)
+    return segments.search(m.questions(spark, d), segments.refresh(index, live)).select(*HIT, "score")
 
 
 @query("SELECT question_id, chunk_id, document_id, CAST(rank AS INTEGER) AS rank, score FROM bm25 WHERE rank <= 5", ("bm25",))
