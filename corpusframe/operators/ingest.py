@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
@@ -111,43 +112,188 @@ def duplicates_report(
     )
 
 
-# Unicode noncharacters, never valid in interchanged text, as in-row markers.
-_BREAK, _LEVEL = "﷐", "﷑"
+def _groups(lines: Column, starts) -> Column:
+    """The array cut before every index that ``starts(line, line before, index)`` accepts; nothing is ever shuffled.
 
+    Whether a line starts a group is decided by itself and the line before it, so the cuts are one filter over the
+    indexes and the groups are slices between neighbouring cuts.
+    """
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = F.filter(places, lambda i: starts(F.get(lines, i), F.get(lines, i - 1), i))
+    return F.transform(cuts, lambda cut, at: F.slice(lines, cut + 1, F.coalesce(F.get(cuts, at + 1), F.size(lines)) - cut))
 
-def blocks_of(content: Column) -> Column:
-    """array<struct(text, heading_level)> of plain text, built inside the row.
 
-    Lines become one marked string (blank line = break, heading = its own piece), which
-    is cut at the breaks; no line is ever shuffled.
-    """
-    clean = F.translate(F.coalesce(content, F.lit("")), _BREAK + _LEVEL, "")
-
-    def mark(line: Column) -> Column:
-        s = text.strip(line)
-        level = text.heading_level(s)
-        return (
-            F.when(s == "", F.lit(_BREAK))
-            .when(level.isNotNull(), F.concat(
-                F.lit(_BREAK), level.cast("string"), F.lit(_LEVEL), s, F.lit(_BREAK)))
-            .otherwise(F.concat(s, F.lit("\n")))
-        )
+def _block(value: Column, level: Column) -> Column:
+    return F.struct(value.alias("text"), level.cast("int").alias("heading_level"))
+
+
+def _staged(docs: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """One column after the other, so that each is worked out once per row and only read by those after it."""
+    for name, value in columns.items():
+        docs = docs.withColumn(name, value)
+    return docs.select(*keys, *columns)
+
+
+def _plain(lines: Column) -> Column:
+    """Lines of plain text as structs of the stripped line and its heading level."""
+    return F.transform(lines, lambda line: F.struct(
+        text.strip(line).alias("line"), text.heading_level(text.strip(line)).alias("level")))
+
+
+def _plain_groups(lines: Column) -> Column:
+    def starts(line: Column, before: Column, i: Column) -> Column:
+        joined = (i > 0) & (before["line"] != "") & before["level"].isNull() & line["level"].isNull()
+        return (line["line"] != "") & ~joined
 
-    marked = F.array_join(F.transform(text.lines(clean), mark), "")
-    pieces = F.filter(F.split(marked, _BREAK + "+"), lambda p: text.strip(p) != "")
-    return F.transform(pieces, lambda p: F.when(
-        p.contains(_LEVEL),
-        F.struct(F.substring_index(p, _LEVEL, -1).alias("text"),
-                 F.substring_index(p, _LEVEL, 1).cast("int").alias("heading_level")),
-    ).otherwise(F.struct(text.strip(p).alias("text"), F.lit(None).cast("int").alias("heading_level"))))
+    return _groups(lines, starts)
+
+
+def _joined(lines: Column, by: str = "\n") -> Column:
+    return F.array_join(F.filter(lines, lambda line: line != ""), by)
 
 
 def blocks_from_text(docs: DataFrame, doc_id: str = "document_id", content: str = "content") -> DataFrame:
-    return docs.select(doc_id, F.posexplode(blocks_of(F.col(content))).alias("pos", "block")).select(
-        doc_id, "pos", "block.text", F.lit(None).cast("int").alias("page_number"), "block.heading_level"
+    """Blank lines and headings (guessed from the shape of a line) end a paragraph; any character may stand in the text."""
+    staged = _staged(docs, [doc_id], {
+        "_lines": _plain(text.lines(F.coalesce(F.col(content), F.lit("")))),
+        "_groups": _plain_groups(F.col("_lines")),
+    })
+    rows = staged.select(doc_id, F.posexplode_outer("_groups").alias("pos", "group")).where("pos is not null")
+    level = F.get("group", F.lit(0))["level"]
+    body = F.when(level.isNotNull(), F.get("group", F.lit(0))["line"]).otherwise(text.strip(_joined(F.transform("group", lambda g: g["line"]))))
+    return rows.select(
+        doc_id, "pos", body.alias("text"), F.lit(None).cast("int").alias("page_number"), level.alias("heading_level"))
+
+
+_FENCE = r"^ {0,3}(`{3,}|~{3,})"
+_HEADING = r"^(#{1,6})(.*?)#*\s*$"
+_UNDERLINE = r"^(=+|-+) *$"
+_ITEM = r"^ {0,3}(?:[*+-]|\d+\.)[ \t]+"
+_RULE = r"^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$"
+_TABLE = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
+#: Inline marks and what stands for them: text of its own is a line of its own, as the elements of a page are.
+_INLINE = (
+    (r"!\[[^\]\n]*\]\([^)\n]*\)", ""), (r"\[([^\]\n]+)\]\([^)\n]*\)", "\n$1\n"), (r"`+([^`\n]+)`+", "\n$1\n"),
+    (r"\*\*([^*\n]+)\*\*", "\n$1\n"), (r"__([^_\n]+)__", "\n$1\n"), (r"\*([^*\s][^*\n]*)\*", "\n$1\n"),
+    (r"(?<![\p{L}\p{N}_])_([^_\s][^_\n]*)_(?![\p{L}\p{N}_])", "\n$1\n"),
+)
+
+
+def _inline(value: Column) -> Column:
+    for pattern, stands in _INLINE:
+        value = F.regexp_replace(value, pattern, stands)
+    return text.clean_text(value)
+
+
+def _fences(lines: Column) -> Column:
+    """(first, last) line of every fenced part: a fold over the lines that look like fences, with the open one as state.
+
+    A fence closes by the same mark, at least as long, with nothing after it; one that never closes is no fence.
+    """
+    marks = F.filter(F.transform(lines, lambda line, i: F.struct(
+        i.alias("at"), F.regexp_extract(line, _FENCE, 1).alias("mark"),
+        F.trim(F.regexp_replace(line, _FENCE, "")).alias("rest"))), lambda m: m["mark"] != "")
+    nothing = F.struct(F.lit(-1).alias("at"), F.lit("").alias("mark"), F.lit("").alias("rest"))
+    state = F.struct(nothing.alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("parts"))
+
+    def step(held: Column, mark: Column) -> Column:
+        closes = mark["mark"].startswith(held["open"]["mark"]) & (mark["rest"] == "")
+        return F.when(held["open"]["mark"] == "", F.struct(mark.alias("open"), held["parts"].alias("parts"))).when(
+            closes, F.struct(nothing.alias("open"), F.concat(held["parts"], F.array(F.struct(
+                held["open"]["at"].alias("first"), mark["at"].alias("last")))).alias("parts"))).otherwise(held)
+
+    return F.aggregate(marks, state, step)["parts"]
+
+
+def _markdown_groups(lines: Column) -> Column:
+    """Groups of (line, kind): fenced parts, headings, and runs of other lines without a blank one between them."""
+    def starts(line: Column, before: Column, i: Column) -> Column:
+        alone = (i == 0) | (before["kind"] != line["kind"]) | (line["kind"] == "heading") | (before["line"] == "")
+        return F.when(line["kind"] == "code", (i == 0) | (before["kind"] != "code") | (line["part"] != before["part"])).otherwise(
+            (text.strip(line["line"]) != "") & alone)
+
+    return _groups(lines, starts)
+
+
+def _kinds(raw: Column, fences: Column) -> Column:
+    """Every line with its kind: code inside a fence (the number of the part, -1 on its marks), heading or other."""
+    # Which part a line is in: the parts are in order, so the last one that has begun is looked up by place.
+    def kind(line: Column, i: Column) -> Column:
+        part = F.get(fences, F.size(F.filter(fences, lambda p: p["first"] <= i)) - 1)
+        inside = F.coalesce(part["last"] >= i, F.lit(False))
+        value = F.when(inside & ((part["first"] == i) | (part["last"] == i)), "").otherwise(line)
+        heading = line.rlike(_HEADING) & (text.strip(F.regexp_extract(line, _HEADING, 2)) != "")
+        return F.struct(
+            value.alias("line"), F.when(inside, "code").when(heading, "heading").otherwise("other").alias("kind"),
+            F.when(inside, part["first"]).otherwise(-1).alias("part"))
+
+    return F.transform(raw, kind)
+
+
+def _markdown_blocks(group: Column) -> Column:
+    """The blocks of one group."""
+    first = F.get(group, F.lit(0))
+    line = first["line"]
+    lines = F.filter(F.transform(group, lambda g: g["line"]), lambda value: text.strip(value) != "")
+    second = F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
+    whole = F.array_join(lines, "\n")
+    none = F.lit(None)
+    rest = F.array_join(F.slice(lines, 3, F.size(lines)), "\n")
+    underlined = F.array(
+        _block(_inline(line), F.when(second.startswith("="), 1).otherwise(2)), _block(_inline(rest), none))
+    cells = F.flatten(F.transform(
+        F.filter(lines, lambda value: ~value.rlike(_TABLE)),
+        lambda row: F.split(F.regexp_replace(text.strip(row), r"^\||\|$", ""), r"(?<!\\)\|")))
+    quoted = F.array_join(F.transform(lines, lambda value: F.regexp_replace(value, r"^ {0,3}> ?", "")), "\n")
+    items = F.transform(
+        _groups(lines, lambda value, before, i: (i == 0) | value.rlike(_ITEM)),
+        lambda some: _block(_inline(F.array_join(F.transform(some, lambda value: F.regexp_replace(
+            value, r"^[ \t]*(?:[*+-]|\d+\.)[ \t]+", "")), "\n")), none))
+    return (
+        F.when(first["kind"] == "code", F.array(_block(text.clean_text(F.array_join(F.transform(group, lambda g: g["line"]), "\n")), none)))
+        .when(first["kind"] == "heading", F.array(_block(
+            _inline(F.regexp_extract(line, _HEADING, 2)), F.length(F.regexp_extract(line, _HEADING, 1)))))
+        .when(second.rlike(_UNDERLINE) & ~line.rlike(_ITEM), underlined)
+        .when((F.size(lines) == 1) & line.rlike(_RULE), F.array().cast("array<struct<text:string,heading_level:int>>"))
+        .when(line.contains("|") & second.contains("-") & second.rlike(_TABLE), F.array(_block(
+            _inline(F.array_join(F.transform(cells, text.strip), "\n\n")), none)))
+        .when(line.rlike("^ {0,3}>"), F.array(_block(_inline(quoted), none)))
+        .when(line.rlike(_ITEM), items)
+        .otherwise(F.array(_block(_inline(whole), none)))
     )
 
 
+def blocks_from_markdown(docs: DataFrame, doc_id: str = "document_id", content: str = "content") -> DataFrame:
+    """Blocks of Markdown as its rendered page has them, without rendering it.
+
+    Headings (# marks or underlined) keep their level; paragraphs, fenced code, tables, quotes and list items are body
+    blocks, what is nested in an item or a quote belonging to it. Cells of a table and marked-up words are lines of
+    their own. A list begins after a blank line; rules are no blocks; raw HTML is text.
+    """
+    staged = _staged(docs, [doc_id], {
+        "_raw": text.lines(F.coalesce(F.col(content), F.lit(""))),
+        "_fences": _fences(F.col("_raw")),
+        "_lines": _kinds(F.col("_raw"), F.col("_fences")),
+        "_groups": _markdown_groups(F.col("_lines")),
+    })
+    groups = staged.select(doc_id, F.posexplode_outer("_groups").alias("at", "group")).where("at is not null")
+    parts = groups.select(doc_id, "at", F.posexplode_outer(_markdown_blocks(F.col("group"))).alias("inner", "block"))
+    kept = parts.where("block.text <> ''").select(doc_id, "at", "inner", "block.*")
+    order = Window.partitionBy(doc_id).orderBy("at", "inner")
+    return kept.select(
+        doc_id, (F.row_number().over(order) - 1).alias("pos"), "text", F.lit(None).cast("int").alias("page_number"), "heading_level")
+
+
+def parsed_blocks(docs: DataFrame, doc_id: str = "document_id", content: str = "content", mime: str = "mime") -> DataFrame:
+    """Blocks by the reader of each document's type: Markdown, HTML, or plain text for all others that have text."""
+    kind = F.coalesce(F.col(mime), F.lit(""))
+    readers = (
+        (blocks_from_markdown, kind == "text/markdown"), (blocks_from_html, kind == "text/html"),
+        (blocks_from_text, ~kind.isin("text/markdown", "text/html")))
+    parts = [reader(docs.where(which), doc_id, content) for reader, which in readers]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def decode_blocks(docs: DataFrame, doc_id: str, blocks: str, content: str) -> DataFrame:
     """Stored JSON blocks; an unreadable or empty value is one unstructured block."""
     whole = F.array(F.struct(

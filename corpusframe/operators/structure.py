@@ -1,22 +1,19 @@
-"""Blocks to a section tree, with window functions only.
+"""Blocks to a section tree.
 
-A stack that closes every open section of the same or a deeper level is the same thing
-as "nearest earlier heading of a smaller level", so each level's latest heading is
-carried forward by a window and the open ones are picked by comparing positions.
-Windows run per document, whose size the upload gate bounds.
+Sections are numbered by windows per document, whose size the upload gate bounds. Their parents come from one pass over
+the headings in order, with a stack of the open sections that starts anew at every document: a heading closes all open
+sections of its own or a deeper level, however deep levels go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import fixed
+from corpusframe.session import ship
 
-#: Deepest heading level; a deeper one is refused with an error.
-MAX_LEVEL = 9
 SEPARATOR = "\n\n"
 
 
@@ -46,48 +43,38 @@ def _placed(blocks: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def _checked(level: Column) -> Column:
-    message = F.concat(F.lit("heading level "), level.cast("string"), F.lit(f" is deeper than {MAX_LEVEL}"))
-    return F.when(level <= MAX_LEVEL, level).otherwise(F.raise_error(message).cast("int"))
+def _stacked(batches):
+    """Parent number and path of titles of every heading; rows come by document and in order."""
+    document, stack = object(), []
+    for batch in batches:
+        parents, titles, ends = [], [], [0]
+        for name, number, title, level in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if name != document:
+                document, stack = name, []
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            parents.append(stack[-1][1] if stack else None)
+            stack.append((level, number, title))
+            titles.extend(entry[2] for entry in stack)
+            ends.append(len(titles))
+        yield pa.RecordBatch.from_arrays([
+            *batch.columns, pa.array(parents, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(titles, pa.string()))],
+            names=[*batch.schema.names, "parent", "path"])
 
 
 def section_tree(blocks: DataFrame, doc: str = "document_id") -> DataFrame:
-    """One row per section: id, title, level, parent id and the path of titles."""
-    placed = _placed(blocks, doc)
-    before = (
-        Window.partitionBy(doc).orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    headings = placed.where("_heading").select(
-        doc, "section_no", F.col("text").alias("title"), _checked(F.col("heading_level")).alias("level")
-    )
-    # All levels in one projection, so one window pass carries them all.
-    headings = headings.withColumns({
-        f"_l{k}": F.last(F.when(F.col("level") == k, F.struct("section_no", "title")), ignorenulls=True).over(before)
-        for k in range(1, MAX_LEVEL + 1)
-    })
-
-    def number(k: int) -> Column:
-        return F.coalesce(F.col(f"_l{k}.section_no"), F.lit(0))
-
-    def is_open(k: int) -> Column:
-        shallower = [number(j) for j in range(1, k)]
-        newest = reduce(F.greatest, shallower) if shallower else F.lit(0)
-        return (F.col("level") > k) & (number(k) > newest)
-
-    parent = F.lit(0)
-    for k in range(1, MAX_LEVEL + 1):
-        parent = F.greatest(parent, F.when(F.col("level") > k, number(k)).otherwise(0))
-    ancestors = F.array(*[F.when(is_open(k), F.col(f"_l{k}.title")) for k in range(1, MAX_LEVEL + 1)])
-    path = F.concat(F.array_compact(ancestors), F.array("title"))
-    return headings.select(
-        doc,
-        "section_no",
-        F.concat(F.lit("s"), F.col("section_no")).alias("section_id"),
-        "title",
-        "level",
-        F.when(parent > 0, F.concat(F.lit("s"), parent)).alias("parent_section_id"),
-        path.alias("path"),
-    )
+    """One row per section: id, title, level, parent id and the path of titles. Levels may be of any depth."""
+    ship(blocks.sparkSession)
+    headings = _placed(blocks, doc).where("_heading").select(
+        doc, "section_no", F.col("text").alias("title"), F.col("heading_level").cast("int").alias("level"))
+    kind = headings.schema[doc].dataType.simpleString()
+    # A document stands in one partition, in order; the stack goes over its rows once.
+    ordered = headings.repartition(doc).sortWithinPartitions(doc, "section_no")
+    walked = ordered.mapInArrow(_stacked, f"`{doc}` {kind}, section_no long, title string, level int, parent long, path array<string>")
+    return walked.select(
+        doc, "section_no", F.concat(F.lit("s"), "section_no").alias("section_id"), "title", "level",
+        F.concat(F.lit("s"), "parent").alias("parent_section_id"), "path")
 
 
 def section_blocks(blocks: DataFrame, doc: str = "document_id") -> DataFrame:

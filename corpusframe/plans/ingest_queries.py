@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import fixed, text
 from corpusframe.operators import chunking, ingest, routing, structure
 from corpusframe.plans import model_tables as m
-from corpusframe.plans.model_sql import TOK, sql_list
+from corpusframe.plans.model_sql import ASKED, TOK, sql_list
 from corpusframe.plans.registry import query
 from corpusframe.sources.tables import read_table
 
@@ -176,6 +176,35 @@ def text_blocks(spark, d):
     return ingest.blocks_from_text(docs, "doc_id", "text").select("doc_id", "pos", "text", "heading_level")
 
 
+@query(r"""
+WITH pieces AS (
+  SELECT doc_id, i, trim(regexp_replace(l[i + 1], '[^A-Za-z0-9]+', ' ', 'g')) AS c
+  FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+), blocks AS (
+  SELECT doc_id, i, 0 AS n, CASE i % 7 WHEN 0 THEN c WHEN 1 THEN 'P ' || c WHEN 2 THEN c WHEN 3 THEN c || chr(10) || '# no heading'
+    WHEN 4 THEN 'Q ' || c WHEN 5 THEN c || repeat(chr(10), 2) || 'n' || repeat(chr(10), 2) || i || repeat(chr(10), 2) || 'x' ELSE 'H ' || c END AS text,
+    CASE i % 7 WHEN 0 THEN 1 + i % 6 WHEN 6 THEN 2 END AS heading_level FROM pieces WHERE c <> ''
+  UNION ALL SELECT doc_id, i, 1, 'second ' || i, NULL FROM pieces WHERE c <> '' AND i % 7 = 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1 AS INTEGER) AS pos, text, CAST(heading_level AS INTEGER) AS heading_level FROM blocks
+""")
+def markdown_blocks(spark, d):
+    """Every document written as Markdown, its lines taking turns as headings, paragraphs, items, code, quotes and tables."""
+    def piece(line, i):
+        c = F.trim(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))
+        n = i % 7
+        shape = (
+            F.when(n == 0, F.concat(F.expr("''"), F.repeat(F.lit("#"), 1 + i % 6), F.lit(" "), c, F.lit(" ##")))
+            .when(n == 1, F.concat(F.lit("P "), c)).when(n == 2, F.concat(F.lit("- "), c, F.lit("\n- second "), i.cast("string")))
+            .when(n == 3, F.concat(F.lit("```text\n"), c, F.lit("\n# no heading\n```"))).when(n == 4, F.concat(F.lit("> Q "), c))
+            .when(n == 5, F.concat(F.lit("| "), c, F.lit(" | n |\n|---|:-:|\n| "), i.cast("string"), F.lit(" | x |")))
+            .otherwise(F.concat(F.lit("H "), c, F.lit("\n-----")))
+        )
+        return F.when(c != "", shape).otherwise("")
+
+    docs = m.texts(spark, d).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), piece), "\n\n").alias("text"))
+    return ingest.blocks_from_markdown(docs, "doc_id", "text").select("doc_id", "pos", "text", "heading_level")
+
+
 @query(r"""
 SELECT page_id, CAST(0 AS INTEGER) AS pos, CAST(1 AS INTEGER) AS heading_level,
   trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title
@@ -226,17 +255,9 @@ def _phrases(kind):
 FORM = r"trim(regexp_replace(regexp_replace(lower(question), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 SMALLTALK_SQL = "CASE WHEN length(question) > 40 THEN NULL " + " ".join(
     f"WHEN list_contains({sql_list(_phrases(k))}, {FORM}) THEN '{k}'" for k in fixed.SMALLTALK) + " END"
-ASKED = "SELECT 'p' || question_id AS question_id, question FROM prompts UNION ALL SELECT question_id, question FROM question_texts"
-
-
-def _asked(spark, d):
-    prompts = m.prompts(spark, d).select(F.concat(F.lit("p"), "question_id").alias("question_id"), "question")
-    return prompts.unionByName(m.question_texts(spark, d))
-
-
 @query(f"SELECT question_id, {SMALLTALK_SQL} AS kind FROM ({ASKED})", ("prompts", "question_texts"))
 def smalltalk(spark, d):
-    return _asked(spark, d).select("question_id", text.smalltalk_kind(F.col("question")).alias("kind"))
+    return m.asked(spark, d).select("question_id", text.smalltalk_kind(F.col("question")).alias("kind"))
 
 
 WIDE = "(" + " OR ".join(f"regexp_matches(question, '(?i){p}')" for p in fixed.LIBRARY_WIDE) + ")"
@@ -251,7 +272,7 @@ SELECT question_id, kind AS smalltalk, matched, CASE WHEN kind IS NOT NULL THEN
 FROM (SELECT question_id, {SMALLTALK_SQL} AS kind, {MATCHED} AS matched, {WIDE} AS wide, {ALONE} AS alone, length(question) % 2 = 0 AS later FROM ({ASKED}))
 """, ("prompts", "question_texts"))
 def route_questions(spark, d):
-    asked = _asked(spark, d).withColumn("later", F.length("question") % 2 == 0)
+    asked = m.asked(spark, d).withColumn("later", F.length("question") % 2 == 0)
     return routing.question_router(asked, has_history="later").select("question_id", "smalltalk", "matched", "route")
 
 
@@ -260,7 +281,7 @@ SELECT question_id, array_to_string(list_filter({TOK.format('question')}, lambda
 FROM ({ASKED})
 """, ("prompts", "question_texts"))
 def topic_terms(spark, d):
-    return _asked(spark, d).select("question_id", F.array_join(text.topic_terms(F.col("question")), " ").alias("topic"))
+    return m.asked(spark, d).select("question_id", F.array_join(text.topic_terms(F.col("question")), " ").alias("topic"))
 
 
 @query(f"""
@@ -269,12 +290,12 @@ SELECT question_id, CASE WHEN NOT contains(s, '?') AND len(w) BETWEEN 1 AND 6 AN
 FROM (SELECT question_id, trim(question) AS s, regexp_extract_all(lower(trim(question)), '[a-zA-Z'']+') AS w FROM ({ASKED}))
 """, ("prompts", "question_texts"))
 def as_question(spark, d):
-    return _asked(spark, d).select("question_id", text.as_question(F.col("question")).alias("asked"))
+    return m.asked(spark, d).select("question_id", text.as_question(F.col("question")).alias("asked"))
 
 
 @query(f"SELECT question_id, {ALONE} AS self_contained FROM ({ASKED})", ("prompts", "question_texts"))
 def turn_dependency(spark, d):
-    return _asked(spark, d).select("question_id", text.looks_self_contained(F.col("question")).alias("self_contained"))
+    return m.asked(spark, d).select("question_id", text.looks_self_contained(F.col("question")).alias("self_contained"))
 
 
 @query(rf"""
@@ -283,7 +304,7 @@ SELECT question_id, CASE WHEN n = 0 THEN false WHEN n >= 2 THEN true ELSE intent
     ({' OR '.join(f"contains(lower(question), '{w}')" for w in fixed.ARITHMETIC_INTENT)}) AS intent FROM ({ASKED}))
 """, ("prompts", "question_texts"))
 def needs_calc(spark, d):
-    return _asked(spark, d).select("question_id", text.needs_calculation(F.col("question")).alias("needs_calculation"))
+    return m.asked(spark, d).select("question_id", text.needs_calculation(F.col("question")).alias("needs_calculation"))
 
 
 @query(f"SELECT doc_id, len({TOK.format('text')}) AS tokens, len(list_distinct({TOK.format('text')})) AS distinct_tokens FROM documents")
@@ -370,19 +391,33 @@ def chunk_index_of(spark, d):
         "conv_id", "turn", text.chunk_index_of(F.concat(F.lit("doc:"), "conv_id", F.lit(":"), last)).alias("chunk_index"))
 
 
-@query("""
+TREE = """
 SELECT document_id, section_no, title, level, 's' || section_no AS section_id,
   (SELECT 's' || max(p.section_no) FROM headings p WHERE p.document_id = h.document_id AND p.section_no < h.section_no AND p.level < h.level) AS parent_section_id,
   (SELECT coalesce(string_agg(a.title, ' > ' ORDER BY a.section_no) || ' > ', '') FROM headings a WHERE a.document_id = h.document_id AND a.section_no < h.section_no AND a.level < h.level
     AND NOT EXISTS (SELECT 1 FROM headings b WHERE b.document_id = h.document_id AND b.section_no > a.section_no AND b.section_no < h.section_no AND b.level <= a.level)) || title AS path
 FROM headings h
-""", ("headings",))
+"""
+
+
+@query(TREE, ("headings",))
 def section_tree(spark, d):
     tree = structure.section_tree(m.tree_blocks(spark, d))
     return tree.select("document_id", "section_no", "title", "level", "section_id", "parent_section_id",
                        F.array_join("path", " > ").alias("path"))
 
 
+@query("""
+SELECT p.document_id, p.section_no, p.title, p.level, 's' || p.section_no AS section_id, 's' || p.parent AS parent_section_id, u.path
+FROM deep_parents p JOIN deep_paths u ON u.document_id = p.document_id AND u.section_no = p.section_no AND u.parent IS NULL
+""", ("deep_paths",))
+def section_depths(spark, d):
+    """Trees of levels 1 to 40."""
+    tree = structure.section_tree(m.deep_blocks(spark, d))
+    return tree.select("document_id", "section_no", "title", "level", "section_id", "parent_section_id",
+                       F.array_join("path", " > ").alias("path"))
+
+
 @query("""
 SELECT document_id, section_no, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, min(page_number) AS page_start, max(page_number) AS page_end
 FROM owned GROUP BY document_id, section_no

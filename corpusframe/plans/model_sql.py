@@ -32,7 +32,7 @@ def with_ctes(sql: str, names: tuple[str, ...]) -> str:
         visit(name)
     if not ordered:
         return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql.strip()
 
 
 define("library", """
@@ -63,7 +63,7 @@ SELECT document_id, filename, string_agg(content, chr(10) || chr(10) ORDER BY ch
 FROM chunks c LEFT JOIN labels l ON l.doc_id = c.doc_id GROUP BY document_id, filename
 """, ("chunks",))
 define("questions", """
-SELECT item_id AS question_id, text AS question, embedding FROM benchmark JOIN embeddings ON vec_id = item_id
+SELECT item_id AS question_id, text AS question, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id
 """)
 define("question_texts", """
 SELECT 'b' || item_id AS question_id, text AS question FROM benchmark
@@ -117,6 +117,28 @@ FROM (
   SELECT document_id, min(pos) - 1, 'Preamble', 1 FROM tree_blocks GROUP BY document_id HAVING arg_min(coalesce(heading_level, 0), pos) = 0
 )
 """, ("tree_blocks",))
+define("deep_blocks", """
+SELECT CAST(l_orderkey // 4 AS VARCHAR) AS document_id, l_orderkey * 10 + l_linenumber AS pos, 'part ' || l_partkey AS text,
+  CASE WHEN l_partkey % 41 > 0 THEN CAST(l_partkey % 41 AS INTEGER) END AS heading_level
+FROM lineitem
+""")
+define("deep_headings", """
+SELECT document_id, pos, text AS title, heading_level AS level, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS section_no
+FROM (
+  SELECT document_id, pos, text, heading_level FROM deep_blocks WHERE heading_level IS NOT NULL
+  UNION ALL
+  SELECT document_id, min(pos) - 1, 'Preamble', 1 FROM deep_blocks GROUP BY document_id HAVING arg_min(coalesce(heading_level, 0), pos) = 0
+)
+""", ("deep_blocks",))
+define("deep_parents", """
+SELECT h.document_id, h.section_no, h.title, h.level, max(a.section_no) AS parent
+FROM deep_headings h LEFT JOIN deep_headings a ON a.document_id = h.document_id AND a.section_no < h.section_no AND a.level < h.level GROUP BY ALL
+""", ("deep_headings",))
+define("deep_paths", """
+SELECT document_id, section_no, parent, title AS path FROM deep_parents
+UNION ALL SELECT u.document_id, u.section_no, p.parent, p.title || ' > ' || u.path
+FROM deep_paths u JOIN deep_parents p ON p.document_id = u.document_id AND p.section_no = u.parent
+""", ("deep_parents",))
 define("owned", """
 SELECT b.document_id, b.pos, b.text, b.page_number, max(h.section_no) AS section_no
 FROM tree_blocks b JOIN headings h ON h.document_id = b.document_id AND h.pos < b.pos
@@ -152,6 +174,7 @@ FROM {prefix}_q JOIN {prefix}_idf USING (term) JOIN {prefix}_tf USING (term), {p
     define(prefix, f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM {prefix}_scores WHERE score > 0", (f"{prefix}_scores",))
 
 
+ASKED = "SELECT 'p' || question_id AS question_id, question FROM prompts UNION ALL SELECT question_id, question FROM question_texts"
 DISTANCE = "round(pow(list_distance(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 2), 9)"
 
 bm25("bm25", "chunks", "questions")
@@ -163,7 +186,7 @@ define("knn", f"""
 SELECT question_id, chunk_id, document_id, section_id, score,
   row_number() OVER (PARTITION BY question_id ORDER BY score, chunk_id) AS rank
 FROM (SELECT q.question_id, c.chunk_id, c.document_id, c.section_id, {DISTANCE.format('q.embedding', 'c.embedding')} AS score
-  FROM questions q, chunks c WHERE c.embedding IS NOT NULL)
+  FROM questions q, chunks c WHERE c.embedding IS NOT NULL AND q.embedding IS NOT NULL)
 """, ("questions", "chunks"))
 
 

@@ -79,9 +79,10 @@ def books(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items; one without a vector of its own can still be asked by its words."""
     items = read_table(spark, folder, "benchmark")
     vectors = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return items.join(vectors, "item_id").select(
+    return items.join(vectors, "item_id", "left").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), "embedding"
     )
 
@@ -117,6 +118,12 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("question_id"), question.alias("question"))
 
 
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts and question_texts together."""
+    made = prompts(spark, folder).select(F.concat(F.lit("p"), "question_id").alias("question_id"), "question")
+    return made.unionByName(question_texts(spark, folder))
+
+
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """events as answered questions: chat = user, kind of event = mode, value = latency."""
     mode = (
@@ -156,6 +163,16 @@ def tree_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def deep_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem as documents of four orders with headings of levels 1 to 40."""
+    level = F.col("l_partkey") % 41
+    return read_table(spark, folder, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 4).cast("string").alias("document_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("part "), "l_partkey").alias("text"),
+        F.when(level > 0, level).cast("int").alias("heading_level"), F.lit(None).cast("int").alias("page_number"),
+    )
+
+
 def part_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as claims: a size of a type, stated by the document of its brand."""
     return read_table(spark, folder, "part").select(

@@ -6,7 +6,7 @@ from corpusframe.functions import fixed
 from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, lists, reuse, routing, segments, vector
 from corpusframe.operators import context as packing
 from corpusframe.plans import model_tables as m
-from corpusframe.plans.model_sql import DISTANCE, bm25, define, rrf, sql_list
+from corpusframe.plans.model_sql import ASKED, DISTANCE, bm25, define, rrf, sql_list
 from corpusframe.plans.registry import query
 from corpusframe.session import scratch_folder
 from corpusframe.sources.tables import read_table
@@ -471,20 +471,22 @@ SELECT question_id, attempt, array_to_string(CASE WHEN len(kept) > 0 THEN kept E
 SELECT *, list_filter(preferred, lambda p: list_contains(allowed, p)) AS kept, list_filter(allowed, lambda a: ends_with(a, '_search')) AS searches FROM (
 SELECT question_id, attempt, allowed, CASE WHEN wide THEN ['aggregate_search'] WHEN attempt > 0 AND list_contains(allowed, 'web_search') AND pending THEN ['web_search', 'hybrid_search']
   WHEN attempt > 0 THEN ['hybrid_search', 'keyword_search'] ELSE ['hybrid_search', 'hierarchical_search'] END AS preferred
-FROM (SELECT question_id, question_id % 2 AS attempt, length(question) % 3 = 0 AS pending,
+FROM (SELECT question_id, length(question) // 3 % 2 AS attempt, length(question) % 3 = 0 AS pending,
   ({" OR ".join(f"regexp_matches(question, '(?i){p}')" for p in fixed.LIBRARY_WIDE)}) AS wide,
-  CASE question_id % 3 WHEN 0 THEN ['semantic_search', 'keyword_search', 'hybrid_search', 'aggregate_search', 'web_search'] WHEN 1 THEN ['keyword_search', 'aggregate_search', 'calculate']
-    ELSE ['semantic_search', 'hierarchical_search', 'aggregate_search', 'web_search'] END AS allowed FROM prompts)))
-""", ("prompts",))
+  CASE length(question) // 7 % 3 WHEN 0 THEN ['semantic_search', 'keyword_search', 'hybrid_search', 'aggregate_search', 'web_search'] WHEN 1 THEN ['keyword_search', 'aggregate_search', 'calculate']
+    ELSE ['semantic_search', 'hierarchical_search', 'aggregate_search', 'web_search'] END AS allowed FROM ({ASKED}))))
+""", ("prompts", "question_texts"))
 def rule_plan(spark, d):
-    asked, n = m.prompts(spark, d), F.col("question_id")
+    """Every text that can be asked, real ones included."""
+    asked, size = m.asked(spark, d), F.length("question")
+    attempt, n = (F.floor(size / 3) % 2), F.floor(size / 7)
     lists = [["semantic_search", "keyword_search", "hybrid_search", "aggregate_search", "web_search"],
              ["keyword_search", "aggregate_search", "calculate"],
              ["semantic_search", "hierarchical_search", "aggregate_search", "web_search"]]
     arrays = [F.array(*[F.lit(t) for t in one]) for one in lists]
     allowed = F.when(n % 3 == 0, arrays[0]).when(n % 3 == 1, arrays[1]).otherwise(arrays[2])
-    plan = routing.rule_plan(F.col("question"), n % 2, allowed, F.length("question") % 3 == 0)
-    return asked.select("question_id", (n % 2).alias("attempt"), F.array_join(plan, ",").alias("tools"))
+    plan = routing.rule_plan(F.col("question"), attempt, allowed, size % 3 == 0)
+    return asked.select("question_id", attempt.alias("attempt"), F.array_join(plan, ",").alias("tools"))
 
 
 define("reachable", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusframe import schemas
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators import chunking, history, ingest, library, reuse, structure
+from corpusframe.session import settle
 from corpusframe.sources import tables
 
 
@@ -18,9 +19,10 @@ def ingest_batch(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     accepted = ingest.gate_files(files, config).where("reject_reason is null and content is not null")
     docs = ingest.content_hashes(accepted).withColumn("document_id", F.col("content_sha256"))
     first = docs.groupBy("document_id").agg(
-        F.min_by(F.struct("filename", "content"), "path").alias("kept")
+        F.min_by(F.struct("filename", "content", "mime"), "path").alias("kept")
     ).select("document_id", "kept.*")
-    blocks = ingest.blocks_from_text(first)
+    # Parsed once; sections, tree and spans all read the blocks.
+    blocks = settle(ingest.parsed_blocks(first))
     sections = structure.section_text(blocks)
     tree = structure.section_tree(blocks).select(
         "document_id", "section_no", "section_id", F.col("title").alias("section_title"),

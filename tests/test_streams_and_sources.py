@@ -30,7 +30,7 @@ def test_files_are_described(spark, tmp_path):
 def test_ingest_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "chunks")
     write_files(source, {"a.txt": "Leave Rules\nWe give 22 days.\n\nMore text here.", "copy.txt": "Leave Rules\nWe give 22 days.\n\nMore text here.",
-                         "b.md": "intro words\nPAY SCALE\nten.", "c.pdf": b"not a pdf"})
+                         "b.md": "intro words\n# PAY SCALE\nten.", "c.pdf": b"not a pdf"})
     batch = jobs.ingest_batch(tables.read_files(spark, str(source)))
     columns = ["chunk_id", "content", "section_path", "page_number", "start"]
     want = sorted(map(tuple, batch.select(*columns).collect()))
