@@ -42,22 +42,35 @@ def gate_files(files: DataFrame, config: Config = DEFAULT, batch: str | None = N
     return files.withColumn("reject_reason", reason).drop("_files")
 
 
-def ingest_outcomes(files: DataFrame, config: Config = DEFAULT, path: str = "path") -> DataFrame:
-    """path, document_id, status and reason of every file.
+def ingest_outcomes(
+    files: DataFrame, config: Config = DEFAULT, path: str = "path", library: DataFrame | None = None
+) -> DataFrame:
+    """path, document_id, status, reason and failure_kind of every file.
 
-    accepted; duplicate (reason: the first path with the same content); rejected (reason: the gate); failed (no text).
+    accepted; duplicate (reason: the path stored first with the same content, in ``library`` or else in this batch);
+    rejected (reason: the gate); failed (no text, or the parser's ``parse_error`` where the files have that column).
+    ``library``(document_id, path) holds what earlier batches accepted; a path that it holds itself is not a duplicate.
     """
+    error = F.col("parse_error") if "parse_error" in files.columns else F.lit(None)
     gated = gate_files(files, config).select(
-        path, "reject_reason", F.coalesce(text.squash(F.col("content")), F.lit("")).alias("_text"))
-    usable = F.col("reject_reason").isNull() & (F.col("_text") != "")
-    marked = gated.select(path, "reject_reason", F.when(usable, F.sha2("_text", 256)).alias("document_id"))
+        path, "reject_reason", error.cast("string").alias("_error"),
+        F.coalesce(text.squash(F.col("content")), F.lit("")).alias("_text"))
+    usable = F.col("reject_reason").isNull() & F.col("_error").isNull() & (F.col("_text") != "")
+    marked = gated.select(path, "reject_reason", "_error", F.when(usable, F.sha2("_text", 256)).alias("document_id"))
     first = marked.where("document_id is not null").groupBy("document_id").agg(F.min(path).alias("_first"))
+    marked = marked.join(first, "document_id", "left")
+    if library is not None:
+        stored = library.groupBy("document_id").agg(F.min("path").alias("_stored"), F.collect_set("path").alias("_paths"))
+        marked = marked.join(stored, "document_id", "left").withColumn("_first", F.when(
+            F.array_contains("_paths", F.col(path)), F.col(path)).otherwise(F.coalesce("_stored", "_first")))
     known, again = F.col("document_id").isNotNull(), F.col(path) != F.col("_first")
-    return marked.join(first, "document_id", "left").select(
+    return marked.select(
         path, "document_id",
         F.when(F.col("reject_reason").isNotNull(), "rejected").when(~known, "failed")
         .when(again, "duplicate").otherwise("accepted").alias("status"),
-        F.coalesce("reject_reason", F.when(~known, "no_text").when(again, F.col("_first").cast("string"))).alias("reason"),
+        F.coalesce("reject_reason", F.when(~known, F.coalesce("_error", F.lit("no_text"))).when(again, F.col("_first").cast("string"))).alias("reason"),
+        F.when(F.col("reject_reason").isNull() & ~known, F.when(F.col("_error").isNull(), "parse").otherwise(
+            text.failure(F.lit(""), F.col("_error"))["kind"])).alias("failure_kind"),
     )
 
 

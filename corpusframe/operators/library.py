@@ -72,12 +72,21 @@ def library_totals(listing: DataFrame) -> DataFrame:
     )
 
 
+#: What a READY document without a summary says of itself.
+MISSING_SUMMARY = "no summary: the document can be searched, but not described"
+
+
 def fold_status(events: DataFrame) -> DataFrame:
     """Latest state per document from status events.
 
-    events(document_id, at, event_id, status[, failure_kind][, error_message]). Every PROCESSING
-    event is one attempt and clears the failure before it; the folds combine map-side.
+    events(document_id, at, event_id, status[, failure_kind][, error_message][, summary]). Every PROCESSING
+    event is one attempt and clears the failure before it; the folds combine map-side. A document that ends up
+    READY without any summary event carries a note instead of an error.
     """
+    for name in ("failure_kind", "error_message"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast("string"))
+    summary = F.col("summary") if "summary" in events.columns else F.lit("")
     order = F.struct("at", "event_id")
     started = F.col("status") == "PROCESSING"
     failed = F.col("status") == "FAILED"
@@ -87,12 +96,15 @@ def fold_status(events: DataFrame) -> DataFrame:
         F.max(F.when(started, F.col("at"))).alias("last_attempt_at"),
         F.max(F.when(started, order)).alias("_started"),
         F.max(F.when(failed, order)).alias("_failed"),
-        F.max_by("failure_kind", F.when(failed, order)).alias("_kind"),
+        F.max_by(F.struct("failure_kind", "error_message"), F.when(failed, order)).alias("_why"),
+        F.count(summary).alias("_summaries"),
     )
     standing = F.col("_failed").isNotNull() & (F.col("_started").isNull() | (F.col("_failed") > F.col("_started")))
     return folded.select(
         "document_id", "status", F.col("attempts").cast("bigint").alias("attempts"), "last_attempt_at",
-        F.when(standing, F.col("_kind")).alias("failure_kind"),
+        F.when(standing, F.col("_why.failure_kind")).alias("failure_kind"),
+        F.when(standing, F.col("_why.error_message")).when(
+            (F.col("status") == "READY") & (F.col("_summaries") == 0), MISSING_SUMMARY).alias("error_message"),
     )
 
 

@@ -200,7 +200,8 @@ def list_library(spark, d):
 
 define("status_events", """
 SELECT user_id AS document_id, ts AS moment, event_id, CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'click' THEN 'PROCESSING' WHEN 'error' THEN 'FAILED' ELSE 'READY' END AS status,
-  CASE WHEN event_type = 'error' THEN CASE WHEN value > 20 THEN 'provider' ELSE 'parse' END END AS failure_kind FROM events
+  CASE WHEN event_type = 'error' THEN CASE WHEN value > 20 THEN 'provider' ELSE 'parse' END END AS failure_kind,
+  CASE WHEN event_type = 'error' THEN 'error ' || props END AS error_message, CASE WHEN user_id % 3 > 0 AND event_type = 'view' THEN 'about ' || event_id END AS summary FROM events
 """)
 
 
@@ -209,13 +210,18 @@ def _status_events(spark, d):
     return read_table(spark, d, "events").select(
         F.col("user_id").alias("document_id"), F.col("ts").alias("at"), "event_id",
         F.when(kind == "signup", "UPLOADED").when(kind == "click", "PROCESSING").when(kind == "error", "FAILED").otherwise("READY").alias("status"),
-        F.when(kind == "error", F.when(F.col("value") > 20, "provider").otherwise("parse")).alias("failure_kind"))
+        F.when(kind == "error", F.when(F.col("value") > 20, "provider").otherwise("parse")).alias("failure_kind"),
+        F.when(kind == "error", F.concat(F.lit("error "), "props")).alias("error_message"),
+        F.when((F.col("user_id") % 3 > 0) & (kind == "view"), F.concat(F.lit("about "), "event_id")).alias("summary"))
 
 
 @query(f"""
 SELECT document_id, arg_max(status, (moment, event_id)) AS status, count(*) FILTER (status = 'PROCESSING') AS attempts, {_sql_at("max(moment) FILTER (status = 'PROCESSING')")} AS last_attempt_at,
   CASE WHEN max((moment, event_id)) FILTER (status = 'FAILED') > coalesce(max((moment, event_id)) FILTER (status = 'PROCESSING'), (TIMESTAMP '1970-01-01', CAST(0 AS BIGINT)))
-    THEN arg_max(failure_kind, (moment, event_id)) FILTER (status = 'FAILED') END AS failure_kind
+    THEN arg_max(failure_kind, (moment, event_id)) FILTER (status = 'FAILED') END AS failure_kind,
+  CASE WHEN max((moment, event_id)) FILTER (status = 'FAILED') > coalesce(max((moment, event_id)) FILTER (status = 'PROCESSING'), (TIMESTAMP '1970-01-01', CAST(0 AS BIGINT)))
+    THEN arg_max(error_message, (moment, event_id)) FILTER (status = 'FAILED')
+    WHEN arg_max(status, (moment, event_id)) = 'READY' AND count(summary) = 0 THEN '{library.MISSING_SUMMARY}' END AS error_message
 FROM status_events GROUP BY 1
 """, ("status_events",))
 def latest_status(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import fixed, text
 from corpusframe.operators import chunking, ingest, routing, structure
 from corpusframe.plans import model_tables as m
-from corpusframe.plans.model_sql import ASKED, TOK, sql_list
+from corpusframe.plans.model_sql import ASKED, TOK, define, sql_list
 from corpusframe.plans.registry import query
 from corpusframe.sources.tables import read_table
 
@@ -69,15 +69,38 @@ SQUASHED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 @query(f"""
 SELECT doc_id, CASE WHEN gate IS NULL AND body <> '' THEN sha256(body) END AS document_id,
   CASE WHEN gate IS NOT NULL THEN 'rejected' WHEN body = '' THEN 'failed' WHEN doc_id <> first THEN 'duplicate' ELSE 'accepted' END AS status,
-  CASE WHEN gate IS NOT NULL THEN gate WHEN body = '' THEN 'no_text' WHEN doc_id <> first THEN CAST(first AS VARCHAR) END AS reason
+  CASE WHEN gate IS NOT NULL THEN gate WHEN body = '' THEN 'no_text' WHEN doc_id <> first THEN CAST(first AS VARCHAR) END AS reason,
+  CASE WHEN gate IS NULL AND body = '' THEN 'parse' END AS failure_kind
 FROM (SELECT *, min(CASE WHEN gate IS NULL THEN doc_id END) OVER (PARTITION BY body) AS first
   FROM (SELECT doc_id, {GATES} AS gate, {SQUASHED.format('content')} AS body FROM library))
 """, ("library",))
 def ingest_outcomes(spark, d):
     """What becomes of every file: accepted, duplicate, rejected or without text."""
-    files = m.library(spark, d).select(
+    return ingest.ingest_outcomes(_uploads(spark, d), path="doc_id")
+
+
+def _uploads(spark, d):
+    return m.library(spark, d).select(
         "doc_id", "mime", F.col("size_bytes").alias("size"), F.col("content").cast("binary").alias("head"), "content")
-    return ingest.ingest_outcomes(files, path="doc_id")
+
+
+define("uploads", f"SELECT doc_id, doc_id % 5 = 0 AS before, {GATES} AS gate, {SQUASHED.format('content')} AS body FROM library", ("library",))
+
+
+@query("""
+SELECT f.doc_id, CASE WHEN f.gate IS NULL AND f.body <> '' THEN sha256(f.body) END AS document_id,
+  CASE WHEN f.gate IS NOT NULL THEN 'rejected' WHEN f.body = '' THEN 'failed' WHEN f.doc_id <> o.first THEN 'duplicate' ELSE 'accepted' END AS status,
+  CASE WHEN f.gate IS NOT NULL THEN f.gate WHEN f.body = '' THEN 'no_text' WHEN f.doc_id <> o.first THEN CAST(o.first AS VARCHAR) END AS reason,
+  CASE WHEN f.gate IS NULL AND f.body = '' THEN 'parse' END AS failure_kind
+FROM uploads f LEFT JOIN (SELECT body, coalesce(min(doc_id) FILTER (before), min(doc_id)) AS first FROM uploads WHERE gate IS NULL GROUP BY body) o ON o.body = f.body
+WHERE NOT f.before
+""", ("uploads",))
+def library_duplicates(spark, d):
+    """Uploads after every fifth file has been stored: contents of the library are duplicates of what it holds."""
+    files = _uploads(spark, d)
+    first = ingest.ingest_outcomes(files.where("doc_id % 5 = 0"), path="doc_id").where("status = 'accepted'")
+    return ingest.ingest_outcomes(
+        files.where("doc_id % 5 <> 0"), path="doc_id", library=first.select("document_id", F.col("doc_id").alias("path")))
 
 
 @query(f"SELECT doc_id, sha256(text) AS sha256, sha256({SQUASHED.format('text')}) AS content_sha256 FROM documents")

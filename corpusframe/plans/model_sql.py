@@ -118,7 +118,7 @@ FROM (
 )
 """, ("tree_blocks",))
 define("deep_blocks", """
-SELECT CAST(l_orderkey // 4 AS VARCHAR) AS document_id, l_orderkey * 10 + l_linenumber AS pos, 'part ' || l_partkey AS text,
+SELECT CAST(l_orderkey // 4 AS VARCHAR) AS document_id, l_orderkey * 100000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS pos, 'part ' || l_partkey AS text,
   CASE WHEN l_partkey % 41 > 0 THEN CAST(l_partkey % 41 AS INTEGER) END AS heading_level
 FROM lineitem
 """)

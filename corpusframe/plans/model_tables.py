@@ -168,7 +168,8 @@ def deep_blocks(spark: SparkSession, folder: str) -> DataFrame:
     level = F.col("l_partkey") % 41
     return read_table(spark, folder, "lineitem").select(
         F.floor(F.col("l_orderkey") / 4).cast("string").alias("document_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("part "), "l_partkey").alias("text"),
+        (F.col("l_orderkey") * 100_000_000_000 + F.col("l_linenumber").cast("bigint") * 1_000_000_000
+         + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"), F.concat(F.lit("part "), "l_partkey").alias("text"),
         F.when(level > 0, level).cast("int").alias("heading_level"), F.lit(None).cast("int").alias("page_number"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from corpusframe.session import settle
 from corpusframe.sources import tables
 
 
+OUTCOMES = "path string, document_id string, status string, reason string, failure_kind string"
+
+
 def ingest_batch(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Described files to chunks: gates, blocks, sections, chunks with pages. document_id = content hash."""
     accepted = ingest.gate_files(files, config).where("reject_reason is null and content is not null")
@@ -55,8 +59,13 @@ def stream_ingest(
 
     def write(batch: DataFrame, number: int) -> None:
         # Idempotent: chunks replace those of the same document, so a retried batch changes nothing.
-        tables.write_chunks(ingest_batch(batch, config), target)
-        ingest.ingest_outcomes(batch, config).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        described = settle(batch)
+        # What earlier batches of this and of other runs accepted is the library that a file can repeat.
+        earlier = _accepted(spark, outcomes or target + "_outcomes", f"{log}/batch={number}")
+        found = settle(ingest.ingest_outcomes(described, config, library=earlier))
+        accepted = found.where("status = 'accepted'").select("path")
+        tables.write_chunks(ingest_batch(described.join(accepted, "path", "left_semi"), config), target)
+        found.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return (
         tables.describe_files(raw).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -64,6 +73,18 @@ def stream_ingest(
     )
 
 
+def _accepted(spark: SparkSession, log: str, batch: str) -> DataFrame | None:
+    """document_id and path of all files accepted before, without those of the batch that is being written (again)."""
+    try:
+        rows = spark.read.option("recursiveFileLookup", "true").schema(OUTCOMES).parquet(log)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    own = F.col("_metadata.file_path").contains(batch.split("://")[-1] + "/")
+    return rows.where((F.col("status") == "accepted") & ~own).select("document_id", "path")
+
+
 def stream_latest_status(events: DataFrame) -> DataFrame:
     """Update-mode fold of status events; the same expressions as the batch fold."""
     return library.fold_status(events)

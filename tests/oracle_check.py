@@ -52,8 +52,9 @@ def differences(spark, con, run, sql, folder):
     if got[1] and kinds(got[1]) != kinds(want[1]):
         return f"types {kinds(got[1])} vs {kinds(want[1])}"
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        missing = [r for r in want[1] if r not in set(got[1])][:3]
+        have, wanted = set(got[1]), set(want[1])
+        extra = [r for r in got[1] if r not in wanted][:3]
+        missing = [r for r in want[1] if r not in have][:3]
         return f"rows {len(got[1])} vs {len(want[1])}; only spark {str(extra)[:900]}; only sql {str(missing)[:900]}"
     return None if got[1] else "no rows"
 

@@ -141,3 +141,13 @@ def test_numbering_and_halo_helpers(frame):
     halo = scale.with_halo(frame("n int", [(i,) for i in range(10)]), "n", 2, 5)
     assert sorted((r._block, r.n, r._halo) for r in halo.collect()) == sorted(
         [(i // 5, i, False) for i in range(10)] + [(1, 3, True), (1, 4, True), (2, 8, True), (2, 9, True)])
+
+
+def test_status_tells_why_and_notes_a_missing_summary(frame):
+    rows = [("a", START, 1, "PROCESSING", None, None, None), ("a", START, 2, "FAILED", "provider", "quota is used up", None),
+            ("b", START, 1, "FAILED", "parse", "bad file", None), ("b", START, 2, "PROCESSING", None, None, None),
+            ("c", START, 1, "READY", None, None, None), ("d", START, 1, "READY", None, None, "about d")]
+    df = frame(STATUS + ", error_message string, summary string", rows)
+    got = {r.document_id: (r.status, r.failure_kind, r.error_message) for r in library.fold_status(df).collect()}
+    assert got == {"a": ("FAILED", "provider", "quota is used up"), "b": ("PROCESSING", None, None),
+                   "c": ("READY", None, library.MISSING_SUMMARY), "d": ("READY", None, None)}
