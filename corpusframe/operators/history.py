@@ -19,9 +19,8 @@ HALO_BLOCK = 10_000
 
 def assign_turns(runs: DataFrame) -> DataFrame:
     """turn_index: the number of earlier runs in the same chat."""
-    return numbered(
-        runs, ["chat_id"], [F.asc("created_at"), F.asc("run_id")], F.date_trunc("hour", "created_at"), "_n"
-    ).withColumn("turn_index", (F.col("_n") - 1).cast("bigint")).drop("_n")
+    return numbered(runs, ["chat_id"], ["created_at", "run_id"], "_n").withColumn(
+        "turn_index", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
 
 def chats_from_runs(runs: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def reuse_exact(questions: DataFrame, cache: DataFrame) -> DataFrame:
         F.lit(None).cast(cache.select(stored.alias("s")).schema["s"].dataType).alias("stored"), "question_id",
     ))
     seen = carried_forward(
-        moments, ["entry"], ["at", "side"], F.date_trunc("hour", "at"), F.col("stored"), "answer"
+        moments.where("entry is not null"), ["entry"], ["at", "side", "question_id"], F.col("stored"), "answer"
     )
     return seen.where("side = 1 and answer is not null").where(
         alive(F.col("answer.stored_at"), F.col("answer.ttl_seconds"), F.col("at"))
@@ -69,7 +69,7 @@ def living_candidates(questions: DataFrame, cache: DataFrame, config: Config = D
     a moment meets one span a level, never all versions of its scope.
     """
     once = top_k(cache, ["scope", "entry", "stored_at"], [F.asc("question")], 1, "_version").drop("_version")
-    versions = numbered(once, ["scope", "entry"], [F.asc("stored_at")], F.date_trunc("hour", "stored_at"), "_n")
+    versions = numbered(once, ["scope", "entry"], ["stored_at"], "_n")
     following = versions.select("scope", "entry", (F.col("_n") - 1).alias("_n"), F.col("stored_at").alias("_replaced_at"))
     expires = F.col("stored_at") + F.make_dt_interval(secs=F.col("ttl_seconds"))
     lives = versions.join(following, ["scope", "entry", "_n"], "left").where(expires.isNotNull()).select(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusframe.session import settle
+
 
 # Above this many shuffle partitions, a top-k is merged in two steps of this width.
 WIDE_PARTITIONS = 1000
@@ -28,28 +32,39 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str
-) -> DataFrame:
-    """row_number per key for keys of any size.
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows cut into ranges of ``order`` of about equal size: _range names one, _place counts inside it from 0.
 
-    ``bucket`` must be monotone in the order (a day of the order timestamp, a range of
-    ids). Rows are numbered inside (key, bucket) and shifted by the count of earlier
-    buckets, which are pre-aggregated, so no task ever holds a whole key.
+    However many rows a key has, they lie in as many ranges as they fill; only rows equal in all of ``order`` stay
+    together. Settled, as counts per range and rows must come from the same cut.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_bucket", "_inside", "_before")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # A range's number and the place in it, given out as the rows leave their sort.
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    return settle(placed.withColumn("_range", F.shiftright("_at", 33).cast("int")).withColumn(
+        "_place", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"))
+
+
+def _beside(rows: DataFrame, per_range: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what their key has in their range; null keys meet too."""
+    names = [*keys, "_range"]
+    other = per_range.withColumnsRenamed({n: f"_of_{i}" for i, n in enumerate(names)})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{i}")) for i, n in enumerate(names)])
+    return rows.join(other, same)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """row_number per key for keys of any size; a null key is a key.
+
+    Rows lie in ranges of (keys, order). A row's number is its place in the range, less that of the key's first row
+    there, plus the key's rows in earlier ranges; only counts per key and range meet in one task.
+    """
+    ranged = in_ranges(df, [F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*keys, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return _beside(ranged, shift, keys).select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def with_halo(df: DataFrame, number: str, width: int, block: int) -> DataFrame:
@@ -69,28 +84,20 @@ def with_halo(df: DataFrame, number: str, width: int, block: int) -> DataFrame:
     )
 
 
-def carried_forward(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str
-) -> DataFrame:
-    """Last non-null value at or before each row, for keys of any size (an as-of join).
+def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Last non-null value at or before each row, for keys of any size (an as-of join); a null key is a key.
 
-    Inside (key, bucket) a window carries the value; across buckets each bucket's last
-    value, combined map-side, is carried instead. ``bucket`` must be monotone in the order.
+    Inside a key's rows of one range a window carries the value; over ranges the last value of each is carried. What
+    ``order`` ends with should tell rows of one moment apart, so that many of them can lie in several ranges.
     """
-    df = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    present = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    ends = df.groupBy(*keys, "_bucket").agg(F.max_by("_value", present).alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    brought = ends.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_brought"))
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        df.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
-        .join(brought, [*keys, "_bucket"])
-        .withColumn(name, F.coalesce("_inside", "_brought"))
-        .drop("_bucket", "_value", "_inside", "_brought")
-    )
+    ranged = in_ranges(df.withColumn("_value", value), [F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    present = F.when(F.col("_value").isNotNull(), F.col("_place"))
+    ends = ranged.groupBy(*keys, "_range").agg(F.max_by("_value", present).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.select(*keys, "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_brought"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    carried = ranged.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+    return _beside(carried, brought, keys).select(*df.columns, F.coalesce("_inside", "_brought").alias(name))
 
 
 # A key above this share of the rows is split; at most that many keys can be.

@@ -136,7 +136,7 @@ def test_top_k_in_two_steps(frame, monkeypatch):
 def test_numbering_and_halo_helpers(frame):
     rows = [(i % 2, i) for i in range(100)]
     df = frame("k int, v int", rows)
-    got = scale.numbered(df, ["k"], [F.asc("v")], F.floor(F.col("v") / 7), "n")
+    got = scale.numbered(df, ["k"], ["v"], "n")
     assert all(r.n == r.v // 2 + 1 for r in got.collect())
     halo = scale.with_halo(frame("n int", [(i,) for i in range(10)]), "n", 2, 5)
     assert sorted((r._block, r.n, r._halo) for r in halo.collect()) == sorted(
@@ -151,3 +151,21 @@ def test_status_tells_why_and_notes_a_missing_summary(frame):
     got = {r.document_id: (r.status, r.failure_kind, r.error_message) for r in library.fold_status(df).collect()}
     assert got == {"a": ("FAILED", "provider", "quota is used up"), "b": ("PROCESSING", None, None),
                    "c": ("READY", None, library.MISSING_SUMMARY), "d": ("READY", None, None)}
+
+
+def test_one_key_with_one_stamp_lies_in_many_ranges(spark):
+    """A bulk import: all rows have one key and one time, and only their ids tell them apart."""
+    df = spark.range(20_000).select(F.lit("chat").alias("k"), F.lit(START).alias("at"), F.col("id"))
+    ranged = scale.in_ranges(df, [F.col("k"), F.col("at"), F.col("id")])
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3 * 20_000 / len(sizes)
+    got = scale.numbered(df, ["k"], ["at", "id"], "n")
+    assert got.where("n <> id + 1").count() == 0
+    carried = scale.carried_forward(df, ["k"], ["at", "id"], F.when(F.col("id") % 7000 == 5, F.col("id")), "last")
+    assert carried.where("not (last <=> if(id < 5, null, int((id - 5) / 7000) * 7000 + 5))").count() == 0
+
+
+def test_a_null_key_is_a_key(frame):
+    df = frame("k string, v int", [(None, 3), ("a", 1), (None, 1), ("a", 2), (None, 2)])
+    assert sorted((str(r.k), r.v, r.n) for r in scale.numbered(df, ["k"], ["v"], "n").collect()) == [
+        ("None", 1, 1), ("None", 2, 2), ("None", 3, 3), ("a", 1, 1), ("a", 2, 2)]
