@@ -4,8 +4,8 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from corpusframe.operators import library
-from corpusframe.streaming import status
+from corpusframe.operators import library, reuse
+from corpusframe.streaming import answers, status
 from test_history import START
 
 SHAPE = "document_id string, at timestamp, event_id bigint, status string, failure_kind string, error_message string, summary string"
@@ -61,3 +61,25 @@ def test_an_attempt_that_never_ends(rocks, frame, tmp_path):
                  patience=timedelta(hours=1), late="1 minute")
     assert out["a"][1:3] == ("FAILED", 1) and out["a"][4:] == status.STUCK
     assert out["b"][1] == "READY" and out["b"][4:] == (None, None)
+
+
+def test_newest_answers_equal_the_batch_form(rocks, frame, tmp_path):
+    rng = random.Random(9)
+    minutes = lambda n: START + timedelta(minutes=n)
+    stored = [(f"e{rng.randrange(4)}", minutes(i * 3 + rng.randrange(2)), rng.choice([60, 600, 7200]), f"q{i}") for i in range(50)]
+    asked = [(f"{i}", f"e{rng.randrange(5)}", minutes(rng.randrange(180)) + timedelta(seconds=30)) for i in range(80)]
+    shapes = {"a": "entry string, stored_at timestamp, ttl_seconds bigint, question string", "q": "question_id string, entry string, asked_at timestamp"}
+    # Each batch holds an hour of both streams, out of order inside it; the last one only moves the watermark.
+    for hour in range(4):
+        within = lambda at: minutes(60 * hour) <= at < minutes(60 * hour + 60)
+        for name, rows, at in (("a", stored, 1), ("q", asked, 2)):
+            some = [r for r in rows if within(r[at])] + ([("end", "e0", minutes(10_000))] if name == "q" and hour == 3 else [])
+            rng.shuffle(some)
+            frame(shapes[name], some).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = {n: rocks.readStream.schema(shapes[n]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in shapes}
+    got = []
+    query = answers.stream_newest(streams["q"], streams["a"], "1 hour").writeStream.outputMode("append").foreachBatch(
+        lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = reuse.reuse_exact(frame(shapes["q"], asked), frame(shapes["a"], stored)).collect()
+    assert sorted(got) == sorted((r.question_id, r.entry, r.stored_at, r.cached_question) for r in want) != []
