@@ -1,15 +1,19 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-Every vector is rotated and stored as the signs of its coordinates (packed bits), its length, and how far its signs'
-direction is from its own. From these and a rotated query, an inner product is estimated with an error bound that
-holds with high probability; only vectors whose upper bound reaches the k-th best lower bound are compared exactly.
-
-Queries come in blocks of bounded size, and so does what they are compared with; each pair of blocks is one unit of
-work and hands on k rows per query.
+Every vector is padded with zeros, rotated, and stored as the signs of its coordinates (packed bits, four per component),
+its length, and how far its signs' direction is from its own. From these and a rotated query, an inner product is
+estimated with an error bound that holds with high probability; the longer the code, the narrower the bound. The
+candidates with the best estimates are scored exactly, the k-th best of them is a floor under the answer, and only vectors
+whose upper bound reaches that floor are scored as well.
+
+Queries come in blocks of bounded bytes, and so does what they are compared with; each pair of blocks is one unit of
+work and hands on k rows per query. So codes of all vectors meet all queries: what the codes save is the exact work.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,16 +22,21 @@ from pyspark.sql import functions as F
 from corpusframe.llm.common import settle
 
 K = 20
-#: Rows of one block of queries and of one block of indexed vectors.
-QUERY_BLOCK, INDEX_BLOCK = 512, 8_192
-#: Standard deviations of the estimate's error that a bound allows for.
-SIGMAS = 3.0
+#: Bytes of the vectors of one block of queries and of one block of indexed vectors.
+QUERY_BYTES, INDEX_BYTES = 1 << 18, 1 << 22
+#: Bits of a code per component of a vector.
+BITS = 4
+#: Standard deviations of the estimate's error that a bound allows for: a vector at the floor is missed once in 40 times.
+SIGMAS = 2.0
+#: Candidates scored for the floor, in multiples of k.
+FIRST = 3
 SEED = 6
 
 
+@lru_cache(maxsize=4)
 def rotation(width: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix; the same for every task."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, width)))
+    """(BITS * width, width): what a random rotation does to a vector padded with zeros; the same for every task."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(BITS * width, width)))
     return q * np.sign(np.diag(r))
 
 
@@ -35,41 +44,54 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs of the rotated vectors, the vectors' lengths, and the cosines between vectors and their signs."""
     turned = vectors @ rotation(vectors.shape[1]).T
     lengths = np.linalg.norm(vectors, axis=1)
-    cosines = np.abs(turned).sum(1) / (np.sqrt(vectors.shape[1]) * np.maximum(lengths, 1e-300))
+    cosines = np.abs(turned).sum(1) / (np.sqrt(turned.shape[1]) * np.maximum(lengths, 1e-300))
     return np.packbits(turned > 0, axis=1), lengths, cosines
 
 
-def estimate(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(queries x vectors) estimated inner products and their error bounds."""
-    width = queries.shape[1]
-    turned = queries @ rotation(width).T
-    signs = np.unpackbits(codes, axis=1, count=width).astype(np.float32) * 2 - 1
-    raw = turned.astype(np.float32) @ signs.T
-    scale = lengths / (np.sqrt(width) * np.maximum(cosines, 1e-12))
-    spread = np.sqrt(np.maximum(1 - cosines**2, 0)) / np.maximum(cosines, 1e-12) / np.sqrt(max(width - 1, 1))
-    bound = SIGMAS * np.linalg.norm(queries, axis=1)[:, None] * (lengths * spread)[None, :] + 1e-5 * np.linalg.norm(queries, axis=1)[:, None] * lengths[None, :]
-    return raw * scale[None, :], bound
+def estimate(queries: np.ndarray, signs: np.ndarray, lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries x vectors) estimated inner products, and the error bound of each for a query of length one."""
+    bits = signs.shape[1]
+    raw = (queries @ rotation(queries.shape[1]).T).astype(np.float32) @ signs.T
+    cosines = np.maximum(cosines, 1e-12)
+    spread = np.sqrt(np.maximum(1 - cosines**2, 0)) / cosines / np.sqrt(max(bits - 1, 1))
+    scale = (lengths / (np.sqrt(bits) * cosines)).astype(np.float32)
+    return raw * scale, (lengths * (SIGMAS * spread + 1e-5)).astype(np.float32)
+
+
+def exactly(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), 1 << 14):
+        part = slice(start, start + (1 << 14))
+        out[part] = (queries[rows[part]] * vectors[columns[part]]).sum(1)
+    return out
 
 
 def search_block(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, code: tuple, k: int = K):
-    """(query row, id, exact inner product) of each query's k best in one block; ``own``: ids that a query skips."""
+    """(query row, id, exact inner product) of each query's k best in one block; ``own``: ids that a query skips.
+
+    ``code``: signs as numbers, lengths, cosines. Also returns how many pairs were scored exactly.
+    """
     near, bound = estimate(queries, *code)
     near[own[:, None] == ids[None, :]] = -np.inf
-    take = min(k, len(ids))
-    lower = near - bound
-    least = np.partition(lower, len(ids) - take, axis=1)[:, len(ids) - take]
-    rows, columns = np.nonzero(near + bound >= least[:, None])
-    keep = np.isfinite(near[rows, columns])
-    rows, columns = rows[keep], columns[keep]
-    exact = np.empty(len(rows))
-    for start in range(0, len(rows), 1 << 16):
-        part = slice(start, start + (1 << 16))
-        exact[part] = (queries[rows[part]] * vectors[columns[part]]).sum(1)
+    reach = np.linalg.norm(queries, axis=1).astype(np.float32)
+    take = min(FIRST * k, len(ids))
+    first = np.argpartition(near, len(ids) - take, axis=1)[:, len(ids) - take :]
+    rows = np.repeat(np.arange(len(queries)), take)
+    exact = exactly(queries, vectors, rows, first.ravel()).reshape(len(queries), take)
+    exact[np.isneginf(np.take_along_axis(near, first, 1))] = -np.inf
+    # The k-th best of what is scored already: nothing below it can be among the k best.
+    floor = np.partition(exact, take - k, axis=1)[:, take - k] if take >= k else np.full(len(queries), -np.inf)
+    upper = near + reach[:, None] * bound[None, :]
+    np.put_along_axis(upper, first, -np.inf, 1)
+    more_rows, more = np.nonzero((upper >= floor[:, None]) & (upper > -np.inf))
+    rows, columns = np.concatenate([rows, more_rows]), np.concatenate([first.ravel(), more])
+    exact = np.concatenate([exact.ravel(), exactly(queries, vectors, more_rows, more)])
+    scored, keep = len(rows), exact > -np.inf
+    rows, columns, exact = rows[keep], columns[keep], exact[keep]
     order = np.lexsort((ids[columns], -exact, rows))
     rows, columns, exact = rows[order], columns[order], exact[order]
-    first = np.searchsorted(rows, rows, "left")
-    best = np.arange(len(rows)) - first < k
-    return rows[best], ids[columns[best]], exact[best]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+    return rows[best], ids[columns[best]], exact[best], scored
 
 
 def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -81,7 +103,7 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, columns: str):
-    """One row per ``size`` rows and width: block string, width, ids, vectors as bytes (and the code, for an index)."""
+    """One row per ``size`` bytes of vectors of one width: width, ids, vectors as bytes (and the code, for an index)."""
 
     def work(batches):
         held: dict = {}
@@ -103,7 +125,7 @@ def _blocks(rows: DataFrame, size: int, columns: str):
                 ids, parts = held.setdefault(len(vector), ([], []))
                 ids.append(vec_id)
                 parts.append(vector.copy())
-                if len(ids) == size:
+                if len(ids) * 8 * len(vector) >= size:
                     yield row(len(vector))
         for width in list(held):
             yield row(width)
@@ -122,24 +144,27 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, id_column: st
     index = usable(vectors, id_column, vector_column).distinct()
     index = index.withColumn("copy", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("copy") <= k + 1).select("vec_id", "vector")
     asked = usable(queries, id_column, vector_column).distinct()
-    stored = settle(_blocks(index, INDEX_BLOCK, "width int, ids binary, vectors binary, codes binary, lengths binary, cosines binary"))
+    stored = settle(_blocks(index, INDEX_BYTES, "width int, ids binary, vectors binary, codes binary, lengths binary, cosines binary"))
     # Block numbers, not vectors, meet first: one row per block on either side.
     parts = stored.rdd.getNumPartitions()
     numbered = stored.withColumn("part", F.spark_partition_id())
-    blocks = _blocks(asked, QUERY_BLOCK, "width int, ids binary, vectors binary").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+    blocks = _blocks(asked, QUERY_BYTES, "width int, ids binary, vectors binary").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
     meeting = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1)))).join(numbered, ["part", "width"])
 
     def work(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names if name != "part"}
                 width = row["width"]
                 q = np.frombuffer(row["query_vectors"]).reshape(-1, width)
                 q_ids = np.frombuffer(row["query_ids"], np.int64)
                 v = np.frombuffer(row["vectors"]).reshape(-1, width)
                 ids = np.frombuffer(row["ids"], np.int64)
-                code = (np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["lengths"]), np.frombuffer(row["cosines"]))
+                packed = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+                signs = np.unpackbits(packed, axis=1, count=BITS * width).astype(np.float32) * 2 - 1
+                code = (signs, np.frombuffer(row["lengths"]), np.frombuffer(row["cosines"]))
                 for start in range(0, len(q), 128):
-                    rows, found, score = search_block(q[start : start + 128], q_ids[start : start + 128], v, ids, code, k)
+                    rows, found, score, _ = search_block(q[start : start + 128], q_ids[start : start + 128], v, ids, code, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[start + rows]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = meeting.mapInArrow(work, "query_id long, vec_id long, score double")

@@ -37,3 +37,24 @@ def test_strange_rows(spark):
     assert ann.neighbours(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id < 3")
     assert ann.neighbours(few, few).count() == 6
+
+
+def test_codes_spare_exact_work(spark):
+    """Recall and the share of pairs scored exactly, in blocks of two sizes of the given vectors and their jittered copies."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    base = np.array([r[1] for r in ann.usable(table, "vec_id", "embedding").orderBy("vec_id").collect()])
+    rng = np.random.default_rng(1)
+    for copies in (1, 4):
+        vectors = np.concatenate([base + rng.normal(scale=0.1, size=base.shape) * (i > 0) for i in range(copies)])
+        ids, queries = np.arange(len(vectors)), vectors[::20]
+        packed, lengths, cosines = ann.encode(vectors)
+        signs = np.unpackbits(packed, axis=1, count=ann.BITS * base.shape[1]).astype(np.float32) * 2 - 1
+        rows, found, _, scored = ann.search_block(queries, ids[::20], vectors, ids, (signs, lengths, cosines))
+        products = queries @ vectors.T
+        products[np.arange(len(queries)), ids[::20]] = -np.inf
+        want = np.argsort(-products, axis=1)[:, : ann.K]
+        hit = sum(len(set(found[rows == i]) & set(want[i])) for i in range(len(queries)))
+        share = scored / products.size
+        print(f"{len(vectors)} vectors: recall {hit / want.size:.3f}, scored exactly {share:.3f}")
+        assert hit >= 0.9 * want.size
+        assert share < 0.15
