@@ -89,3 +89,21 @@ def conflict_notes(conflicts: DataFrame, scope: list[str]) -> DataFrame:
             F.array_join(F.slice(spoken, 2, F.size(spoken) - 1), "; "), F.lit("."),
         ).alias("note"),
     )
+
+
+def context_notes(conflicts: DataFrame, scope: list[str]) -> DataFrame:
+    """What goes above the sources: one note per question that has conflicts, in the order its sources raise them.
+
+    A scope without conflicts has no row. ``scope`` names at least one column: a note over all rows at once would
+    gather them.
+    """
+    if not scope:
+        raise ValueError("context_notes needs a scope, such as question_id")
+    raised = conflicts.groupBy(*scope, "key").agg(F.min("place").alias("_raised"))
+    lines = conflict_notes(conflicts, scope).join(
+        raised.withColumn("subject", F.array_join("key", " ")).drop("key"), [*scope, "subject"])
+    ordered = F.array_sort(F.collect_list(F.struct("_raised", "subject", F.concat(F.lit("- "), "note").alias("line"))))
+    return lines.groupBy(*scope).agg(ordered.alias("_lines")).select(
+        *scope, F.size("_lines").alias("conflicts"),
+        F.concat(F.lit(fixed.CONFLICT_LEAD + "\n"), F.array_join(F.transform("_lines", lambda r: r.line), "\n")).alias("note"),
+    )

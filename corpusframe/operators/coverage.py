@@ -60,40 +60,42 @@ def first_wins(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(order)).drop("_place")
 
 
-def coverage_search(
-    questions: DataFrame, chunks: DataFrame, retrievers=("semantic", "keyword"), docs: DataFrame | None = None,
-    index: keyword.KeywordIndex | None = None, budget: int | None = None, config: Config = DEFAULT,
-) -> DataFrame:
-    """Best chunks of each matching document per question, within the budget.
+COLUMNS = ["question_id", "chunk_id", "document_id", "score", "rank"]
 
-    Keyword retrieval runs on the topic terms; where it finds anything, it decides which
-    documents qualify. Adds documents_matched, documents_covered, documents_excluded and
-    documents_dropped.
-    """
+
+def candidate_lists(
+    questions: DataFrame, chunks: DataFrame, retrievers, docs: DataFrame | None = None,
+    index: keyword.KeywordIndex | None = None, config: Config = DEFAULT,
+) -> dict[str, DataFrame]:
+    """The wide list of each retriever; keyword retrieval runs on the topic terms."""
     wide = config.coverage_documents * config.chunks_per_document * 4
-    topical = questions.withColumn("_topic", F.array_join(text.topic_terms(F.col("question")), " "))
-    topical = topical.withColumn(
-        "_topic", F.when(F.col("_topic") != "", F.col("_topic")).otherwise(F.col("question"))
-    )
-    columns = ["question_id", "chunk_id", "document_id", "score", "rank"]
-    empty = chunks.sparkSession.createDataFrame(
-        [], f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id string, "
-            "document_id string, score double, rank int")
-    dense = sparse = empty
+    lists = {}
     if "semantic" in retrievers:
-        dense = vector.semantic_search(questions, chunks, wide, config).select(*columns)
+        lists["semantic"] = vector.semantic_search(questions, chunks, wide, config).select(*COLUMNS)
     if "hierarchical" in retrievers:
-        tree = hierarchy.hierarchical_search(questions, docs, chunks, wide, config).select(*columns)
-        sizes = dense.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
-        after = tree.join(sizes, "question_id", "left").withColumn(
-            "rank", F.col("rank") + F.coalesce("_n", F.lit(0)).cast("int")
-        )
-        dense = dense.unionByName(after.select(*columns))
+        lists["hierarchical"] = hierarchy.hierarchical_search(questions, docs, chunks, wide, config).select(*COLUMNS)
     if "keyword" in retrievers:
-        sparse = keyword.keyword_search(
+        topical = questions.withColumn("_topic", F.array_join(text.topic_terms(F.col("question")), " "))
+        topical = topical.withColumn(
+            "_topic", F.when(F.col("_topic") != "", F.col("_topic")).otherwise(F.col("question"))
+        )
+        lists["keyword"] = keyword.keyword_search(
             topical, index or keyword.build_index(chunks, config), wide, config, question="_topic"
-        ).select(*columns)
-    merged = first_wins(dense, sparse)
+        ).select(*COLUMNS)
+    return lists
+
+
+def cover(lists: dict[str, DataFrame], budget: int | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Spread the budget over the documents that the lists of ``candidate_lists`` qualify."""
+    dense, sparse = lists.get("semantic"), lists.get("keyword")
+    none = next(iter(lists.values())).limit(0)
+    if "hierarchical" in lists:
+        sizes = (none if dense is None else dense).groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
+        after = lists["hierarchical"].join(sizes, "question_id", "left").withColumn(
+            "rank", F.col("rank") + F.coalesce("_n", F.lit(0)).cast("int")
+        ).select(*COLUMNS)
+        dense = after if dense is None else dense.unionByName(after)
+    merged = first_wins(none if dense is None else dense, none if sparse is None else sparse)
     mine = Window.partitionBy("question_id")
     same_document = Window.partitionBy("question_id", "document_id")
     named = (F.max(F.col("keyword_rank").isNotNull()).over(same_document))
@@ -112,6 +114,19 @@ def coverage_search(
     )
 
 
+def coverage_search(
+    questions: DataFrame, chunks: DataFrame, retrievers=("semantic", "keyword"), docs: DataFrame | None = None,
+    index: keyword.KeywordIndex | None = None, budget: int | None = None, config: Config = DEFAULT,
+) -> DataFrame:
+    """Best chunks of each matching document per question, within the budget.
+
+    Keyword retrieval runs on the topic terms; where it finds anything, it decides which
+    documents qualify. Adds documents_matched, documents_covered, documents_excluded and
+    documents_dropped.
+    """
+    return cover(candidate_lists(questions, chunks, retrievers, docs, index, config), budget, config)
+
+
 def grouped_context(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Sources under their document: hits(question_id, number, filename, content)."""
     line = F.concat(F.lit("["), F.col("number"), F.lit("] "), text.excerpt(F.col("content"), config.excerpt_characters))

@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
-from corpusframe.functions import fixed
-from corpusframe.operators import hierarchy, keyword, vector
+from corpusframe.functions import fixed, text
+from corpusframe.operators import coverage, hierarchy, keyword, vector
 from corpusframe.operators.scale import top_k
+from corpusframe.session import settle
 
 LIST = ["question_id", "chunk_id", "document_id", "score", "rank"]
+#: The order in which lists are combined, and what coverage counts.
+COMBINED = ["semantic", "hierarchical", "keyword"]
+COUNTS = ["documents_matched", "documents_covered", "documents_dropped"]
 
 
 def rrf_fuse(
@@ -122,6 +126,22 @@ def combine(semantic: DataFrame | None, hierarchical: DataFrame | None, sparse:
     return rerank(fused, top, config).unionByName(single)
 
 
+def ranked_lists(
+    questions: DataFrame, chunks: DataFrame, names: list[str], wide: int, docs: DataFrame | None = None,
+    index: keyword.KeywordIndex | None = None, config: Config = DEFAULT,
+) -> dict[str, DataFrame]:
+    """Each retriever's own list, ``wide`` rows per question."""
+    lists = {}
+    if "semantic" in names:
+        lists["semantic"] = vector.semantic_search(questions, chunks, wide, config).select(*LIST)
+    if "hierarchical" in names:
+        lists["hierarchical"] = hierarchy.hierarchical_search(questions, docs, chunks, wide, config).select(*LIST)
+    if "keyword" in names:
+        index = index or keyword.build_index(chunks, config)
+        lists["keyword"] = keyword.keyword_search(questions, index, wide, config).select(*LIST)
+    return lists
+
+
 def retrieve(
     questions: DataFrame, chunks: DataFrame, retrievers, docs: DataFrame | None = None,
     index: keyword.KeywordIndex | None = None, top: int | None = None, config: Config = DEFAULT,
@@ -130,14 +150,49 @@ def retrieve(
     top = top or config.top_k
     names = ordered_retrievers(retrievers)
     wide = candidates_for(names, top)
-    semantic = vector.semantic_search(questions, chunks, wide, config) if "semantic" in names else None
-    sparse = None
+    lists = ranked_lists(questions, chunks, names, wide, docs, index, config)
+    return combine(*[lists.get(n) for n in COMBINED], wide, top, config)
+
+
+def routed_search(
+    questions: DataFrame, chunks: DataFrame, retrievers, docs: DataFrame | None = None,
+    index: keyword.KeywordIndex | None = None, top: int | None = None, config: Config = DEFAULT,
+) -> DataFrame:
+    """A composition over a mixed batch: questions about the library as a whole are answered by coverage.
+
+    Every question takes one way, told in ``route`` (ranked or coverage), whichever retrievers were
+    chosen; ``top`` is the budget of chunks on both. A null question is ranked. documents_matched,
+    documents_covered and documents_dropped are null on the ranked way.
+    """
+    return _routed(questions, chunks, [ordered_retrievers(retrievers)], docs, index, top, config).drop("composition")
+
+
+def _routed(questions, chunks, arms, docs, index, top, config, keep=lambda df: df) -> DataFrame:
+    """Every arm over both ways; each retriever's list is made once, as wide as the widest arm needs, and cut per arm."""
+    top = top or config.top_k
+    names = [n for n in fixed.RETRIEVERS if any(n in arm for arm in arms)]
     if "keyword" in names:
-        sparse = keyword.keyword_search(questions, index or keyword.build_index(chunks, config), wide, config)
-    tree = None
-    if "hierarchical" in names:
-        tree = hierarchy.hierarchical_search(questions, docs, chunks, wide, config)
-    return combine(semantic, tree, sparse, wide, top, config)
+        index = index or keyword.build_index(chunks, config)
+    wide_scope = F.coalesce(text.is_library_wide(F.col("question")), F.lit(False))
+    broad, narrow = questions.where(wide_scope), questions.where(~wide_scope)
+    widest = max(candidates_for(arm, top) for arm in arms)
+    ranked = {n: keep(df) for n, df in ranked_lists(narrow, chunks, names, widest, docs, index, config).items()}
+    spread = {n: keep(df) for n, df in coverage.candidate_lists(broad, chunks, names, docs, index, config).items()}
+    parts = []
+    for arm in arms:
+        label, wide = F.lit("+".join(arm)).alias("composition"), candidates_for(arm, top)
+        own = [ranked[n].where(F.col("rank") <= wide) if n in arm else None for n in COMBINED]
+        parts.append(combine(*own, wide, top, config).select(
+            label, F.lit("ranked").alias("route"), *LIST, "fused_score", "sources", "semantic_rank", "keyword_rank",
+            *[F.lit(None).cast("long").alias(c) for c in COUNTS]))
+        found = coverage.cover({n: spread[n] for n in arm}, top, config)
+        dense = F.when(F.col("semantic_rank").isNotNull(), "semantic" if "semantic" in arm else "hierarchical")
+        parts.append(found.select(
+            label, F.lit("coverage").alias("route"), "question_id", "chunk_id", "document_id", "score",
+            F.col("number").alias("rank"), F.lit(None).cast("double").alias("fused_score"),
+            F.array_compact(F.array(dense, F.when(F.col("keyword_rank").isNotNull(), "keyword"))).alias("sources"),
+            "semantic_rank", "keyword_rank", *[F.col(c).cast("long").alias(c) for c in COUNTS]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_view(
@@ -181,30 +236,41 @@ def compare(
     questions: DataFrame, chunks: DataFrame, compositions: list, docs: DataFrame | None = None,
     top: int | None = None, config: Config = DEFAULT,
 ) -> DataFrame:
-    """The same questions through two to six compositions, keyed by composition id."""
+    """The same questions through two to six compositions, keyed by composition id.
+
+    A question about the library as a whole is answered by coverage in every arm (see ``routed_search``).
+    """
     if not 2 <= len(compositions) <= 6:
         raise ValueError("compare takes two to six compositions")
-    index = keyword.build_index(chunks, config)
-    parts = [
-        retrieve(questions, chunks, names, docs, index, top, config).withColumn(
-            "composition", F.lit("+".join(ordered_retrievers(names)))
-        )
-        for names in compositions
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    arms = [ordered_retrievers(names) for names in compositions]
+    return _routed(questions, chunks, arms, docs, None, top, config, settle)
 
 
 def composition_metrics(runs: DataFrame) -> DataFrame:
     """Per question and composition: answered, citations, chunks, files cited, latency; fastest answered.
 
-    runs(question_id, composition, answered, latency_ms, cited_files, chunk_count, citation_count).
+    runs(question_id, composition, answered, latency_ms, cited_files, chunk_count, citation_count
+    [, documents_covered, documents_matched]). The last two are null on runs that ranked chunks; where
+    they are given, the run that covered most tells documents_covered, documents_matched (never below
+    what was covered) and ``covered`` as it is shown: "3 of 7", or "3" where nothing was left out.
     """
-    per_run = runs.groupBy("question_id", "composition").agg(
-        F.max("answered").alias("answered"), F.sum("citation_count").alias("citations"),
-        F.sum("chunk_count").alias("chunks"),
-        F.min("latency_ms").alias("latency_ms"),
-    )
     keys = ["question_id", "composition"]
+    measures = [
+        F.max("answered").alias("answered"), F.sum("citation_count").alias("citations"),
+        F.sum("chunk_count").alias("chunks"), F.min("latency_ms").alias("latency_ms"),
+    ]
+    counted = {"documents_covered", "documents_matched"} <= set(runs.columns)
+    if counted:
+        spread = F.when(F.col("documents_covered").isNotNull(), F.struct(
+            F.col("documents_covered").alias("covered"),
+            F.greatest("documents_matched", "documents_covered").alias("matched")))
+        measures.append(F.max(spread).alias("_spread"))
+    per_run = runs.groupBy(*keys).agg(*measures)
+    if counted:
+        few, all_of = F.col("_spread.covered"), F.col("_spread.matched")
+        shown = F.when(all_of > few, F.concat(few, F.lit(" of "), all_of)).otherwise(few.cast("string"))
+        per_run = per_run.select(
+            "*", few.alias("documents_covered"), all_of.alias("documents_matched"), shown.alias("covered")).drop("_spread")
     files = runs.select(*keys, F.explode("cited_files").alias("file")).distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("documents_cited")
     )

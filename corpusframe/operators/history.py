@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import fixed, text
 from corpusframe.operators.scale import numbered, top_k, with_halo
+from corpusframe.schemas import RESULT
 
 HALO_BLOCK = 10_000
 
@@ -83,6 +85,51 @@ def previous_answered(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
+def with_results(runs: DataFrame, hits: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """Runs with what they showed: ``results`` in order of number, ``cited`` the numbers of the answer.
+
+    hits(run_id, number, chunk_id, ...), bounded per run by what a question retrieves; fields of a result that the
+    hits lack are null. A run that found nothing has an empty array. cited(run_id, number).
+    """
+    fields = T.StructType.fromDDL(f"r {RESULT}")["r"].dataType.fields
+    shown = F.struct(*[
+        (F.col(f.name) if f.name in hits.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    none = F.array().cast(f"array<{RESULT}>")
+    results = hits.groupBy("run_id").agg(F.array_sort(F.collect_list(shown)).alias("results"))
+    stored = runs.drop("results", "cited").join(results, "run_id", "left").withColumn("results", F.coalesce("results", none))
+    if cited is None:
+        return stored.withColumn("cited", F.array().cast("array<int>"))
+    numbers = cited.groupBy("run_id").agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("cited"))
+    return stored.join(numbers, "run_id", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<int>")))
+
+
+def stored_results(runs: DataFrame, fields: list[str], run_ids: DataFrame | None = None) -> DataFrame:
+    """One row per stored result: run_id, its ``fields`` and whether the answer cited it.
+
+    Only the fields asked for are read from the nested column. ``run_ids``: only these runs are opened.
+    """
+    wanted = list(dict.fromkeys(["number", *fields]))
+    parts = runs.select("run_id", "cited", F.arrays_zip(*[F.col(f"results.{f}").alias(f) for f in wanted]).alias("_rows"))
+    if run_ids is not None:
+        parts = parts.join(run_ids.select("run_id").distinct(), "run_id", "left_semi")
+    rows = parts.select("run_id", "cited", F.explode("_rows").alias("_row"))
+    return rows.select(
+        "run_id", *[F.col(f"_row.{f}").alias(f) for f in wanted],
+        F.coalesce(F.array_contains("cited", F.col("_row.number")), F.lit(False)).alias("was_cited"))
+
+
+def carried_chunks(runs: DataFrame, fields: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+    """For every turn, the stored results of the run that a follow-up reuses: run_id, reused_run_id, fields.
+
+    runs(run_id, chat_id, turn_index, answered, results, cited). The look-back reads no result; first turns have
+    no row, nor have turns whose reused run found nothing.
+    """
+    places = previous_answered(runs.select("run_id", "chat_id", "turn_index", "answered"), config)
+    pairs = places.select("run_id", F.col("reusable_run_id").alias("reused_run_id")).where("reused_run_id is not null")
+    results = stored_results(runs, fields or ["chunk_id", "document_id"]).withColumnRenamed("run_id", "reused_run_id")
+    return pairs.join(results, "reused_run_id")
+
+
 def list_runs(
     runs: DataFrame, mode: str | None = None, answered: bool | None = None, limit: int = 50, offset: int = 0,
 ) -> DataFrame:

@@ -126,6 +126,31 @@ def conflict_notes(spark, d):
     return conflicts.conflict_notes(_conflicts(spark, d), [])
 
 
+# Every fortieth part is a source of the same question, in the order of the parts.
+define("scoped_first", """
+SELECT CAST(chunk_id AS BIGINT) % 40 AS question_id, key, document_id, arg_min(value, (chunk_id, position)) AS value, arg_min(filename, (chunk_id, position)) AS filename,
+  any_value(uploaded_at) AS uploaded_at, min((chunk_id, position)) AS place FROM part_claims GROUP BY 1, 2, 3
+""", ("part_claims",))
+define("scoped_lines", """
+SELECT question_id, min(place) AS raised, '- ' || subject || ': ' || string_agg(says, '') FILTER (n = 1) || ' — most recent. Previously ' || string_agg(says, '; ' ORDER BY n) FILTER (n > 1) || '.' AS line FROM (
+  SELECT question_id, key, array_to_string(key, ' ') AS subject, place, filename || ' says ' || value || coalesce(' (uploaded ' || strftime(uploaded_at, '%Y-%m-%d') || ')', '') AS says,
+    row_number() OVER (PARTITION BY question_id, key ORDER BY uploaded_at DESC NULLS LAST, place) AS n,
+    count(*) OVER (PARTITION BY question_id, key) AS documents, min(value) OVER (PARTITION BY question_id, key) AS low, max(value) OVER (PARTITION BY question_id, key) AS high FROM scoped_first)
+WHERE documents > 1 AND low <> high GROUP BY question_id, subject
+""", ("scoped_first",))
+
+
+@query(f"""
+SELECT question_id, CAST(count(*) AS INTEGER) AS conflicts, '{fixed.CONFLICT_LEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY raised) AS note FROM scoped_lines GROUP BY 1
+""", ("scoped_lines",))
+def context_notes(spark, d):
+    """One note per question, over the parts that are its sources."""
+    part = F.col("chunk_id").cast("bigint")
+    hits = m.part_chunks(spark, d).withColumn("question_id", part % 40).withColumn("number", part)
+    scope = ["question_id"]
+    return conflicts.context_notes(conflicts.find_conflicts(conflicts.extract_claims(hits, scope), scope), scope)
+
+
 RENDERED = "'[' || number || '] ' || filename || coalesce(' | section: ' || section_path, '') || ' | page ' || page_number || chr(10) || content"
 define("long_hits", """
 SELECT k.question_id, k.rank AS number, k.chunk_id, c.filename, c.content, c.section_path, c.page_number FROM knn k JOIN chunks c USING (chunk_id) WHERE k.rank <= 30

@@ -7,7 +7,8 @@ from corpusframe.operators import history, library, reuse
 from corpusframe.plans import model_tables as m
 from corpusframe.plans.model_sql import define
 from corpusframe.plans.registry import query
-from corpusframe.sources.tables import read_table
+from corpusframe.session import scratch_folder
+from corpusframe.sources.tables import append_runs, read_runs, read_table
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -59,6 +60,32 @@ def previous_answered(spark, d):
     return history.previous_answered(history.assign_turns(m.runs(spark, d))).select("run_id", "turn_index", "reusable_run_id")
 
 
+define("reused", """
+SELECT run_id, chat_id, coalesce(last_value(CASE WHEN answered THEN run_id END IGNORE NULLS) OVER w, lag(run_id) OVER (PARTITION BY chat_id ORDER BY turn_index)) AS reused_run_id
+FROM turns WINDOW w AS (PARTITION BY chat_id ORDER BY turn_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
+""", ("turns",))
+
+
+@query("""
+SELECT r.run_id, r.reused_run_id, CAST(k AS INTEGER) AS number, b.conv_id || ':' || b.turn AS chunk_id, b.conv_id % 7 || '-' || b.role AS document_id, k % 2 = 1 AND k <= b.turn % 4 AS was_cited
+FROM reused r JOIN turns t ON t.run_id = r.reused_run_id CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(k) JOIN conversations b ON b.conv_id = t.chat_id AND b.turn = t.turn_index - k
+""", ("reused", "turns"))
+def carried_chunks(spark, d):
+    """Turns stored with the five rows before them as their results, read back as what the next turn carries over."""
+    runs = m.turns(spark, d).withColumn(
+        "created_at", F.timestamp_seconds(m.EPOCH_2026 + F.col("chat_id") * 3600 + F.col("turn_index") * 60)).drop("filenames")
+    back = runs.select("run_id", F.col("chat_id").alias("conv_id"), "turn_index", F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("number"))
+    hits = back.withColumn("turn", F.col("turn_index") - F.col("number")).join(
+        read_table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content")), ["conv_id", "turn"]).select(
+        "run_id", "number", F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.concat_ws("-", F.col("conv_id") % 7, "role").alias("document_id"),
+        "content", (F.col("number") % 2 == 1).alias("odd"), "turn")
+    cited = hits.where("odd and number <= turn % 4").select("run_id", "number")
+    path = scratch_folder(spark)
+    append_runs(history.with_results(runs, hits, cited), path)
+    return history.carried_chunks(read_runs(spark, path)).select(
+        "run_id", "reused_run_id", "number", "chunk_id", "document_id", "was_cited")
+
+
 define("fresh_items", "SELECT chat_id AS question_id, CAST(item AS VARCHAR) AS chunk_id, min(turn_index) AS number FROM turned WHERE mode = 'naive' GROUP BY 1, 2", ("turned",))
 define("old_items", "SELECT chat_id AS question_id, CAST(item AS VARCHAR) AS chunk_id, min(turn_index) AS number FROM turned WHERE mode = 'hybrid' GROUP BY 1, 2", ("turned",))
 

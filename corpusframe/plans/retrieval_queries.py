@@ -6,7 +6,7 @@ from corpusframe.functions import fixed
 from corpusframe.operators import coverage, evidence, fusion, hierarchy, keyword, lists, reuse, routing, segments, vector
 from corpusframe.operators import context as packing
 from corpusframe.plans import model_tables as m
-from corpusframe.plans.model_sql import ASKED, DISTANCE, bm25, define, rrf, sql_list
+from corpusframe.plans.model_sql import ASKED, DISTANCE, TOK, bm25, define, rrf, sql_list
 from corpusframe.plans.registry import query
 from corpusframe.session import scratch_folder
 from corpusframe.sources.tables import read_table
@@ -328,20 +328,25 @@ def coverage_group(spark, d):
         "question_id", "chunk_id", "document_id", "number", "documents_matched", "documents_covered")
 
 
-bm25("topic_bm25", "chunks", "topical")
-define("topic64", "SELECT * FROM topic_bm25 WHERE rank <= 64", ("topic_bm25",))
-define("first_wins", """
-SELECT question_id, chunk_id, document_id, arg_min(score, side * 1000 + rank) AS score, keyword_rank, row_number() OVER (PARTITION BY question_id ORDER BY min(side * 1000 + rank)) AS rank
-FROM (SELECT *, min(rank) FILTER (side = 1) OVER (PARTITION BY question_id, chunk_id) AS keyword_rank FROM (
-  SELECT question_id, chunk_id, document_id, score, rank, 0 AS side FROM dense64
-  UNION ALL SELECT question_id, chunk_id, document_id, score, rank, 1 FROM topic64)) GROUP BY question_id, chunk_id, document_id, keyword_rank
-""", ("dense64", "topic64"))
-define("named", """
+def breadth_sql(prefix: str, dense: str, topical: str) -> None:
+    """Coverage of a dense list and the keyword list of topic terms: ``prefix``covered and ``prefix``named."""
+    bm25(f"{prefix}topic_bm25", "chunks", topical)
+    define(f"{prefix}topic64", f"SELECT * FROM {prefix}topic_bm25 WHERE rank <= 64", (f"{prefix}topic_bm25",))
+    define(f"{prefix}first_wins", f"""
+SELECT question_id, chunk_id, document_id, arg_min(score, side * 1000 + rank) AS score, semantic_rank, keyword_rank, row_number() OVER (PARTITION BY question_id ORDER BY min(side * 1000 + rank)) AS rank
+FROM (SELECT *, min(rank) FILTER (side = 1) OVER (PARTITION BY question_id, chunk_id) AS keyword_rank, min(rank) FILTER (side = 0) OVER (PARTITION BY question_id, chunk_id) AS semantic_rank FROM (
+  SELECT question_id, chunk_id, document_id, score, rank, 0 AS side FROM {dense}
+  UNION ALL SELECT question_id, chunk_id, document_id, score, rank, 1 FROM {prefix}topic64)) GROUP BY question_id, chunk_id, document_id, semantic_rank, keyword_rank
+""", (dense, f"{prefix}topic64"))
+    define(f"{prefix}named", f"""
 SELECT *, bool_or(keyword_rank IS NOT NULL) OVER (PARTITION BY question_id) AS strict,
-  bool_or(keyword_rank IS NOT NULL) OVER (PARTITION BY question_id, document_id) AS named FROM first_wins
-""", ("first_wins",))
-define("qualified", "SELECT question_id, chunk_id, document_id, score, rank FROM named WHERE named OR NOT strict", ("named",))
-define("covered", coverage_sql("qualified", "5"), ("qualified",))
+  bool_or(keyword_rank IS NOT NULL) OVER (PARTITION BY question_id, document_id) AS named FROM {prefix}first_wins
+""", (f"{prefix}first_wins",))
+    define(f"{prefix}qualified", f"SELECT question_id, chunk_id, document_id, score, rank FROM {prefix}named WHERE named OR NOT strict", (f"{prefix}named",))
+    define(f"{prefix}covered", coverage_sql(f"{prefix}qualified", "5"), (f"{prefix}qualified",))
+
+
+breadth_sql("", "dense64", "topical")
 
 
 @query("""
@@ -409,21 +414,56 @@ def compare_compositions(spark, d):
     return fusion.compare(m.questions(spark, d), m.chunks(spark, d), arms, m.books(spark, d)).select("composition", *HIT)
 
 
+# A third of the questions is about the library as a whole; questions differ from the plain ones by their words only.
+define("mixed_questions", f"""
+SELECT question_id, question, embedding, ({" OR ".join(f"regexp_matches(question, '(?i){p}')" for p in fixed.LIBRARY_WIDE)}) AS wide FROM (
+  SELECT question_id, CASE question_id % 6 WHEN 0 THEN 'Which documents mention ' || question WHEN 3 THEN 'Compare across all files: ' || question ELSE question END AS question, embedding FROM questions)
+""", ("questions",))
+define("broad_questions", f"""
+SELECT question_id, CASE WHEN topic <> '' THEN topic ELSE question END AS question FROM (
+  SELECT question_id, question, array_to_string(list_filter({TOK.format('question')}, lambda t: len(t) > 2 AND NOT list_contains({sql_list(fixed.SCAFFOLDING)}, t)), ' ') AS topic FROM mixed_questions WHERE wide)
+""", ("mixed_questions",))
+define("broad_dense", "SELECT * FROM dense64 WHERE question_id IN (SELECT question_id FROM mixed_questions WHERE wide)", ("dense64", "mixed_questions"))
+breadth_sql("broad_", "broad_dense", "broad_questions")
+
+
+@query("""
+SELECT route, question_id, chunk_id, document_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, fused_score, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(keyword_rank AS INTEGER) AS keyword_rank,
+  CAST(documents_matched AS BIGINT) AS documents_matched, CAST(documents_covered AS BIGINT) AS documents_covered, CAST(documents_dropped AS BIGINT) AS documents_dropped FROM (
+  SELECT 'ranked' AS route, question_id, chunk_id, document_id, rank, score, fused_score, semantic_rank, keyword_rank, NULL AS documents_matched, NULL AS documents_covered, NULL AS documents_dropped
+  FROM reranked WHERE rank <= 5 AND question_id NOT IN (SELECT question_id FROM mixed_questions WHERE wide)
+  UNION ALL SELECT 'coverage', c.question_id, c.chunk_id, c.document_id, c.number, c.score, NULL, n.semantic_rank, n.keyword_rank, c.documents_matched, c.documents_covered, greatest(least(c.documents_matched, 8) - c.documents_covered, 0)
+  FROM broad_covered c JOIN broad_named n USING (question_id, chunk_id))
+""", ("reranked", "mixed_questions", "broad_covered", "broad_named"))
+def routed_search(spark, d):
+    """One composition over a mixed batch; every third question is answered by coverage."""
+    n = F.col("question_id") % 6
+    asked = m.questions(spark, d).withColumn("question", F.when(n == 0, F.concat(F.lit("Which documents mention "), "question")).when(
+        n == 3, F.concat(F.lit("Compare across all files: "), "question")).otherwise(F.col("question")))
+    found = fusion.routed_search(asked, m.chunks(spark, d), ["keyword", "semantic"])
+    return found.select("route", *HIT, _score(), "fused_score", "semantic_rank", "keyword_rank", *fusion.COUNTS)
+
+
 define("composition_runs", """
-SELECT item AS question_id, mode AS composition, bool_or(answered) AS answered, CAST(sum(chat_id % 3) AS BIGINT) AS citations, CAST(sum(chat_id % 6) AS BIGINT) AS chunks,
-  count(DISTINCT CASE WHEN chat_id % 3 > 0 THEN chat_id % 5 END) AS documents_cited, min(latency_ms) AS latency_ms FROM runs GROUP BY 1, 2
+SELECT *, CASE WHEN documents_matched > documents_covered THEN documents_covered || ' of ' || documents_matched ELSE CAST(documents_covered AS VARCHAR) END AS covered FROM (
+  SELECT *, s.c AS documents_covered, s.m AS documents_matched FROM (
+    SELECT item AS question_id, mode AS composition, bool_or(answered) AS answered, CAST(sum(chat_id % 3) AS BIGINT) AS citations, CAST(sum(chat_id % 6) AS BIGINT) AS chunks,
+      count(DISTINCT CASE WHEN chat_id % 3 > 0 THEN chat_id % 5 END) AS documents_cited, min(latency_ms) AS latency_ms,
+      max({'c': run_id % 4, 'm': greatest(run_id % 7, run_id % 4)}) FILTER (run_id % 5 = 0) AS s FROM runs GROUP BY 1, 2))
 """, ("runs",))
 
 
 @query("""
-SELECT r.*, f.fastest FROM composition_runs r LEFT JOIN (
+SELECT r.* EXCLUDE (s), f.fastest FROM composition_runs r LEFT JOIN (
   SELECT question_id, arg_min(composition, (latency_ms, composition)) AS fastest FROM composition_runs WHERE answered GROUP BY 1) f USING (question_id)
 """, ("composition_runs",))
 def composition_metrics(spark, d):
-    chat = F.col("chat_id")
+    """Every fifth run covered documents; the others ranked chunks."""
+    chat, run = F.col("chat_id"), F.col("run_id")
     runs = m.runs(spark, d).select(
         F.col("item").alias("question_id"), F.col("mode").alias("composition"), "answered", "latency_ms",
         (chat % 3).alias("citation_count"), (chat % 6).alias("chunk_count"),
+        F.when(run % 5 == 0, run % 4).alias("documents_covered"), F.when(run % 5 == 0, run % 7).alias("documents_matched"),
         F.when(chat % 3 > 0, F.array((chat % 5).cast("string"))).otherwise(F.array().cast("array<string>")).alias("cited_files"))
     return fusion.composition_metrics(runs)
 

@@ -37,11 +37,15 @@ QUESTIONS = "question_id string, question string, embedding array<float>, scope
 
 CHATS = "chat_id string, title string, created_at timestamp, updated_at timestamp"
 
-RUNS = """
+# One result as it was shown; a run holds those of one question, in order.
+RESULT = ("struct<number:int,chunk_id:string,document_id:string,filename:string,content:string,section_path:string,"
+          "page_number:int,score:double,sources:array<string>>")
+
+RUNS = f"""
     run_id string, chat_id string, turn_index bigint, question string, relation string,
     standalone_question string, context_strategy string, composition string, mode string, top_k int,
     answer string, answered boolean, citation_count int, chunk_count int, latency_ms double,
-    retrieval_method string, created_at timestamp
+    retrieval_method string, created_at timestamp, results array<{RESULT}>, cited array<int>
 """
 
 ANSWER_CACHE = """

@@ -57,6 +57,15 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def read_runs(spark: SparkSession, path: str, since: str | None = None, schema: str | None = None) -> DataFrame:
+    """Stored runs; ``since`` (a date) leaves out whole days without opening them.
+
+    ``schema`` (``schemas.RUNS``) makes runs stored before a column existed readable, without opening every footer.
+    """
+    runs = (spark.read.schema(schema + ", day date") if schema else spark.read).parquet(path)
+    return runs if since is None else runs.where(F.col("day") >= F.to_date(F.lit(since)))
+
+
 def write_chunks(chunks: DataFrame, path: str, doc: str = "document_id", buckets: int = 4096) -> None:
     """Add chunks; those of documents ingested before are replaced.
 

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusframe.config import Config
@@ -138,3 +139,17 @@ def test_final_context(frame):
     order = lambda df: [r.chunk_id for r in df.orderBy("number").collect()]
     assert order(packing.final_context(hits, carried, 2)) == ["b", "a", "z"]
     assert order(packing.final_context(hits, carried, 2, aggregated=True)) == ["a", "c", "b", "z"]
+
+
+def test_note_above_the_sources(frame):
+    rows = [row(2, "old", "20 parking spaces kept for guests", OLD), row(10, "new", "30 parking spaces kept for guests. 9 meeting rooms upstairs", NEW),
+            row(9, "old", "8 meeting rooms upstairs", OLD), row(1, "a", "5 of everything here", OLD, question=2)]
+    got = conflicts.context_notes(found(frame, rows), ["question_id"]).collect()
+    assert [(r.question_id, r.conflicts) for r in got] == [(1, 2)]
+    lines = got[0].note.split("\n")
+    assert lines[0] == "NOTE — the sources disagree with each other." and lines[6] == ""
+    # Source 2 comes before source 9, whatever their names.
+    assert [line.split(":")[0] for line in lines[7:]] == ["- parking space kept guest", "- meeting room upstair"]
+    assert conflicts.context_notes(found(frame, rows[:1]), ["question_id"]).count() == 0
+    with pytest.raises(ValueError):
+        conflicts.context_notes(found(frame, rows), [])

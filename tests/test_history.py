@@ -169,3 +169,31 @@ def test_a_null_key_is_a_key(frame):
     df = frame("k string, v int", [(None, 3), ("a", 1), (None, 1), ("a", 2), (None, 2)])
     assert sorted((str(r.k), r.v, r.n) for r in scale.numbered(df, ["k"], ["v"], "n").collect()) == [
         ("None", 1, 1), ("None", 2, 2), ("None", 3, 3), ("a", 1, 1), ("a", 2, 2)]
+
+
+def test_stored_results(spark, frame, tmp_path):
+    from corpusframe.schemas import RUNS
+    from corpusframe.sources import tables
+
+    runs = frame("run_id string, chat_id string, turn_index bigint, answered boolean, created_at timestamp", [
+        (f"r{i}", "c", i, i != 1, datetime(2026, 1, 1 + i)) for i in range(4)])
+    hits = frame("run_id string, number int, chunk_id string, document_id string, content string, other int", [
+        ("r0", 2, "b", "d", "two", 1), ("r0", 1, "a", "d", "one", 1), ("r1", 1, "z", "d", None, 1), ("r2", 1, None, "d", "x", 1)])
+    cited = frame("run_id string, number int", [("r0", 2), ("r0", 2), ("r9", 1)])
+    path = str(tmp_path / "runs")
+    tables.append_runs(history.with_results(runs, hits, cited), path)
+    stored = tables.read_runs(spark, path)
+    assert {r.run_id: (len(r.results), r.cited) for r in stored.collect()} == {"r0": (2, [2]), "r1": (1, []), "r2": (1, []), "r3": (0, [])}
+    got = history.carried_chunks(stored)
+    # Turn 1 found nothing it could answer with, so turn 2 goes back to turn 0; turn 3 reuses turn 2.
+    assert sorted((r.run_id, r.reused_run_id, r.number, r.chunk_id, r.was_cited) for r in got.where("chunk_id is not null").collect()) == [
+        ("r1", "r0", 1, "a", False), ("r1", "r0", 2, "b", True), ("r2", "r0", 1, "a", False), ("r2", "r0", 2, "b", True)]
+    assert [(r.run_id, r.reused_run_id, r.chunk_id) for r in got.where("chunk_id is null").collect()] == [("r3", "r2", None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.split("\n") if "results:array" in line]
+    assert reads and all("results:array<struct<number:int,chunk_id:string,document_id:string>>" in line.replace(" ", "") for line in reads), reads
+    one = history.stored_results(stored, ["content"], frame("run_id string", [("r0",), ("r0",)]))
+    assert sorted((r.number, r.content, r.was_cited) for r in one.collect()) == [(1, "one", False), (2, "two", True)]
+    late = tables.read_runs(spark, path, since="2026-01-03", schema=RUNS)
+    assert sorted(r.run_id for r in late.collect()) == ["r2", "r3"] and "answer" in late.columns
+    assert history.carried_chunks(stored.limit(0)).count() == 0
