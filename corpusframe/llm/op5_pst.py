@@ -5,20 +5,24 @@ retained if its next-symbol distribution diverges enough from that of its longes
 smoothed towards that suffix in proportion to how many different symbols follow, down to the add-one counts of single
 tokens. A token is scored by the longest retained state that its preceding words end in.
 
-The tree is a table. It is grown level by level: packs of documents ask for the grams they hold (with how often they
-occur in training documents), grams are summed per state, and each pack gets back the probabilities of its own grams.
-Words are known by a 64-bit hash.
+The tree is never laid out. Packs of documents ask, in blocks, how often their grams occur in training documents, how
+many symbols follow each of their contexts, and what those contexts gain; all three are sums over packs. From the answers
+a pack knows the probability of each of its grams by the states that concern it. Words are known by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, packed, stored
-from corpusframe.operators.scale import join_hot_keys
+from corpusframe.llm.blocks import ASKS, answered, blocks, expand, gathered, read_answers, share_bits
+from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, shared_folder, text_bytes, to_blob
 
 #: Longest context, in words.
 DEPTH = 2
@@ -27,106 +31,143 @@ LEAST_SEEN = 16
 #: Nats that a context has to gain over its suffix, per different symbol that follows it.
 LEAST_GAIN = 1.0
 MODULUS, HELD_OUT = 7, 2
-SPLIT_ROWS = 1_000
+#: Text of one pack, in bytes: a longer document has a pack of its own.
+PACK_BYTES = 8 << 20
+#: No UTF-8 text holds this byte; it stands for the end of a document.
+END = b"\xff"
+#: What packs ask at each level: occurrences of grams, symbols after contexts, gains of contexts.
+SEEN, KINDS, GAINS = range(3)
+_ANSWER = "struct<topic:int,share:bigint,answer:binary>"
 
 
 def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A hash of a context's key and the next word's."""
-    h = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    h = context * np.uint64(0x9E3779B97F4A7C15) + word
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return h.view(np.int64)
+    return h
+
+
+def _tokens_blob(ids: list, texts: list) -> bytes:
+    """doc_id and number of tokens per document, word hashes in ascending order, and each token's place among them."""
+    import xxhash
+
+    words = (b" ".join(part for text in texts for part in (text, END))).lower().split()
+    seen: dict[bytes, int] = {}
+    first = np.fromiter(map(seen.setdefault, words, itertools.count()), np.int64, len(words))
+    ends = np.flatnonzero(first == seen[END])
+    hashes = np.fromiter((xxhash.xxh64_intdigest(b"" if w == END else w) for w in seen), np.uint64, len(seen))
+    vocabulary, place = np.unique(hashes, return_inverse=True)
+    number = np.empty(len(words), np.int32)
+    number[np.fromiter(seen.values(), np.int64, len(seen))] = place
+    documents = pa.array([{"doc_id": i, "size": s} for i, s in zip(ids, np.diff(ends, prepend=-1).tolist())], pa.struct([("doc_id", pa.int64()), ("size", pa.int64())]))
+    lists = [documents, pa.array(vocabulary), pa.array(number[first])]
+    return to_blob(pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for name, v in zip(("documents", "words", "tokens"), lists)}))
+
+
+def _packs(batches):
+    # A pack's number holds its task and its place within it.
+    gid, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
+            if ids and held + len(text) > PACK_BYTES:
+                yield pa.RecordBatch.from_pydict({"gid": [gid], "body": [_tokens_blob(ids, texts)]})
+                gid, ids, texts, held = gid + 1, [], [], 0
+            ids.append(doc_id)
+            texts.append(text)
+            held += len(text)
+    if ids:
+        yield pa.RecordBatch.from_pydict({"gid": [gid], "body": [_tokens_blob(ids, texts)]})
 
 
 class Tokens:
-    """The tokens of one pack: word hashes, places within documents, and which of them teach."""
+    """The tokens of one pack: places among its words, places within documents, and which of them teach."""
 
     def __init__(self, blob: bytes) -> None:
-        import xxhash
-
         table = from_blob(blob)
-        self.ids = table.column("doc_id").to_pylist()
-        words = [text.lower().split() for text in table.column("text").to_pylist()]
-        known: dict[bytes, int] = {}
-        for doc in words:
-            for word in set(doc):
-                if word not in known:
-                    known[word] = xxhash.xxh64_intdigest(word)
-        known[b""] = xxhash.xxh64_intdigest(b"")  # the end; no word is empty
-        self.sizes = np.fromiter((len(d) + 1 for d in words), np.int64, len(words))
-        stream = (known[w] for doc in words for w in (*doc, b""))
-        self.word = np.fromiter(stream, np.uint64, int(self.sizes.sum())).view(np.int64)
+        lists = {name: table.column(name).combine_chunks().flatten() for name in table.column_names}
+        self.ids, self.sizes = lists["documents"].field("doc_id").to_pylist(), lists["documents"].field("size").to_numpy()
+        self.words, self.tokens = lists["words"].to_numpy(), lists["tokens"].to_numpy()
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.word)) - np.repeat(self.first, self.sizes)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.sizes)
         self.held_out = crc_rest(self.ids, MODULUS) == HELD_OUT
-        self.teaches = np.repeat(~self.held_out, self.sizes)
-
-
-def _lookup(answers, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability or nan, training count) of each key."""
-    known = answers.field("key").to_numpy() if answers is not None else np.zeros(0, np.int64)
-    chance, seen = np.full(len(keys), np.nan), np.zeros(len(keys), np.int64)
-    if len(known):
-        order = np.argsort(known)
-        at = np.searchsorted(known, keys, sorter=order).clip(max=len(known) - 1)
-        hit = known[order[at]] == keys
-        chance[hit] = answers.field("chance").to_numpy(zero_copy_only=False)[order[at[hit]]]
-        seen[hit] = answers.field("seen").to_numpy()[order[at[hit]]]
-    return chance, seen
-
-
-def _walk(tokens: Tokens, answers: list, unknown: float):
-    """Probability by the longest state so far, and for the next level: context, gram and whether it is a candidate.
-
-    ``unknown``: the probability of a word that training documents do not hold.
-    """
-    chance = np.full(len(tokens.word), np.nan)
-    counts = None
-    key, alive = tokens.word, np.ones(len(tokens.word), bool)
-    context = np.zeros(len(key), np.int64)
-    for level, answer in enumerate(answers):
-        found, seen = _lookup(answer, key)
-        found[~alive] = np.nan
-        seen[~alive] = 0
-        if level == 0:
-            counts = seen
-            found = np.where(np.isnan(found), unknown, found)
-        chance = np.where(np.isnan(found), chance, found)
-        alive = (tokens.place > level) & np.concatenate([[False], seen[:-1] >= LEAST_SEEN])
-        context = np.concatenate([[0], key[:-1]])
-        key = _mix(context, tokens.word)
-    return chance, counts, context, key, alive
-
-
-def _ask(unknown: float | None):
-    def work(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens = Tokens(batch.column("body")[i].as_py())
-                gid = batch.column("gid")[i].as_py()
-                answers = [a[i].values if a[i].is_valid else None for a in batch.columns[2:]]
-                chance, _, context, key, alive = _walk(tokens, answers, unknown)
-                place = np.flatnonzero(alive)
-                distinct, first, which = np.unique(key[place], return_index=True, return_inverse=True)
-                seen = np.bincount(which, weights=tokens.teaches[place], minlength=len(distinct)).astype(np.int64)
-                columns = [np.full(len(distinct), gid, np.int64), context[place[first]], distinct, seen, chance[place[first]]]
-                for start in range(0, len(distinct), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], ["gid", "context", "key", "seen", "before"])
-
-    return work
-
-
-def _answered(packs: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    for level, answers in enumerate(levels):
-        packs = packs.join(answers.withColumnRenamed("answers", f"level{level}"), "gid", "left")
-    return packs
-
-
-def _answers(asks: DataFrame, grams: DataFrame) -> DataFrame:
-    """gid and the (key, chance, seen) of what each pack asked for."""
-    found = asks.select("gid", "key").join(grams.select("key", "chance", "seen"), "key")
-    return stored(found.groupBy("gid").agg(F.collect_list(F.struct("key", "chance", "seen")).alias("answers")))
+        self.teaches = np.repeat(~self.held_out, self.sizes).astype(np.float64)
+
+
+class Walk:
+    """How far the answers carry one pack: probabilities by the longest states known, and what to ask next."""
+
+    def __init__(self, tokens: Tokens, answers: dict[int, np.ndarray], unknown: float | None) -> None:
+        self.asks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.chance = None
+        grams, which = tokens.words, tokens.tokens
+        if SEEN not in answers:
+            self.asks[SEEN] = grams, np.bincount(which, tokens.teaches, len(grams))
+            return
+        seen, _ = _seen(answers[SEEN])
+        self.counts = seen[which]
+        self.chance = (self.counts + 1) * unknown
+        times, settled = self.counts, True
+        for level in range(1, DEPTH + 1):
+            # Grams of one word more end where the gram before is a candidate.
+            at = np.flatnonzero(tokens.place[1:] >= level) + 1
+            at = at[times[at - 1] >= LEAST_SEEN]
+            context = which[at - 1]
+            keys = _mix(grams[context], tokens.words[tokens.tokens[at]])
+            found, example, number = np.unique(keys, return_index=True, return_inverse=True)
+            contexts, context = np.unique(context[example], return_inverse=True)
+            names, total = grams[contexts], seen[contexts]
+            asked = 3 * level
+            if not len(found):
+                return
+            if asked + SEEN not in answers:
+                self.asks[asked + SEEN] = found, np.bincount(number, tokens.teaches[at], len(found))
+                return
+            seen, first = _seen(answers[asked + SEEN])
+            if asked + KINDS not in answers:
+                self.asks[asked + KINDS] = names, np.bincount(context, first, len(names))
+                settled = False
+            elif settled:
+                kinds = answers[asked + KINDS]
+                before = self.chance[at[example]]
+                chance = (seen + kinds[context] * before) / (total + kinds)[context]
+                if asked + GAINS not in answers:
+                    own = np.bincount(number, tokens.teaches[at], len(found))
+                    self.asks[asked + GAINS] = names, np.bincount(context, own * np.log(chance / before), len(names))
+                    settled = False
+                else:
+                    retained = (answers[asked + GAINS] > LEAST_GAIN * kinds)[context][number]
+                    self.chance[at[retained]] = chance[number[retained]]
+            grams, times = found, np.zeros(len(tokens.tokens))
+            times[at] = seen[number]
+            which = np.zeros(len(tokens.tokens), np.int64)
+            which[at] = number
+
+
+def _seen(answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training occurrences, and whether this pack is the one that counts the gram as a kind."""
+    times = np.floor(answer / 2)
+    return times, answer - 2 * times
+
+
+def _combine(topic: int, which: np.ndarray, values: np.ndarray, pack: np.ndarray) -> np.ndarray:
+    """Sums per key; those of occurrences doubled, plus 1 for the first pack whose training documents hold the key."""
+    sums = np.bincount(which, values)[which]
+    if topic % 3 != SEEN:
+        return sums
+    teaching = np.flatnonzero(values > 0)
+    _, first = np.unique(which[teaching], return_index=True)
+    sums *= 2
+    sums[teaching[first]] += 1
+    return sums
+
+
+def _walks(batches, unknown: float | None):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            tokens = Tokens(batch.column("body")[i].as_py())
+            yield batch.column("gid")[i].as_py(), tokens, Walk(tokens, read_answers(batch.column("answers")[i].as_py(), np.float64), unknown)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -136,39 +177,49 @@ def score(docs: DataFrame) -> DataFrame:
     teach as often as they appear and are scored each. Without training documents all tokens are unknown and both
     scores are 0, the log of 1 over V + 1 = 1. Other columns are not looked at; an empty table gives an empty one.
     """
-    packs = packed(ids_and_text(docs))
-    schema = "gid long, context long, key long, seen long, before double"
-    asks = stored(packs.mapInArrow(_ask(None), schema))
-    words = stored(asks.groupBy("key").agg(F.sum("seen").alias("seen")).where("seen > 0"))
-    total = words.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    unknown = 1.0 / (total.n + total.v + 1)
-    levels = [_answers(asks, words.withColumn("chance", (F.col("seen") + 1) * F.lit(unknown)))]
-    for _ in range(DEPTH):
-        asks = stored(_answered(packs, levels).mapInArrow(_ask(unknown), schema))
-        grams = stored(asks.groupBy("context", "key").agg(F.sum("seen").alias("seen"), F.max("before").alias("before")))
-        states = grams.groupBy("context").agg(F.sum("seen").alias("total"), F.sum((F.col("seen") > 0).cast("long")).alias("kinds"), F.count(F.lit(1)).alias("n"))
-        states = stored(states.where("total > 0"))
-        smoothed = (F.col("seen") + F.col("kinds") * F.col("before")) / (F.col("total") + F.col("kinds"))
-        grams = stored(join_hot_keys(grams, states.select("context", "total", "kinds"), "context", states, "n", "key", SPLIT_ROWS).withColumn("chance", smoothed))
-        gains = grams.groupBy("context").agg(F.sum(F.col("seen") * F.log(F.col("chance") / F.col("before"))).alias("gain"), F.max("kinds").alias("kinds"), F.count(F.lit(1)).alias("n"))
-        gains = stored(gains.withColumn("retained", F.col("gain") > LEAST_GAIN * F.col("kinds")))
-        grams = join_hot_keys(grams, gains.select("context", "retained"), "context", gains, "n", "key", SPLIT_ROWS)
-        grams = grams.where(F.col("retained") | (F.col("seen") >= LEAST_SEEN)).withColumn("chance", F.when(F.col("retained"), F.col("chance")))
-        levels.append(_answers(asks, grams))
-    train_tokens = total.n
+    spark, docs = docs.sparkSession, ids_and_text(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
+    bits, buckets = share_bits(size // PACK_BYTES + 1), int(max(8, size // (2 * PACK_BYTES)))
+    # Packs stay where they are, in buckets by their number: later only answers travel to them.
+    name = f"packs_{uuid.uuid4().hex}"
+    packs = docs.mapInArrow(_packs, "gid long, body binary").repartition(buckets, "gid")
+    packs.write.bucketBy(buckets, "gid").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    packs, answers, unknown, train_tokens = spark.table(name), None, None, 0
+
+    def met() -> DataFrame:
+        return packs.withColumn("answers", F.lit(None).cast(f"array<{_ANSWER}>")) if answers is None else packs.join(gathered(answers), "gid", "left")
+
+    # Occurrences of a level are asked one step before its kinds, those one before its gains.
+    for _ in range(DEPTH + 3):
+        chance = unknown
+
+        def ask(batches):
+            for gid, _, walk in _walks(batches, chance):
+                for topic, (keys, values) in walk.asks.items():
+                    yield from blocks(gid, topic, keys, values, bits)
+
+        found = answered(met().mapInArrow(ask, ASKS), bits, np.float64, _combine)
+        if answers is None:
+            total = found.mapInArrow(_totals, "tokens double, kinds double").agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0.0)).alias("v")).first()
+            unknown, train_tokens = 1.0 / (total.n + total.v + 1), int(total.n)
+        answers = found if answers is None else answers.unionAll(found)
 
     def rate(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens = Tokens(batch.column("body")[i].as_py())
-                answers = [a[i].values if a[i].is_valid else None for a in batch.columns[2:]]
-                chance, counts, *_ = _walk(tokens, answers, unknown)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(tokens.sizes),
-                    "n_known": np.add.reduceat((counts > 0).astype(np.int64), tokens.first),
-                    "train_tokens": pa.array([train_tokens] * len(tokens.ids), pa.int64()),
-                    "base_score": np.add.reduceat(np.log10((counts + 1) * unknown), tokens.first),
-                    "score": np.add.reduceat(np.log10(chance), tokens.first)})
-
-    return _answered(packs, levels).mapInArrow(
+        for _, tokens, walk in _walks(batches, unknown):
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(tokens.sizes),
+                "n_known": np.add.reduceat((walk.counts > 0).astype(np.int64), tokens.first),
+                "train_tokens": pa.array([train_tokens] * len(tokens.ids), pa.int64()),
+                "base_score": np.add.reduceat(np.log10((walk.counts + 1) * unknown), tokens.first),
+                "score": np.add.reduceat(np.log10(walk.chance), tokens.first)})
+
+    return met().mapInArrow(
         rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _totals(batches):
+    """Training tokens and different ones: every word is counted where it is a kind."""
+    for batch in batches:
+        for blob in batch.column("answer").to_pylist():
+            times, first = _seen(expand(blob, np.float64))
+            yield pa.RecordBatch.from_pydict({"tokens": [float(times @ first)], "kinds": [float(first.sum())]})

@@ -25,7 +25,7 @@ def by_hand(rows):
     for (_, text), out in zip(rows, held):
         words = tokens(text)
         for i in range(len(words)):
-            for d in (1, 2):
+            for d in range(1, pst.DEPTH + 1):
                 if not out and i >= d:
                     grams[tuple(words[i - d : i])][words[i]] += 1
     base = lambda t: (counts[t] + 1) / (total + kinds + 1)
@@ -39,11 +39,11 @@ def by_hand(rows):
         own = grams[context]
         return (own[t] + len(own) * chance(context[1:], t)) / (sum(own.values()) + len(own))
 
-    for d in (1, 2):
+    for d in range(1, pst.DEPTH + 1):
         for context in [c for c in grams if len(c) == d]:
             own = grams[context]
-            seen = counts[context[0]] if d == 1 else grams[context[:1]][context[1]]
-            if seen < pst.LEAST_SEEN or d == 2 and counts[context[0]] < pst.LEAST_SEEN:
+            # Its beginnings have to be candidates as well.
+            if any((grams[context[:e]][context[e]] if e else counts[context[0]]) < pst.LEAST_SEEN for e in range(d)):
                 continue
             n, k = sum(own.values()), len(own)
             gain = sum(c * math.log((c + k * chance(context[1:], t)) / (n + k) / chance(context[1:], t)) for t, c in own.items())
@@ -51,7 +51,7 @@ def by_hand(rows):
     out = []
     for (doc_id, text), o in zip(rows, held):
         words = tokens(text)
-        score = sum(math.log10(chance(tuple(words[max(0, i - 2) : i]), t)) for i, t in enumerate(words))
+        score = sum(math.log10(chance(tuple(words[max(0, i - pst.DEPTH) : i]), t)) for i, t in enumerate(words))
         out.append((doc_id, o, len(words), sum(counts[t] > 0 for t in words), total, sum(math.log10(base(t)) for t in words), score))
     return out, retained
 
