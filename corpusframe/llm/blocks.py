@@ -41,6 +41,17 @@ def expand(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys ascending, a place of each, and the number of every key among them."""
+    order = np.argsort(keys)
+    arranged = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = arranged[1:] != arranged[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(begins) - 1
+    return arranged[begins], order[begins], number
+
+
 def blocks(gid: int, topic: int, keys: np.ndarray, values: np.ndarray, bits: int, width: int = 64) -> Iterator[pa.RecordBatch]:
     """The blocks of one pack: ``keys`` are uint64 below 2 ** width, ascending and distinct, with a value each."""
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)
@@ -64,10 +75,7 @@ def answered(asks: DataFrame, bits: int, kind, combine: Callable) -> DataFrame:
         keys = [np.cumsum(expand(r[3], np.uint64), dtype=np.uint64) for r in rows]
         ends = np.cumsum([len(k) for k in keys])
         together = np.concatenate(keys)
-        order = np.argsort(together, kind="stable")
-        arranged = together[order]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(np.concatenate([[False], arranged[1:] != arranged[:-1]]))
+        _, _, which = distinct(together)
         values = np.concatenate([expand(r[4], kind) for r in rows])
         pack = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
         found = combine(rows[0][1], which, values, pack)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.blocks import ASKS, answered, blocks, expand, gathered, read_answers, share_bits
+from corpusframe.llm.blocks import ASKS, answered, blocks, distinct, expand, gathered, read_answers, share_bits
 from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, shared_folder, text_bytes, to_blob
 
 #: Longest context, in words.
@@ -115,8 +115,8 @@ class Walk:
             at = at[times[at - 1] >= LEAST_SEEN]
             context = which[at - 1]
             keys = _mix(grams[context], tokens.words[tokens.tokens[at]])
-            found, example, number = np.unique(keys, return_index=True, return_inverse=True)
-            contexts, context = np.unique(context[example], return_inverse=True)
+            found, example, number = distinct(keys)
+            contexts, _, context = distinct(context[example])
             names, total = grams[contexts], seen[contexts]
             asked = 3 * level
             if not len(found):
@@ -156,10 +156,12 @@ def _combine(topic: int, which: np.ndarray, values: np.ndarray, pack: np.ndarray
     sums = np.bincount(which, values)[which]
     if topic % 3 != SEEN:
         return sums
-    teaching = np.flatnonzero(values > 0)
-    _, first = np.unique(which[teaching], return_index=True)
+    # Of what is written to one place the last stays: going backwards, the first pack.
+    teaching = np.flatnonzero(values > 0)[::-1]
+    first = np.full(which.max() + 1, -1)
+    first[which[teaching]] = teaching
     sums *= 2
-    sums[teaching[first]] += 1
+    sums[first[first >= 0]] += 1
     return sums
 
 
