@@ -78,9 +78,10 @@ def ids_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def packed(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """One row per pack of documents: gid long, body binary (a compressed Arrow stream of doc_id and text as binary).
 
-    Packs are cut inside the tasks that read the documents, so no text is shuffled for them. The table is
-    settled: what later steps ask and answer per pack refers to the same documents however often tasks run.
+    Packs are cut inside the tasks that read the documents and lie in buckets by their number. What later steps ask and
+    answer per pack refers to the same documents however often tasks run.
     """
+    docs = ids_and_text(docs)
 
     def pack(batches):
         # A pack's number holds its task and its place within it.
@@ -96,7 +97,20 @@ def packed(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
         if ids:
             yield _pack_row(gid, ids, texts)
 
-    return settle(ids_and_text(docs).mapInArrow(pack, "gid long, body binary"))
+    return in_buckets(docs.mapInArrow(pack, "gid long, body binary"), text_size(docs) // (2 * pack_bytes))
+
+
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
+
+
+def in_buckets(packs: DataFrame, buckets: int) -> DataFrame:
+    """Packs as a table in the shared folder, bucketed by ``gid``: in a join by it only the other side moves."""
+    spark, name, buckets = packs.sparkSession, f"packs_{uuid.uuid4().hex}", int(max(8, buckets))
+    table = packs.repartition(buckets, "gid").write.bucketBy(buckets, "gid").option("path", f"{shared_folder(spark)}/{name}")
+    table.format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _pack_row(gid: int, ids: list, texts: list) -> pa.RecordBatch:

@@ -13,7 +13,6 @@ a pack knows the probability of each of its grams by the states that concern it.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.llm.blocks import ASKS, answered, blocks, distinct, expand, gathered, read_answers, share_bits
-from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, shared_folder, text_bytes, to_blob
+from corpusframe.llm.common import crc_rest, from_blob, ids_and_text, in_buckets, text_bytes, text_size, to_blob
 
 #: Longest context, in words.
 DEPTH = 2
@@ -108,15 +107,14 @@ class Walk:
         seen, _ = _seen(answers[SEEN])
         self.counts = seen[which]
         self.chance = (self.counts + 1) * unknown
-        times, settled = self.counts, True
+        word = grams[which]
+        key, often, settled = word, self.counts >= LEAST_SEEN, True
         for level in range(1, DEPTH + 1):
             # Grams of one word more end where the gram before is a candidate.
-            at = np.flatnonzero(tokens.place[1:] >= level) + 1
-            at = at[times[at - 1] >= LEAST_SEEN]
-            context = which[at - 1]
-            keys = _mix(grams[context], tokens.words[tokens.tokens[at]])
-            found, example, number = distinct(keys)
-            contexts, _, context = distinct(context[example])
+            at = np.flatnonzero(often[:-1] & (tokens.place[1:] >= level)) + 1
+            found, example, number = distinct(_mix(key[at - 1], word[at]))
+            example = at[example]
+            contexts, _, context = distinct(which[example - 1])
             names, total = grams[contexts], seen[contexts]
             asked = 3 * level
             if not len(found):
@@ -130,19 +128,22 @@ class Walk:
                 settled = False
             elif settled:
                 kinds = answers[asked + KINDS]
-                before = self.chance[at[example]]
+                before = self.chance[example]
                 chance = (seen + kinds[context] * before) / (total + kinds)[context]
                 if asked + GAINS not in answers:
                     own = np.bincount(number, tokens.teaches[at], len(found))
                     self.asks[asked + GAINS] = names, np.bincount(context, own * np.log(chance / before), len(names))
                     settled = False
                 else:
-                    retained = (answers[asked + GAINS] > LEAST_GAIN * kinds)[context][number]
-                    self.chance[at[retained]] = chance[number[retained]]
-            grams, times = found, np.zeros(len(tokens.tokens))
-            times[at] = seen[number]
-            which = np.zeros(len(tokens.tokens), np.int64)
-            which[at] = number
+                    retained = (answers[asked + GAINS] > LEAST_GAIN * kinds)[context]
+                    kept = retained[number]
+                    self.chance[at[kept]] = chance[number[kept]]
+            if level == DEPTH:
+                return
+            grams, often = found, np.zeros(len(word), bool)
+            often[at] = (seen >= LEAST_SEEN)[number]
+            key, which = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
+            key[at], which[at] = found[number], number
 
 
 def _seen(answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +180,11 @@ def score(docs: DataFrame) -> DataFrame:
     teach as often as they appear and are scored each. Without training documents all tokens are unknown and both
     scores are 0, the log of 1 over V + 1 = 1. Other columns are not looked at; an empty table gives an empty one.
     """
-    spark, docs = docs.sparkSession, ids_and_text(docs)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
-    bits, buckets = share_bits(size // PACK_BYTES + 1), int(max(8, size // (2 * PACK_BYTES)))
-    # Packs stay where they are, in buckets by their number: later only answers travel to them.
-    name = f"packs_{uuid.uuid4().hex}"
-    packs = docs.mapInArrow(_packs, "gid long, body binary").repartition(buckets, "gid")
-    packs.write.bucketBy(buckets, "gid").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
-    packs, answers, unknown, train_tokens = spark.table(name), None, None, 0
+    docs = ids_and_text(docs)
+    size = text_size(docs)
+    bits = share_bits(size // PACK_BYTES + 1)
+    packs = in_buckets(docs.mapInArrow(_packs, "gid long, body binary"), size // (2 * PACK_BYTES))
+    answers, unknown, train_tokens = None, None, 0
 
     def met() -> DataFrame:
         return packs.withColumn("answers", F.lit(None).cast(f"array<{_ANSWER}>")) if answers is None else packs.join(gathered(answers), "gid", "left")
