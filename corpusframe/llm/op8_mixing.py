@@ -18,7 +18,9 @@ from corpusframe.llm.common import settle
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"\x20\x09-\x0D"
+#: A word with the white space around it. It gives nothing back, so a text is read once.
+WORD = rf"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+"
 #: Steps the order of a source is cut into.
 BINS = 4096
 SALT = "mix"
@@ -27,7 +29,9 @@ BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """One mark per word is left of a text and counted; ``regexp_count`` would lay out an array of all its words first."""
+    marks = F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def _uniform(doc_id: Column) -> Column:
@@ -144,8 +148,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    out = with_copies(rows, limits).where(F.col("copies") > 0)
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    # Not a filter on the copies, nor a plain explode, which brings one: it would count the words of every text again.
+    again = with_copies(rows, limits).select("row", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return again.where("copy is not null").select("row.*")
 
 
 #: The same rows in DuckDB.

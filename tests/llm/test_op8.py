@@ -60,3 +60,12 @@ def test_sources_come_near_their_targets(spark):
 def test_main_path_has_no_python(spark):
     plan = mixing.mix(spark.read.parquet(FOLDER + "/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_of_a_text_are_counted_once(spark, capsys):
+    rows = [(1, "a", " one\ttwo \x0b\x0c\r\n three\xa0four \x1cfive "), (2, "a", ""), (3, "a", " \n"), (4, None, None), (5, "b", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [r.n for r in df.orderBy("doc_id").select(mixing.word_count(F.col("text")).alias("n")).collect()] == [4, 0, 0, 0, 1]
+    mixing.mixed(df).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(") == 1 and "regexp_count" not in plan and "regexp_extract_all" not in plan
