@@ -1,9 +1,9 @@
 """Quality rules: fixed limits on rule statistics, then an isolation forest over them.
 
-The forest is grown on a bounded sample of labelled good documents with a few bad ones among them (so that there is
-something to split off); a document that random splits separate early is unlike good ones. How early is too early is
-calibrated on labelled rows: the limit that finds most bad ones while nearly all good ones stay. Without labels the
-forest is grown on any documents and rejects nothing.
+Every tree of the forest is grown on rows drawn from all labelled good documents with a few bad ones among them (so that
+there is something to split off); a document that random splits separate early is unlike good ones. How early is too
+early is calibrated on all labelled rows: the limit that finds most bad ones while nearly all good ones stay. Without
+labels the forest is grown on any documents and rejects nothing.
 """
 
 from __future__ import annotations
@@ -12,28 +12,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import SPACES, bounded, ids_and_text, text_bytes
+from corpusframe.llm.common import SPACES, bounded, ids_and_text, stored, text_bytes
+from corpusframe.operators.scale import in_ranges
 
 SYMBOLS = b"#*$%&|<>"
 #: Words of one window in the repeat rule.
 WINDOW = 5
-#: Documents, by hash of the id, the forest is grown on where no labels are.
-FOREST_ROWS = 1_024
 #: Bad rows among the good ones of a tree's sample.
 BAD_SHARE = 0.02
 TREES = 100
 ROWS_PER_TREE = 256
-#: Labelled documents, by hash of the id, the limit is calibrated on.
-LABELLED_ROWS = 6_000
 #: Share of the labelled good documents that a limit may reject at most.
 LOST_GOOD = 0.005
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_chars", "n_lines", "n_distinct", "n_digits", "n_upper", "n_stops"]
 STATISTICS = COUNTS + EXTRA
+#: What ``rules`` makes of them.
+FEATURES = 10
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _DIGITS = b"0123456789"
@@ -96,19 +95,38 @@ def rules(counts: dict) -> np.ndarray:
     ])
 
 
-def telling(rows: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """How often each feature is split on: by how well it alone orders labelled good and bad rows, all alike without both."""
-    if not good.any() or good.all():
-        return np.full(rows.shape[1], 1 / rows.shape[1])
-    apart = np.empty(rows.shape[1])
-    for f in range(rows.shape[1]):
-        values = np.sort(rows[good, f])
-        below = (np.searchsorted(values, rows[~good, f], "left") + np.searchsorted(values, rows[~good, f], "right")) / 2
-        apart[f] = abs(2 * below.mean() / len(values) - 1)
+def telling(rows: DataFrame) -> np.ndarray:
+    """How often each feature is split on: by how well it alone orders good and bad rows, all alike without both.
+
+    ``rows``: (good, features array), all labelled ones.
+    """
+    one = rows.select("good", F.posexplode("features").alias("feature", "value"))
+    told = _upto(one).groupBy("feature").agg(
+        F.sum(F.col("n_bad") * (F.col("good_upto") - F.col("n_good") / 2)).alias("below"),
+        F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad")).orderBy("feature").toPandas()
+    if not len(told) or not told["good"][0] or not told["bad"][0]:
+        return np.full(FEATURES, 1 / FEATURES)
+    apart = (2 * (told["below"].astype(float) / told["bad"]) / told["good"] - 1).abs().to_numpy()
     apart = np.maximum(apart, 0.02) ** 2
     return apart / apart.sum()
 
 
+def _upto(rows: DataFrame) -> DataFrame:
+    """feature, value, n_good, n_bad of rows (good, feature, value), with good_upto and bad_upto: at that value or below.
+
+    Values lie in ranges and only counts per range meet in one task.
+    """
+    n = rows.groupBy("feature", "value").agg(
+        F.count(F.when(F.col("good"), 1)).alias("n_good"), F.count(F.when(~F.col("good"), 1)).alias("n_bad"))
+    ranged = in_ranges(n, [F.col("feature"), F.col("value")])
+    earlier = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("feature", "_range").agg(F.sum("n_good").alias("g"), F.sum("n_bad").alias("b")).select(
+        "feature", "_range", F.coalesce(F.sum("g").over(earlier), F.lit(0)).alias("g"), F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("b"))
+    inside = Window.partitionBy("feature", "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumns({"_good": F.sum("n_good").over(inside), "_bad": F.sum("n_bad").over(inside)}).join(before, ["feature", "_range"]).select(
+        "feature", "value", "n_good", "n_bad", (F.col("_good") + F.col("g")).alias("good_upto"), (F.col("_bad") + F.col("b")).alias("bad_upto"))
+
+
 def _usual_depth(n):
     """Mean depth of a search among n rows: what is left below a leaf that holds n."""
     n = np.asarray(n, np.float64)
@@ -178,7 +196,7 @@ def grow(rows: np.ndarray, few: np.ndarray | None = None, often: np.ndarray | No
 def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = LOST_GOOD) -> float:
     """The score above which documents go: most bad ones found while at most ``lost`` of the good ones go.
 
-    Without labels of both kinds nothing goes.
+    Without labels of both kinds nothing goes. ``calibrated`` is the same over a table.
     """
     if not good.any() or good.all():
         return 1.0
@@ -190,6 +208,18 @@ def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = LOST_GOOD) ->
     return float(limits[len(limits) - 1 - worth[::-1].argmax()])
 
 
+def calibrated(scored: DataFrame, lost: float = LOST_GOOD) -> float:
+    """``calibrate`` over all rows (good, score) of a table."""
+    total = scored.agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad")).first()
+    if not total.good or not total.bad:
+        return 1.0
+    upto = _upto(scored.select("good", F.lit(0).alias("feature"), F.col("score").alias("value")))
+    gone_good, gone_bad = 1 - F.col("good_upto") / total.good, 1 - F.col("bad_upto") / total.bad
+    worth = F.when(gone_good <= lost, gone_bad - gone_good).otherwise(-1)
+    # Equal worth: the highest limit, which rejects least.
+    return upto.select("value", worth.alias("worth")).orderBy(F.desc("worth"), F.desc("value")).first().value
+
+
 def base_failed(counts: dict) -> np.ndarray:
     words = np.asarray(counts["n_words"])
     return (words < 10) | (100 * np.asarray(counts["n_repeat_words"]) > 20 * words)
@@ -207,46 +237,67 @@ def measured(docs: DataFrame) -> DataFrame:
     return ids_and_text(docs).mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in STATISTICS))
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+def _drawn(rows: DataFrame, which: Column) -> np.ndarray:
+    """Features of the rows a forest's trees are grown on: as many of all rows, by hash, as TREES samples hold."""
+    names = ["doc_id", *STATISTICS]
+    some = rows.where(which).select(names).orderBy(F.xxhash64(*names), *names).limit(TREES * ROWS_PER_TREE).toPandas().sort_values(names)
+    return rules(some)
+
+
+def _with_features(counted: DataFrame) -> DataFrame:
+    """good, and what the forest sees, of rows (good, STATISTICS)."""
+
+    def work(batches):
+        for batch in batches:
+            seen = rules({c: batch.column(c).to_numpy() for c in STATISTICS})
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(list(seen), pa.list_(pa.float64()))], ["good", "features"])
+
+    return counted.select("good", *STATISTICS).mapInArrow(work, "good boolean, features array<double>")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, score (of the forest) and kept for every document.
 
-    ``labels``: doc_id and quality (1 good, 0 bad); null ones teach nothing. FOREST_ROWS documents and LABELLED_ROWS
-    labelled ones, taken by a hash of the id, are measured first. Documents without a word fail the base rules;
-    repeated rows are judged alike; an empty table gives an empty one.
+    ``labels``: doc_id and quality (1 good, 0 bad); null ones teach nothing, and of several the least counts. Every
+    document is measured once and its counts are stored. How telling features are and the limit come from all labelled
+    documents that pass the base rules; every tree has its ROWS_PER_TREE drawn from all of them, as the method asks.
+    Documents without a word fail the base rules; repeated rows are judged alike; an empty table gives an empty one.
     """
-    texts = ids_and_text(docs)
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    counted = stored(measured(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    picked = known.orderBy(*by_hash).limit(LABELLED_ROWS).select("doc_id").distinct()
-    others = texts.select("doc_id").where("doc_id IS NOT NULL").orderBy(*by_hash).limit(FOREST_ROWS)
-    wanted = picked.withColumn("labelled", F.lit(True)).unionByName(others.withColumn("labelled", F.lit(False)))
-    wanted = wanted.groupBy("doc_id").agg(F.max("labelled").alias("labelled"))
-    seen = measured(_sample(texts, wanted)).join(F.broadcast(wanted), "doc_id").toPandas().sort_values(["doc_id", *STATISTICS]).head(2 * (FOREST_ROWS + LABELLED_ROWS))
-    quality = dict(known.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("quality")).toPandas().itertuples(index=False, name=None))
-    if len(seen):
-        rows = rules(seen)
-        passing = ~base_failed(seen)
-        # Only what the fixed limits let through is compared: the forest looks for what they do not see.
-        taught = passing & seen["labelled"].to_numpy()
-        good = np.array([quality.get(d) == 1 for d in seen["doc_id"]])
-        forest = grow(rows[taught & good], rows[taught & ~good], telling(rows[taught], good[taught])) if (taught & good).any() else grow(rows)
-        limit = calibrate(forest.score(rows[taught]), good[taught])
+    known = known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    # Only what the fixed limits let through is compared: the forest looks for what they do not see.
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    taught = stored(counted.where(~failed).join(known, "doc_id"))
+    good = _drawn(taught, F.col("good"))
+    if len(good):
+        features = stored(_with_features(taught))
+        forest = grow(good, _drawn(taught, ~F.col("good")), telling(features))
+        limit = calibrated(_scored(features, forest))
     else:
-        forest, limit = grow(np.zeros((1, 1))), 1.0
+        anything = _drawn(counted, F.col("doc_id").isNotNull())
+        forest, limit = grow(anything if len(anything) else np.zeros((1, 1))), 1.0
     shared = docs.sparkSession.sparkContext.broadcast((forest, limit))  # TREES trees of ROWS_PER_TREE rows
 
     def work(batches):
-        for batch in bounded(batches, "text"):
-            counts = {name: np.array(c, np.int64) for name, c in zip(STATISTICS, zip(*map(statistics_of, text_bytes(batch.column("text")))))}
-            failed = base_failed(counts)
-            model, most = shared.value
-            score = model.score(rules(counts))
+        model, most = shared.value
+        for batch in batches:
+            counts = {c: batch.column(c).to_numpy() for c in STATISTICS}
+            failed, score = base_failed(counts), model.score(rules(counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(counts[c]) for c in STATISTICS], pa.array(failed), pa.array(score), pa.array(~failed & (score <= most))],
+                [*batch.columns, pa.array(failed), pa.array(score), pa.array(~failed & (score <= most))],
                 ["doc_id", *STATISTICS, "base_failed", "score", "kept"])
 
-    return texts.mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in STATISTICS) + ", base_failed boolean, score double, kept boolean")
+    return counted.mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in STATISTICS) + ", base_failed boolean, score double, kept boolean")
+
+
+def _scored(features: DataFrame, forest: Forest) -> DataFrame:
+    """good, score of rows (good, features)."""
+    shared = features.sparkSession.sparkContext.broadcast(forest)
+
+    def work(batches):
+        for batch in batches:
+            seen = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(shared.value.score(seen))], ["good", "score"])
+
+    return features.mapInArrow(work, "good boolean, score double")

@@ -74,3 +74,25 @@ def test_strange_rows(spark):
         (0, True, False), (1, True, False), (2, True, False), (3, True, False), (4, False, True), (4, False, True)]
     assert quality.judge(df.limit(0), labels).count() == 0
     assert quality.judge(df, labels.limit(0)).count() == 6
+
+
+def test_models_come_from_all_labelled_rows(spark, monkeypatch):
+    n = 6_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a b c d e f g h i j k ', id, CASE WHEN id % 9 = 0 THEN ' ## $$ %% && 12' ELSE ' x' END) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 9 = 0 THEN 0 ELSE 1 END AS quality")
+    seen = []
+    calibrated, telling = quality.calibrated, quality.telling
+    monkeypatch.setattr(quality, "calibrated", lambda rows: seen.append(rows.count()) or calibrated(rows))
+    monkeypatch.setattr(quality, "telling", lambda rows: seen.append(rows.count()) or telling(rows))
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert seen == [n, n]
+    assert sum(kept[i] for i in range(n) if i % 9) >= 0.99 * n * 8 / 9
+
+
+def test_calibration_over_a_table(spark):
+    random = np.random.default_rng(3)
+    score, good = np.round(random.random(500), 2), random.random(500) < 0.8
+    table = spark.createDataFrame([(bool(g), float(s)) for g, s in zip(good, score)], "good boolean, score double")
+    for lost in (0.0, 0.005, 0.3):
+        assert quality.calibrated(table, lost) == quality.calibrate(score, good, lost)
+    assert quality.calibrated(table.where("good")) == 1.0
