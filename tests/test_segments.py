@@ -85,3 +85,19 @@ def test_segments_tombstones_and_merging(spark, frame, tmp_path):
     assert segments.read_index(spark, path).segments == (3,)
     empty = segments.refresh(segments.read_index(spark, path), chunks.where("false"))
     assert segments.search(asked(frame), empty, 4).count() == 0
+
+
+def test_a_search_moves_a_posting_once(frame, tmp_path, monkeypatch):
+    """However many questions need it; repeated chunks add up as before."""
+    chunks = library(frame, n=60)
+    index = segments.write_index(chunks.unionByName(chunks.where("document_id = '3'")), str(tmp_path / "index"))
+    seen = []
+    scored = keyword._scored_in_place
+    monkeypatch.setattr(keyword, "_scored_in_place", lambda rows, *more: seen.append(rows) or scored(rows, *more))
+    many = frame("question_id int, question string", [(i, " ".join(WORDS)) for i in range(30)])
+    hits = segments.search(many, index, 3)
+    moved = seen[-1].selectExpr("sum(size(gains)) AS n").first().n
+    assert moved <= index.blocks.selectExpr("sum(n) AS n").first().n
+    assert len({(r["rank"], r.chunk_id, r.score) for r in hits.collect()}) == 3
+    far = segments.search(many, index, 3, Config(resident_terms=0))
+    assert rows_of(far) == rows_of(hits)
