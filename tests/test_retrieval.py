@@ -3,6 +3,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +374,23 @@ def test_similar_reuse_needs_lifetimes(frame):
         reuse.reuse_similar(asked, cache, frame("question_id int", []))
     with pytest.warns(UserWarning):
         reuse.reuse_similar(asked.drop("asked_at"), cache, frame("question_id int", []))
+
+
+def test_vectors_meet_in_slices(frame, monkeypatch):
+    """Slices, and cuts between them, change nothing; no product holds more than a slice."""
+    rows = [(f"c{i:03}", f"d{i % 3}", [float(i % 17), float(i % 5)]) for i in range(200)]
+    chunks = frame("chunk_id string, document_id string, embedding array<float>", rows)
+    asked = frame("question_id int, embedding array<float>, k int", [(i, [float(i), 1.0], 1 + i % 4) for i in range(9)])
+    order = lambda hits: sorted((r.question_id, r["rank"], r.chunk_id, r.score) for r in hits.collect())
+    want = order(vector.nearest(asked, chunks))
+    monkeypatch.setattr(vector, "_ROWS", 7)
+    monkeypatch.setattr(vector, "_WAITING", 5)
+    assert order(vector.nearest(asked, chunks, config=Config(resident_questions=2, block_questions=4, block_vectors=50))) == want
+
+    class Wide(vector._Best):
+        def offer(self, members, left, right, allowed, ids):
+            assert len(right) <= 7 and all(len(column) == len(right) for column in ids)
+            super().offer(members, left, right, allowed, ids)
+
+    state = vector._Questions([(1, [0.0, 0.0], None, None, 3)], "l2")
+    vector._scan(state, pa.table({"c": [r[0] for r in rows], "d": [r[1] for r in rows], "s": pa.nulls(200, pa.string()), "e": [r[2] for r in rows]}), Wide(state))
