@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.operators import structure
+from corpusframe.operators.scale import in_steps
 from corpusframe.session import ship
 
 # Tried in order; the last one cuts between characters.
@@ -75,14 +76,19 @@ def split_text(body: str, size: int, overlap: int) -> list[tuple[int, str]]:
 
 
 def _splitter(size: int, overlap: int):
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (doc, section, number, start, piece)
-                for doc, section, body in batch.itertuples(index=False)
-                for number, (start, piece) in enumerate(split_text(body or "", size, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=["doc", "section_no", "piece_no", "start", "content"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_steps(batches, 2):
+            row, number, starts, pieces = [], [], [], []
+            for at, body in enumerate(batch.column(2).to_pylist()):
+                for place, (start, piece) in enumerate(split_text(body or "", size, overlap)):
+                    row.append(at)
+                    number.append(place)
+                    starts.append(start)
+                    pieces.append(piece)
+            of = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(number, pa.int32()), pa.array(starts, pa.int32()), pa.array(pieces, pa.string())],
+                ["doc", "section_no", "piece_no", "start", "content"])
 
     return split
 
@@ -98,7 +104,7 @@ def chunk_sections(
     """
     ship(sections.sparkSession)
     key_type = sections.schema[doc].dataType.simpleString()
-    pieces = sections.select(doc, "section_no", "text").mapInPandas(
+    pieces = sections.select(doc, F.col("section_no").cast("long"), "text").mapInArrow(
         _splitter(config.chunk_size, config.chunk_overlap),
         f"doc {key_type}, section_no long, piece_no int, start int, content string",
     )

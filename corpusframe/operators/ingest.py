@@ -6,12 +6,13 @@ from functools import reduce
 from html.parser import HTMLParser
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.config import DEFAULT, Config
 from corpusframe.functions import fixed, text
+from corpusframe.operators.scale import in_steps
 from corpusframe.session import ship
 
 BLOCK = "array<struct<text:string,page_number:int,heading_level:int>>"
@@ -359,26 +360,28 @@ class _Walk(HTMLParser):
                 self.found[block][1].append(data)
 
 
-def _walk_html(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, html in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+def _walk_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_steps(batches, 1):
+        page, pos, raw, level = [], [], [], []
+        for at, html in enumerate(batch.column(1).to_pylist()):
             walk = _Walk()
             walk.feed(html or "")
             walk.close()
-            for pos, (tag, parts) in enumerate(walk.found):
-                level = int(tag[1]) if tag[0] == "h" else None
-                rows.append((key, pos, "\n".join(parts), level))
-        yield pd.DataFrame(rows, columns=["doc", "pos", "raw", "heading_level"]).astype(
-            {"heading_level": "Int32"}
-        )
+            for number, (tag, parts) in enumerate(walk.found):
+                page.append(at)
+                pos.append(number)
+                raw.append("\n".join(parts))
+                level.append(int(tag[1]) if tag[0] == "h" else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(page, pa.int32())), pa.array(pos, pa.int32()), pa.array(raw, pa.string()), pa.array(level, pa.int32())],
+            ["doc", "pos", "raw", "heading_level"])
 
 
 def blocks_from_html(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """h1-h6, p, li, pre, table and blockquote in order; nested ones belong to their owner."""
     ship(pages.sparkSession)
     key_type = pages.schema[page_id].dataType.simpleString()
-    walked = pages.select(page_id, html).mapInPandas(
+    walked = pages.select(page_id, html).mapInArrow(
         _walk_html, f"doc {key_type}, pos int, raw string, heading_level int"
     )
     return (

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusframe.config import Config
-from corpusframe.operators import chunking, ingest, structure
+from corpusframe.operators import chunking, ingest, scale, structure
 
 
 def blocks(frame, rows, doc="d"):
@@ -158,3 +159,15 @@ def test_gates_and_dedup(frame):
     assert {r.reject_reason for r in ingest.gate_files(batch, batch="request").collect()} == {"too_many_files"}
     docs = frame("id int, h string", [(1, "x"), (2, "y"), (3, "x"), (4, "x")])
     assert {r.id: r.duplicate_of for r in ingest.dedup_exact(docs, "h", "id").collect()} == {1: None, 2: None, 3: 1, 4: 1}
+
+
+def test_pages_and_sections_are_read_in_steps(frame, monkeypatch):
+    """A batch is worked on in parts of bounded text; rows without text and long ones included."""
+    texts = ["<h1>T</h1><p>" + "word " * n + "</p>" for n in (1, 500, 3, 400, 2)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["page_id", "html"])
+    monkeypatch.setattr(scale, "STEP_BYTES", 100)
+    steps = list(scale.in_steps(iter([batch]), 1))
+    assert [s.num_rows for s in steps] == [1, 1, 1, 1, 3]
+    assert pa.Table.from_batches(steps).equals(pa.Table.from_batches([batch]))
+    parts = list(ingest._walk_html(iter([batch])))
+    assert [p.num_rows for p in parts] == [2, 2, 2, 2, 2]
