@@ -9,7 +9,7 @@ rule out, so its answer is that of the full scan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ _ROWS = "list int, away double, chunk_id string, document_id string, section_id
 _STORED = "share int, chunk_id string, document_id string, section_id string, embedding array<double>, list int"
 #: Rounds of refinement of the centroids over the sample.
 ROUNDS = 12
+#: Questions whose distances to all centroids are worked out at once.
+_STEP = 256
 
 
 @dataclass(frozen=True)
@@ -207,52 +209,148 @@ def search(
     spark, limit = questions.sparkSession, top or config.top_k
     ship(spark)
     asked = questions.where(F.size("embedding") > 0).select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    known = index.centroids.select("list", "centre", "radius", "shares").collect()
-    shared = spark.sparkContext.broadcast(_Centroids([(r["list"], r["centre"]) for r in known if r["list"] >= 0]))
-    first = _probed(asked, shared, probes or index.probes).select("question_id", "embedding", "list")
+    known, first = index.centroids.collect(), probes or index.probes
     order = [F.asc("score"), F.asc("chunk_id")]
-    found = _inside(settle(first) if certified else first, index, known, limit, config)
+    found = _inside(asked.withColumn("worst", F.lit(None).cast("double")), index, known, (0, first), limit, config)
     if not certified:
         return top_k(found, ["question_id"], order, limit)
     found = settle(found)
-    radii = F.broadcast(index.centroids.select("list", "radius"))
     reached = top_k(found, ["question_id"], order, limit).groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("score").alias("_worst"))
-    limits = reached.where(F.col("_n") == limit).select("question_id", F.sqrt("_worst").alias("_limit"))
-    every = _probed(asked, shared, None).where(F.col("place") > (probes or index.probes))
-    # The margin covers the rounding of distances; a list too many costs time only.
-    open_ = every.join(radii, "list").join(limits, "question_id", "left").where(
-        F.col("_limit").isNull() | (F.col("gap") - F.col("radius") <= F.col("_limit") + 1e-4 * (1 + F.col("gap"))))
-    more = _inside(settle(open_.select("question_id", "embedding", "list")), index, known, limit, config)
+        F.count(F.lit(1)).alias("_n"), F.max("score").alias("worst"))
+    limits = reached.where(F.col("_n") == limit).select("question_id", "worst")
+    again = settle(asked.join(limits, "question_id", "left"))
+    # With a distance to beat few rows are kept, so more questions fit into a block and the lists' rows move less often.
+    more = _inside(again, index, known, (first, len(known)), limit, replace(config, block_questions=4 * config.block_questions))
     return top_k(found.unionByName(more), ["question_id"], order, limit)
 
 
-def _inside(probed: DataFrame, index: VectorLists, known: list, limit: int, config: Config) -> DataFrame:
-    """The best rows of every question in every list it reads; a share of a list meets a bounded block of questions."""
-    spark = probed.sparkSession
-    # At most max_lists numbers: the folders to read, and how many blocks of questions each has.
-    counts = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    stored = {r["list"]: r["shares"] for r in known}
-    reading = [
-        (number, stored[number], -(-n // config.block_questions)) for number, n in sorted(counts.items()) if number in stored]
-    plan, blocks = (F.broadcast(spark.createDataFrame(reading, "list int, shares int, blocks int")) for _ in range(2))
+def _reads(centroids: _Centroids, radii: dict[int, float], matrix: np.ndarray, worst: np.ndarray, places: tuple[int, int]):
+    """(list numbers, which of them every row reads): the nearest ones from one place to another, without those that hold
+    nothing as near as the row's ``worst`` (squared; NaN where none is known)."""
+    numbers, away = centroids.distances(matrix)
+    if not len(numbers):
+        numbers, away = np.array([-1 - matrix.shape[1]]), np.zeros((len(matrix), 1))
+    place = np.empty(away.shape, dtype=np.int64)
+    np.put_along_axis(place, np.argsort(away, axis=1, kind="stable"), np.arange(len(numbers))[None, :], 1)
+    # The margin covers the rounding of distances; a list too many costs time only.
+    radius = np.array([radii.get(int(n), 0.0) for n in numbers])
+    far = away - radius > np.sqrt(worst)[:, None] + 1e-4 * (1 + away)
+    return numbers, (place >= places[0]) & (place < places[1]) & ~far
+
+
+def _reading(batches, shared, radii: dict[int, float], places: tuple[int, int]):
+    """(row numbers, list numbers, which lists each of them reads) of bounded parts of batches of embedding and worst."""
+    for batch in batches:
+        worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)
+        for at, matrix in vector._vectors(batch.column("embedding")):
+            for low in range(0, len(at), _STEP):
+                some = at[low:low + _STEP]
+                yield batch, some, *_reads(shared.value, radii, matrix[low:low + _STEP], worst[some], places)
+
+
+def _bundles(known: list, counts: dict[int, int], asked: int, cores: int, config: Config) -> list[tuple[int, int, int, int]]:
+    """(list, bundle, shares, blocks of questions) of the lists read: lists beside each other make one bundle.
+
+    A question then moves once per bundle and keeps k rows there, however many lists it reads. A bundle holds no more rows
+    than a share of a list may; a list of several shares is a bundle of its own.
+    """
+    reading = {r["list"]: r for r in known if r["list"] in counts}
+    blocks = -(-asked // config.block_questions)
+    # Few rows make bundles enough for all cores, many are bounded by what a task may hold.
+    fair = -(-sum(r["rows"] for r in reading.values()) * max(blocks, 1) // (2 * cores))
+    plan, bundle = [], -1
+    for width in sorted({r["width"] for r in reading.values()}):
+        values = max(1, config.block_values // width)
+        most, block = max(1, min(config.block_vectors, values, fair)), min(config.block_questions, values)
+        left = {n: np.array(r["centre"]) for n, r in sorted(reading.items()) if r["width"] == width}
+        members: list[list[int]] = []
+        held, here = 0, next(iter(left.values()))
+        while left:
+            numbers = list(left)
+            number = numbers[int(((np.array(list(left.values())) - here) ** 2).sum(1).argmin())]
+            here, row = left.pop(number), reading[number]
+            alone = row["shares"] > 1
+            if not members or alone or held + row["rows"] > most:
+                members.append([])
+                held = 0
+            members[-1].append(number)
+            held = most if alone else held + row["rows"]
+        for some in members:
+            bundle += 1
+            asking = min(asked, sum(counts[n] for n in some))
+            plan += [(n, bundle, reading[n]["shares"], -(-asking // block)) for n in some]
+    return plan
+
+
+def _inside(asked: DataFrame, index: VectorLists, known: list, places: tuple[int, int], limit: int, config: Config) -> DataFrame:
+    """The best rows of every question in the lists it reads; a bundle of lists meets a bounded block of questions.
+
+    asked(question_id, embedding, worst): rows farther than ``worst`` may be left out. ``places``: see ``_reads``.
+    """
+    spark = asked.sparkSession
+    shared = spark.sparkContext.broadcast(_Centroids([(r["list"], r["centre"]) for r in known if r["list"] >= 0]))
+    radii = {r["list"]: r["radius"] for r in known}
+
+    def count(batches):
+        for batch, some, numbers, reads in _reading(batches, shared, radii, places):
+            # The questions themselves count under no list.
+            yield pa.RecordBatch.from_arrays([
+                pa.array([*numbers.tolist(), None], pa.int32()), pa.array([*reads.sum(0).tolist(), len(some)], pa.int64())], names=["list", "n"])
+
+    # At most max_lists numbers: the folders to read, and how many questions read each.
+    rows = asked.select("embedding", "worst").mapInArrow(count, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()
+    counts = {r["list"]: r["n"] for r in rows if r["list"] in radii and r["n"]}
+    total = sum(r["n"] for r in rows if r["list"] is None)
+    plan = _bundles(known, counts, total, spark.sparkContext.defaultParallelism, config)
+    members: dict[int, list[int]] = {}
+    for number, bundle, *_ in plan:
+        members.setdefault(bundle, []).append(number)
+    home = {number: bundle for number, bundle, *_ in plan}
+    schema_in = T.StructType([
+        asked.schema["question_id"], asked.schema["embedding"], asked.schema["worst"],
+        T.StructField("bundle", T.IntegerType()), T.StructField("reads", T.BinaryType())])
+
+    def place(batches):
+        for batch, some, numbers, reads in _reading(batches, shared, radii, places):
+            column = {int(n): i for i, n in enumerate(numbers)}
+            for bundle in sorted({home[n] for n in column if n in home}):
+                bits = reads[:, [column[n] for n in members[bundle]]]
+                who = np.flatnonzero(bits.any(1))
+                if not len(who):
+                    continue
+                packed = [row.tobytes() for row in np.packbits(bits[who], axis=1)]
+                took = batch.take(pa.array(some[who]))
+                yield pa.RecordBatch.from_arrays([
+                    *[took.column(i) for i in range(3)], pa.array(np.full(len(who), bundle), pa.int32()), pa.array(packed, pa.binary())],
+                    names=schema_in.names)
+
+    of_list = F.broadcast(spark.createDataFrame([(n, b, k) for n, b, _, k in plan], "list int, bundle int, blocks int"))
+    of_bundle = F.broadcast(spark.createDataFrame(list(dict.fromkeys(p[1:] for p in plan)), "bundle int, shares int, blocks int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probed.join(plan, "list").withColumn("share", every("shares")).withColumn(
-        "block", F.pmod(F.xxhash64("question_id"), F.col("blocks")).cast("int"))
-    right = index.rows.where(F.col("list").isin([number for number, *_ in reading])).join(
-        blocks.drop("shares"), "list").withColumn("block", every("blocks"))
+    left = asked.select("question_id", "embedding", "worst").mapInArrow(place, schema_in).join(of_bundle, "bundle").withColumn(
+        "share", every("shares")).withColumn("block", F.pmod(F.xxhash64("question_id"), F.col("blocks")).cast("int"))
+    right = index.rows.where(F.col("list").isin(list(home))).join(of_list, "list").withColumn("block", every("blocks"))
     out = T.StructType([
-        probed.schema["question_id"], T.StructField("chunk_id", T.StringType()), T.StructField("document_id", T.StringType()),
+        asked.schema["question_id"], T.StructField("chunk_id", T.StringType()), T.StructField("document_id", T.StringType()),
         T.StructField("section_id", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("k", T.LongType())])
     schema = vector._arrow_schema(out)
 
     def meet(asking: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, vectors = asking.column("question_id").to_pylist(), asking.column("embedding").to_pylist()
+        ids, vectors = asking.column("question_id").to_pylist(), [None] * asking.num_rows
+        for at, matrix in vector._vectors(asking.column("embedding")):
+            for i, value in zip(at, matrix):
+                vectors[i] = value
+        worst = asking.column("worst").to_numpy().astype(np.float64)
         state = vector._Questions([(i, v, None, None, limit) for i, v in zip(ids, vectors)], "l2")
-        best = vector._Best(state)
+        best = vector._Best(state, np.where(np.isnan(worst), np.inf, worst))
         if ids and rows.num_rows:
-            vector._scan(state, rows.select(["chunk_id", "document_id", "section_id", "embedding"]), best)
+            some = members[asking.column("bundle")[0].as_py()]
+            bits = np.unpackbits(np.frombuffer(b"".join(asking.column("reads").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
+            of = rows.column("list").to_numpy()
+            for column, number in enumerate(some):
+                here = rows.select(["chunk_id", "document_id", "section_id", "embedding"]).take(pa.array(np.flatnonzero(of == number)))
+                vector._scan(state, here, best, bits[:, column] == 1)
         return pa.Table.from_batches([vector._emit(state, best, schema)])
 
-    keys = ["list", "share", "block"]
+    keys = ["bundle", "share", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out).drop("k")

@@ -74,3 +74,29 @@ def test_long_vectors_keep_their_distances(frame):
     asked = frame("question_id int, embedding array<double>", [(0, points[0].tolist())])
     want = sorted((round(float(((points[0] - p) ** 2).sum()), 9), f"{i:02}") for i, p in enumerate(points))[:5]
     assert [(r.score, r.chunk_id) for r in vector.nearest(asked, chunks).orderBy("rank").collect()] == want
+
+
+def test_a_question_moves_once_for_lists_beside_each_other():
+    rng = np.random.default_rng(4)
+    known = [{"list": i, "width": 2, "rows": 100, "shares": 1, "centre": rng.normal(size=2).tolist()} for i in range(100)]
+    known.append({"list": 100, "width": 2, "rows": 5000, "shares": 5, "centre": [0.0, 0.0]})
+    config = Config(block_vectors=1000, block_questions=50)
+    plan = lists._bundles(known, {r["list"]: 400 for r in known}, 500, 4, config)
+    assert sorted(p[0] for p in plan) == list(range(101))
+    sizes = {}
+    for number, bundle, _, blocks in plan:
+        sizes.setdefault(bundle, []).append(number)
+        assert blocks == (8 if number == 100 else 10)
+    assert [100] in sizes.values() and len(sizes) <= 12
+    assert all(len(some) <= 10 for some in sizes.values())
+
+
+def test_few_rows_wait_per_question(frame, tmp_path):
+    """All lists of a bundle together leave k rows of a question, not k rows each."""
+    chunks, asked = clustered(frame)
+    index = lists.write_lists(chunks, str(tmp_path / "lists"), Config(max_lists=200, list_sample=600))
+    known = index.centroids.collect()
+    # Many questions by their number: bundles are as large as allowed.
+    found = lists._inside(asked.where("embedding is not null").withColumn("worst", F.lit(None).cast("double")), index, known,
+                          (0, len(known)), 4, Config(block_questions=1))
+    assert len(known) > 12 and found.groupBy("question_id").count().agg(F.max("count")).first()[0] <= 4 * 2
