@@ -74,6 +74,12 @@ def test_runs_append_by_day(spark, frame, tmp_path):
     assert spark.read.parquet(path).count() == 20
 
 
+def test_a_day_of_runs_is_not_a_file_of_every_task(frame, tmp_path):
+    rows = frame("run_id int, created_at timestamp", [(i, START + timedelta(days=i % 30)) for i in range(600)]).repartition(8)
+    tables.append_runs(rows, str(tmp_path / "runs"))
+    assert len(list((tmp_path / "runs").glob("day=*/*.parquet"))) == len(list((tmp_path / "runs").glob("day=*"))) >= 30
+
+
 def stream_of(spark, frame, schema, rows, path):
     frame(schema, rows).write.mode("append").parquet(str(path))
     return spark.readStream.schema(schema).parquet(str(path))
