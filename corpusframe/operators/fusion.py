@@ -234,7 +234,7 @@ def merge_tools(lists: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def compare(
     questions: DataFrame, chunks: DataFrame, compositions: list, docs: DataFrame | None = None,
-    top: int | None = None, config: Config = DEFAULT,
+    top: int | None = None, config: Config = DEFAULT, index: keyword.KeywordIndex | None = None,
 ) -> DataFrame:
     """The same questions through two to six compositions, keyed by composition id.
 
@@ -243,7 +243,7 @@ def compare(
     if not 2 <= len(compositions) <= 6:
         raise ValueError("compare takes two to six compositions")
     arms = [ordered_retrievers(names) for names in compositions]
-    return _routed(questions, chunks, arms, docs, None, top, config, settle)
+    return _routed(questions, chunks, arms, docs, index, top, config, settle)
 
 
 def composition_metrics(runs: DataFrame) -> DataFrame:

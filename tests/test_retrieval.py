@@ -394,3 +394,17 @@ def test_vectors_meet_in_slices(frame, monkeypatch):
 
     state = vector._Questions([(1, [0.0, 0.0], None, None, 3)], "l2")
     vector._scan(state, pa.table({"c": [r[0] for r in rows], "d": [r[1] for r in rows], "s": pa.nulls(200, pa.string()), "e": [r[2] for r in rows]}), Wide(state))
+
+
+@pytest.mark.parametrize("vectors", [[1, 2, 3, None, None], [1, 1, 1, 2, 7, None, None]])
+def test_texts_of_chunks_stay_where_they_lie(spark, frame, tmp_path, vectors):
+    """The rows that the join with the vectors gives, which moves no text unless an id has several vectors."""
+    from corpusframe.plans import model_tables
+
+    docs = [(1, "a b", 3), (1, "c", 1), (2, None, None), (3, "d", 1), (4, "e", 1), (None, "f", 1)]
+    frame("doc_id bigint, text string, n_chars int", docs).write.parquet(str(tmp_path / "documents.parquet"))
+    frame("vec_id bigint, embedding array<float>, label int", [(v, [1.0], 0) for v in vectors]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    texts = model_tables.chunk_texts(spark, str(tmp_path))
+    key = lambda df: sorted(map(repr, df.select(texts.columns).collect()))
+    assert key(texts) == key(model_tables.chunks(spark, str(tmp_path)))
+    assert ("Join" in texts._jdf.queryExecution().optimizedPlan().toString()) == (vectors.count(1) > 1)
