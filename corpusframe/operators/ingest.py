@@ -126,6 +126,11 @@ def duplicates_report(
     )
 
 
+def _held(value: Column, use) -> Column:
+    """use(value), the value being worked out once: an expression named in a lambda would be worked out at every call of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _groups(lines: Column, starts) -> Column:
     """The array cut before every index that ``starts(line, line before, index)`` accepts; nothing is ever shuffled.
 
@@ -134,7 +139,8 @@ def _groups(lines: Column, starts) -> Column:
     """
     places = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
     cuts = F.filter(places, lambda i: starts(F.get(lines, i), F.get(lines, i - 1), i))
-    return F.transform(cuts, lambda cut, at: F.slice(lines, cut + 1, F.coalesce(F.get(cuts, at + 1), F.size(lines)) - cut))
+    return _held(cuts, lambda cuts: F.transform(
+        cuts, lambda cut, at: F.slice(lines, cut + 1, F.coalesce(F.get(cuts, at + 1), F.size(lines)) - cut)))
 
 
 def _block(value: Column, level: Column) -> Column:
@@ -244,11 +250,15 @@ def _kinds(raw: Column, fences: Column) -> Column:
     return F.transform(raw, kind)
 
 
-def _markdown_blocks(group: Column) -> Column:
-    """The blocks of one group."""
+def _written(group: Column) -> Column:
+    """The lines of a group that are not blank."""
+    return F.filter(F.transform(group, lambda g: g["line"]), lambda value: text.strip(value) != "")
+
+
+def _markdown_blocks(group: Column, lines: Column) -> Column:
+    """The blocks of one group, ``lines`` being its ``_written`` ones."""
     first = F.get(group, F.lit(0))
     line = first["line"]
-    lines = F.filter(F.transform(group, lambda g: g["line"]), lambda value: text.strip(value) != "")
     second = F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
     whole = F.array_join(lines, "\n")
     none = F.lit(None)
@@ -291,7 +301,8 @@ def blocks_from_markdown(docs: DataFrame, doc_id: str = "document_id", content:
         "_groups": _markdown_groups(F.col("_lines")),
     })
     groups = staged.select(doc_id, F.posexplode_outer("_groups").alias("at", "group")).where("at is not null")
-    parts = groups.select(doc_id, "at", F.posexplode_outer(_markdown_blocks(F.col("group"))).alias("inner", "block"))
+    written = groups.withColumn("_written", _written(F.col("group")))
+    parts = written.select(doc_id, "at", F.posexplode_outer(_markdown_blocks(F.col("group"), F.col("_written"))).alias("inner", "block"))
     kept = parts.where("block.text <> ''").select(doc_id, "at", "inner", "block.*")
     order = Window.partitionBy(doc_id).orderBy("at", "inner")
     return kept.select(

@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusframe.config import Config
@@ -94,3 +96,13 @@ def test_stack_of_any_depth(frame):
     df = frame("document_id string, pos int, text string, page_number int, heading_level int", rows)
     tree = structure.section_tree(df.withColumn("path", F.lit(1)).drop("path"))
     assert {(r.document_id, r.section_no): (r.parent_section_id, len(r.path)) for r in tree.collect()} == want
+
+
+@pytest.mark.parametrize("reader", [ingest.blocks_from_text, ingest.blocks_from_markdown])
+def test_long_documents_take_time_by_their_lines(frame, reader):
+    """The cuts between groups are worked out once per document, not once for each of its groups."""
+    text = "\n\n".join(f"the {i}th paragraph, in two\nlines." for i in range(6000))
+    began = time.perf_counter()
+    rows = reader(frame("document_id int, content string", [(1, text)])).agg(F.count("*").alias("n"), F.max("pos").alias("last")).first()
+    assert rows["n"] == 6000 and rows["last"] == 5999
+    assert time.perf_counter() - began < 30
