@@ -156,8 +156,8 @@ def _staged(docs: DataFrame, keys: list[str], columns: dict[str, Column]) -> Dat
 
 def _plain(lines: Column) -> Column:
     """Lines of plain text as structs of the stripped line and its heading level."""
-    return F.transform(lines, lambda line: F.struct(
-        text.strip(line).alias("line"), text.heading_level(text.strip(line)).alias("level")))
+    return F.transform(F.transform(lines, text.strip), lambda line: F.struct(
+        line.alias("line"), text.heading_level(line, stripped=True).alias("level")))
 
 
 def _plain_groups(lines: Column) -> Column:

@@ -8,6 +8,7 @@ from corpusframe.operators import chunking, ingest, routing, structure
 from corpusframe.plans import model_tables as m
 from corpusframe.plans.model_sql import ASKED, TOK, define, sql_list
 from corpusframe.plans.registry import query
+from corpusframe.session import settle
 from corpusframe.sources.tables import read_table
 
 
@@ -472,8 +473,9 @@ def chunk_windows(spark, d):
 def chunk_sections(spark, d):
     """Documents to blocks, sections and recursive chunks with their pages (tested by brute force)."""
     docs = m.texts(spark, d)
-    blocks = ingest.blocks_from_text(docs, "doc_id", "text").withColumn("page_number", (F.floor(F.col("pos") / 5) + 1).cast("int"))
-    chunks = chunking.chunk_sections(structure.section_text(blocks, "doc_id"), "doc_id")
+    # Texts are read once for the sections' text and the spans of their blocks, and cut once for chunks and their pages.
+    blocks = settle(ingest.blocks_from_text(docs, "doc_id", "text").withColumn("page_number", (F.floor(F.col("pos") / 5) + 1).cast("int")))
+    chunks = settle(chunking.chunk_sections(structure.section_text(blocks, "doc_id"), "doc_id"))
     spans = chunking.block_spans(structure.section_blocks(blocks, "doc_id"), "doc_id")
     pages = chunking.chunk_pages(chunks, spans, "doc_id").select("doc_id", "section_no", "chunk_index", "page_number")
     return chunks.join(pages, ["doc_id", "section_no", "chunk_index"])

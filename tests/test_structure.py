@@ -171,3 +171,13 @@ def test_pages_and_sections_are_read_in_steps(frame, monkeypatch):
     assert pa.Table.from_batches(steps).equals(pa.Table.from_batches([batch]))
     parts = list(ingest._walk_html(iter([batch])))
     assert [p.num_rows for p in parts] == [2, 2, 2, 2, 2]
+
+
+def test_sections_are_read_and_cut_once(spark):
+    """What is left to do after the blocks and the chunks have been settled reads no text and cuts none."""
+    from corpusframe.plans import catalog
+
+    chunks = catalog.QUERIES["chunk_sections"](spark, "/root/testdata/sf0.001")
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" not in plan.lower()
+    assert chunks.count() > 0
