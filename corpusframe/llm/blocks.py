@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import stored
+from corpusframe.llm.common import bucket_count, stored
 
 #: Packs whose keys one share holds, on average: what bounds a share's memory.
 PACKS_PER_SHARE = 4
@@ -99,9 +99,9 @@ def answered(asks: DataFrame, bits: int, kind, combine: Callable) -> DataFrame:
     return stored(met.mapInArrow(work, "gid long, topic int, share long, answer binary"))
 
 
-def gathered(answers: DataFrame) -> DataFrame:
-    """One row per pack: gid and what it was answered."""
-    return answers.groupBy("gid").agg(F.collect_list(F.struct("topic", "share", "answer")).alias("answers"))
+def gathered(answers: DataFrame, packs: DataFrame) -> DataFrame:
+    """One row per pack: gid and what it was answered, dealt like the buckets of ``packs``, so that these do not move."""
+    return answers.repartition(bucket_count(packs), "gid").groupBy("gid").agg(F.collect_list(F.struct("topic", "share", "answer")).alias("answers"))
 
 
 def read_answers(answers, kind) -> dict[int, np.ndarray]:

@@ -187,7 +187,7 @@ def score(docs: DataFrame) -> DataFrame:
     answers, unknown, train_tokens = None, None, 0
 
     def met() -> DataFrame:
-        return packs.withColumn("answers", F.lit(None).cast(f"array<{_ANSWER}>")) if answers is None else packs.join(gathered(answers), "gid", "left")
+        return packs.withColumn("answers", F.lit(None).cast(f"array<{_ANSWER}>")) if answers is None else packs.join(gathered(answers, packs), "gid", "left")
 
     # Occurrences of a level are asked one step before its kinds, those one before its gains.
     for _ in range(DEPTH + 3):

@@ -1,10 +1,12 @@
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusframe.llm import blocks, common
 from corpusframe.llm import op5_pst as pst
 from corpusframe.llm.queries import QUERIES
 
@@ -83,3 +85,39 @@ def test_strange_rows(spark):
     untaught = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (only,) = pst.score(spark.createDataFrame([(untaught, "a b")], "doc_id long, text string")).collect()
     assert only.n_known == 0 and only.train_tokens == 0 and only.score == only.base_score == 0
+
+
+def test_packs_stay_in_their_buckets(spark):
+    rows = [(i, f"one two three {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packs = common.in_buckets(df.mapInArrow(pst._packs, "gid long, body binary"), 8)
+    answers = spark.createDataFrame([(r.gid, 0, 0, b"") for r in packs.collect()], f"gid long, {pst._ANSWER[7:-1]}")
+    assert common.bucket_count(packs) == 8
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = packs.join(blocks.gathered(answers, packs), "gid", "left")
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert met.where("answers is not null").count() == 3
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    before, setting = shuffled(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(setting, None)
+    table = common.stored(spark.range(1000).repartition(5, "id"))
+    packs = common.in_buckets(spark.range(1000).selectExpr("id AS gid", "'x' AS body"), 8)
+    for _ in range(100):
+        if not (left := shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    assert table.count() == packs.count() == 1000 and spark.conf.get(setting, None) == given
+    assert not left
