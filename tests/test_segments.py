@@ -101,3 +101,21 @@ def test_a_search_moves_a_posting_once(frame, tmp_path, monkeypatch):
     assert len({(r["rank"], r.chunk_id, r.score) for r in hits.collect()}) == 3
     far = segments.search(many, index, 3, Config(resident_terms=0))
     assert rows_of(far) == rows_of(hits)
+
+
+def test_counts_and_blocks_are_laid_in_batches(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK", 3)
+    monkeypatch.setattr(segments, "TEXT", 40)
+    odd = [("x:1", "x", None), ("x:2", "x", " \n"), (None, None, "Leave LEAVE İstanbul 4K Straße"), ("x:2", "x", "leave-leaveéleave 日本 leave"), ("x:3", "x", "ſ ΑΣ a" + " b2" * 50)]
+    chunks = library(frame, n=60).unionByName(frame("chunk_id string, document_id string, content string", odd)).coalesce(2)
+    order = lambda rows: sorted(map(str, rows))
+    counted = segments._counted(chunks)
+    assert order(counted.collect()) == order(keyword.counted(chunks).collect())
+    assert segments._counted(chunks.limit(0)).count() == 0
+    index = segments.write_index(chunks, str(tmp_path / "index"))
+    blocks = index.blocks.collect()
+    held = [(b.term, p.chunk_id, p.document_id, p.tf, p.dl) for b in blocks for p in b.postings]
+    assert order(held) == order(tuple(r) for r in keyword.postings_of(chunks).collect())
+    for b in blocks:
+        assert len(b.postings) == b.n <= 3 and b.max_tf == max(p.tf for p in b.postings) and b.min_dl == min(p.dl for p in b.postings)
+    assert {b.bucket for b in blocks} <= set(range(segments.BUCKETS)) and len({b.level for b in blocks}) > 1
