@@ -41,7 +41,8 @@ _ANSWER = "struct<topic:int,share:bigint,answer:binary>"
 
 def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A hash of a context's key and the next word's."""
-    h = context * np.uint64(0x9E3779B97F4A7C15) + word
+    h = context * np.uint64(0x9E3779B97F4A7C15)
+    h += word
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -81,7 +82,7 @@ def _packs(batches):
 
 
 class Tokens:
-    """The tokens of one pack: places among its words, places within documents, and which of them teach."""
+    """The tokens of one pack: places among its words, which of them teach, and which another of their document follows."""
 
     def __init__(self, blob: bytes) -> None:
         table = from_blob(blob)
@@ -89,13 +90,17 @@ class Tokens:
         self.ids, self.sizes = lists["documents"].field("doc_id").to_pylist(), lists["documents"].field("size").to_numpy()
         self.words, self.tokens = lists["words"].to_numpy(), lists["tokens"].to_numpy()
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.sizes)
+        self.goes_on = np.ones(len(self.tokens), bool)
+        self.goes_on[self.first + self.sizes - 1] = False
         self.held_out = crc_rest(self.ids, MODULUS) == HELD_OUT
-        self.teaches = np.repeat(~self.held_out, self.sizes).astype(np.float64)
+        self.teaches = np.repeat(~self.held_out, self.sizes)
 
 
 class Walk:
-    """How far the answers carry one pack: probabilities by the longest states known, and what to ask next."""
+    """How far the answers carry one pack: probabilities by the longest states known, and what to ask next.
+
+    Of each level only the places of its grams are held, as 32-bit numbers: a pack's tokens are many.
+    """
 
     def __init__(self, tokens: Tokens, answers: dict[int, np.ndarray], unknown: float | None) -> None:
         self.asks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,16 +110,15 @@ class Walk:
             self.asks[SEEN] = grams, np.bincount(which, tokens.teaches, len(grams))
             return
         seen, _ = _seen(answers[SEEN])
-        self.counts = seen[which]
-        self.chance = (self.counts + 1) * unknown
-        word = grams[which]
-        key, often, settled = word, self.counts >= LEAST_SEEN, True
+        self.counts = seen
+        self.chance = ((seen + 1) * unknown)[which]
+        at, settled = np.arange(len(which), dtype=which.dtype), True
         for level in range(1, DEPTH + 1):
             # Grams of one word more end where the gram before is a candidate.
-            at = np.flatnonzero(often[:-1] & (tokens.place[1:] >= level)) + 1
-            found, example, number = distinct(_mix(key[at - 1], word[at]))
-            example = at[example]
-            contexts, _, context = distinct(which[example - 1])
+            more = (seen >= LEAST_SEEN)[which] & tokens.goes_on[at]
+            context, at = which[more], at[more] + 1
+            found, example, number = distinct(_mix(grams[context], tokens.words[tokens.tokens[at]]))
+            contexts, _, context = distinct(context[example])
             names, total = grams[contexts], seen[contexts]
             asked = 3 * level
             if not len(found):
@@ -128,7 +132,7 @@ class Walk:
                 settled = False
             elif settled:
                 kinds = answers[asked + KINDS]
-                before = self.chance[example]
+                before = self.chance[at[example]]
                 chance = (seen + kinds[context] * before) / (total + kinds)[context]
                 if asked + GAINS not in answers:
                     own = np.bincount(number, tokens.teaches[at], len(found))
@@ -138,12 +142,7 @@ class Walk:
                     retained = (answers[asked + GAINS] > LEAST_GAIN * kinds)[context]
                     kept = retained[number]
                     self.chance[at[kept]] = chance[number[kept]]
-            if level == DEPTH:
-                return
-            grams, often = found, np.zeros(len(word), bool)
-            often[at] = (seen >= LEAST_SEEN)[number]
-            key, which = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
-            key[at], which[at] = found[number], number
+            grams, which = found, number
 
 
 def _seen(answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +170,8 @@ def _walks(batches, unknown: float | None):
         for i in range(batch.num_rows):
             tokens = Tokens(batch.column("body")[i].as_py())
             yield batch.column("gid")[i].as_py(), tokens, Walk(tokens, read_answers(batch.column("answers")[i].as_py(), np.float64), unknown)
+            # One pack is held at a time; who reads the walks lets go of each as well.
+            del tokens
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -197,6 +198,7 @@ def score(docs: DataFrame) -> DataFrame:
             for gid, _, walk in _walks(batches, chance):
                 for topic, (keys, values) in walk.asks.items():
                     yield from blocks(gid, topic, keys, values, bits)
+                walk = keys = values = None
 
         found = answered(met().mapInArrow(ask, ASKS), bits, np.float64, _combine)
         if answers is None:
@@ -206,12 +208,14 @@ def score(docs: DataFrame) -> DataFrame:
 
     def rate(batches):
         for _, tokens, walk in _walks(batches, unknown):
+            known, base = walk.counts > 0, np.log10((walk.counts + 1) * unknown)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(tokens.sizes),
-                "n_known": np.add.reduceat((walk.counts > 0).astype(np.int64), tokens.first),
+                "n_known": np.add.reduceat(known[tokens.tokens], tokens.first, dtype=np.int64),
                 "train_tokens": pa.array([train_tokens] * len(tokens.ids), pa.int64()),
-                "base_score": np.add.reduceat(np.log10((walk.counts + 1) * unknown), tokens.first),
+                "base_score": np.add.reduceat(base[tokens.tokens], tokens.first),
                 "score": np.add.reduceat(np.log10(walk.chance), tokens.first)})
+            tokens = walk = None
 
     return met().mapInArrow(
         rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,8 +1,10 @@
 import math
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,39 @@ def test_shuffle_files_go_once_a_table_is_stored(spark):
         time.sleep(0.1)
     assert table.count() == packs.count() == 1000 and spark.conf.get(setting, None) == given
     assert not left
+
+
+def test_a_pack_needs_little_memory():
+    """A walk takes 54 bytes per token at once here; with numbers of 64 bits for every place it took 107."""
+    texts = [b" ".join(b"w%d" % (w * w % 997) for w in range(i, i + 400)) for i in range(500)]
+    blob, answers, peaks = pst._tokens_blob(list(range(len(texts))), texts), {}, []
+    while True:
+        read = pst.Tokens(blob)
+        tracemalloc.start()
+        walk = pst.Walk(read, answers, 1e-6)
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(read.tokens))
+        tracemalloc.stop()
+        if not walk.asks:
+            break
+        # As if this pack were the only one.
+        for topic, (keys, values) in walk.asks.items():
+            answers[topic] = 2 * values + (values > 0) if topic % 3 == pst.SEEN else values
+        walk = keys = values = None
+    assert len(peaks) == pst.DEPTH + 4
+    assert max(peaks) < 75
+
+
+def test_packs_wait_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given, bits = spark.conf.get(setting, None), 4
+
+    def ask(batches):
+        for batch in batches:
+            gid = batch.column("gid")[0].as_py()
+            yield from blocks.blocks(gid, 0, np.array([gid], np.uint64), np.array([float(batch.nbytes)]), bits)
+
+    rows = spark.range(30).repartition(1).selectExpr("id AS gid", "repeat('x', 1000000) AS body")
+    answers = blocks.answered(rows.mapInArrow(ask, blocks.ASKS), bits, np.float64, lambda topic, which, values, pack: values).collect()
+    sizes = [blocks.expand(r.answer, np.float64)[0] for r in answers]
+    assert sum(sizes) > 30e6 and max(sizes) < common.BATCH_BYTES + 2e6
+    assert spark.conf.get(setting, None) == given
