@@ -136,10 +136,11 @@ class Walk:
                 chance = (seen + kinds[context] * before) / (total + kinds)[context]
                 if asked + GAINS not in answers:
                     own = np.bincount(number, tokens.teaches[at], len(found))
-                    self.asks[asked + GAINS] = names, np.bincount(context, own * np.log(chance / before), len(names))
+                    # This pack's part of the gain, less what its kinds have to gain: the parts of all packs add up.
+                    self.asks[asked + GAINS] = names, np.bincount(context, own * np.log(chance / before) - LEAST_GAIN * first, len(names))
                     settled = False
                 else:
-                    retained = (answers[asked + GAINS] > LEAST_GAIN * kinds)[context]
+                    retained = (answers[asked + GAINS] > 0)[context]
                     kept = retained[number]
                     self.chance[at[kept]] = chance[number[kept]]
             grams, which = found, number
@@ -152,7 +153,12 @@ def _seen(answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _combine(topic: int, which: np.ndarray, values: np.ndarray, pack: np.ndarray) -> np.ndarray:
-    """Sums per key; those of occurrences doubled, plus 1 for the first pack whose training documents hold the key."""
+    """Sums per key; those of occurrences doubled, plus 1 for the first pack whose training documents hold the key.
+
+    Of gains only whether they suffice is answered, as sums of logarithms hardly compress.
+    """
+    if topic % 3 == GAINS:
+        return (np.bincount(which, values) > 0)[which].astype(np.float64)
     sums = np.bincount(which, values)[which]
     if topic % 3 != SEEN:
         return sums

@@ -159,3 +159,12 @@ def test_packs_wait_in_small_batches(spark):
     sizes = [blocks.expand(r.answer, np.float64)[0] for r in answers]
     assert sum(sizes) > 30e6 and max(sizes) < common.BATCH_BYTES + 2e6
     assert spark.conf.get(setting, None) == given
+
+
+def test_gains_are_answered_by_yes_or_no():
+    """A hundred thousand sums filled hundreds of kB; the answers take a bit or two each."""
+    rng = np.random.default_rng(5)
+    which, values = np.tile(np.arange(100_000, dtype=np.int32), 2), rng.normal(size=200_000)
+    got = pst._combine(3 + pst.GAINS, which, values, np.repeat(np.arange(2, dtype=np.int32), 100_000))
+    assert (got == np.tile(values[:100_000] + values[100_000:] > 0, 2)).all()
+    assert len(blocks.squeeze(got[:100_000])) < 50_000
